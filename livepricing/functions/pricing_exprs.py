@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.model import RANK_NEAR, RANK_TOP
+from .money import percent
 
 # Fixed values that must equal the reference's for the same results.
 POPULARITY_TOP, POPULARITY_NEAR, POPULARITY_REST = 1.2, 1.1, 0.9
@@ -29,9 +30,9 @@ def stock_adjustment(rank: Column) -> Column:
     return _band(rank, STOCK_TOP, STOCK_NEAR, STOCK_REST)
 
 
-def promotion_factor(discount_pct: Column) -> Column:
-    """1 - d/100 of the smallest active discount, 1 when there is none."""
-    return F.coalesce(F.lit(1.0) - discount_pct.cast("double") / F.lit(100.0), F.lit(1.0))
+def promotion_factor(discount_hundredths: Column) -> Column:
+    """1 - d/100 of the smallest active discount (d in percent), 1 when there is none."""
+    return F.coalesce(F.lit(1.0) - percent(discount_hundredths) / F.lit(100.0), F.lit(1.0))
 
 
 def demand_multiplier(base: Column, avg: Column) -> Column:
@@ -52,6 +53,3 @@ def adjusted_price(base: Column, *factors: Column) -> Column:
     return F.round(out, PRICE_DIGITS)
 
 
-def exact_avg(col: Column) -> Column:
-    """Average of an exact decimal: exact sum, one division (order independent)."""
-    return F.sum(col).cast("double") / F.count(col)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pricing_exprs as X
+from ..functions.money import exact_avg, money
 from ..sources.model import RANK_NEAR, RECENT_SALES, Model
 from .ranking import full_rank, top_k_per_group, top_k_rank
 
@@ -37,7 +38,7 @@ def recent_prices(m: Model, restrict_to=None,
     sales = _only(m.sales, restrict_to).select("product_id", "price", "sale_date",
                                                *m.sale_tiebreak)
     top = top_k_per_group(sales, ["product_id"], m.sale_order(), k)
-    return top.groupBy("product_id").agg(X.exact_avg(F.col("price")).alias("avg_price"))
+    return top.groupBy("product_id").agg(exact_avg(F.col("price")).alias("avg_price"))
 
 
 def promotion_effect(m: Model, restrict_to=None) -> DataFrame:
@@ -85,7 +86,7 @@ def high_demand(m: Model) -> DataFrame:
     """V5: products sold more often than the average product (scalar subquery)."""
     per = (m.sales.join(m.products.select("product_id"), "product_id")
            .groupBy("product_id")
-           .agg(X.exact_avg(F.col("sale_price")).alias("avg_sale_price"),
+           .agg(exact_avg(F.col("sale_price")).alias("avg_sale_price"),
                 F.count(F.lit(1)).alias("total_sales")))
     overall = (m.sales.groupBy("product_id").agg(F.count(F.lit(1)).alias("_c"))
                .agg(F.avg("_c").alias("_avg_sales")))
@@ -106,7 +107,7 @@ def pricing_factors(m: Model, restrict_to=None) -> DataFrame:
     pop = _only(pop, restrict_to).select("product_id", "popularity_rank")
     stock = stock_rank_top(m).select("product_id", "stock_rank")
 
-    base = F.col("base_price").cast("double")
+    base = money(F.col("base_price"))
     avg = F.col("avg_price")
     return (products.select("product_id", "product_name", "base_price", "category_id",
                             "last_update_time")
@@ -127,7 +128,7 @@ def pricing_factors(m: Model, restrict_to=None) -> DataFrame:
 def dynamic_pricing(m: Model, restrict_to=None) -> DataFrame:
     """V6 (flagship): adjusted price per product with at least one sale."""
     f = pricing_factors(m, restrict_to)
-    price = X.adjusted_price(F.col("base_price").cast("double"),
+    price = X.adjusted_price(money(F.col("base_price")),
                              F.col("popularity_adjustment"), F.col("promotion_discount"),
                              F.col("stock_adjustment"), F.col("demand_multiplier"),
                              F.col("additional_discount"))

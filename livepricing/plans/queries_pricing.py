@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.money import percent
 from ..operators import pricing as P
 from .oracle import pricing_sql
 from .registry import on_model, register
@@ -23,7 +24,7 @@ def recent_prices(m):
 @on_model
 def promotion_effect(m):
     return P.promotion_effect(m).select(
-        "product_id", F.col("promotion_discount").cast("double").alias("promotion_discount"))
+        "product_id", percent(F.col("promotion_discount")).alias("promotion_discount"))
 
 
 @register("popularity_rank",
