@@ -95,24 +95,21 @@ def high_demand(m: Model) -> DataFrame:
             .where(F.col("total_sales") > F.col("_avg_sales")).drop("_avg_sales"))
 
 
-def pricing_factors(m: Model, restrict_to=None) -> DataFrame:
-    """Every factor of the adjusted price, one row per product that has sales."""
-    products = _only(m.products, restrict_to)
-    counts = sale_counts(m)
-    if restrict_to is not None:
-        cats = products.select("category_id").distinct()
-        counts = counts.join(cats, "category_id", "left_semi")
-    # only ranks <= 10 change the multiplier: bounded top-k rank per category
-    pop = top_k_rank(counts, ["category_id"], "sale_count", RANK_NEAR, "popularity_rank")
-    pop = _only(pop, restrict_to).select("product_id", "popularity_rank")
-    stock = stock_rank_top(m).select("product_id", "stock_rank")
-
+def assemble_factors(products: DataFrame, recent: DataFrame, promo: DataFrame,
+                     pop: DataFrame, stock: DataFrame, keyword: str) -> DataFrame:
+    """Every factor of the adjusted price from its parts, one row per product with a
+    popularity row (i.e. with at least one sale).
+
+    recent: (product_id, avg_price); promo: (product_id, promotion_discount) smallest
+    active discount; pop: (product_id, popularity_rank) NULL above 10; stock: (product_id,
+    stock_rank) only ranks <= 10. The batch view and the incrementally maintained view
+    both price through here."""
     base = money(F.col("base_price"))
     avg = F.col("avg_price")
     return (products.select("product_id", "product_name", "base_price", "category_id",
                             "last_update_time")
-            .join(recent_prices(m, restrict_to), "product_id", "left")
-            .join(promotion_effect(m, restrict_to), "product_id", "left")
+            .join(recent, "product_id", "left")
+            .join(promo, "product_id", "left")
             .join(pop, "product_id", "inner")
             .join(stock, "product_id", "left")
             .select("product_id", "product_name", "category_id", "base_price",
@@ -121,13 +118,10 @@ def pricing_factors(m: Model, restrict_to=None) -> DataFrame:
                     X.promotion_factor(F.col("promotion_discount")).alias("promotion_discount"),
                     X.stock_adjustment(F.col("stock_rank")).alias("stock_adjustment"),
                     X.demand_multiplier(base, avg).alias("demand_multiplier"),
-                    X.name_discount(F.col("product_name"), m.discount_keyword)
-                    .alias("additional_discount")))
+                    X.name_discount(F.col("product_name"), keyword).alias("additional_discount")))
 
 
-def dynamic_pricing(m: Model, restrict_to=None) -> DataFrame:
-    """V6 (flagship): adjusted price per product with at least one sale."""
-    f = pricing_factors(m, restrict_to)
+def prices_from_factors(f: DataFrame) -> DataFrame:
     price = X.adjusted_price(money(F.col("base_price")),
                              F.col("popularity_adjustment"), F.col("promotion_discount"),
                              F.col("stock_adjustment"), F.col("demand_multiplier"),
@@ -135,6 +129,37 @@ def dynamic_pricing(m: Model, restrict_to=None) -> DataFrame:
     return f.select("product_id", price.alias("adjusted_price"), "last_update_time")
 
 
+def popularity_top(counts: DataFrame) -> DataFrame:
+    """(product_id, popularity_rank): RANK within the category where it is <= 10."""
+    return top_k_rank(counts, ["category_id"], "sale_count", RANK_NEAR,
+                      "popularity_rank").select("product_id", "popularity_rank")
+
+
+def stock_top(totals: DataFrame) -> DataFrame:
+    """(product_id, stock_rank) for products whose global stock rank is <= 10."""
+    ranked = top_k_rank(totals, [], "total_stock", RANK_NEAR, "stock_rank")
+    return ranked.where(F.col("stock_rank").isNotNull()).select("product_id", "stock_rank")
+
+
+def pricing_factors(m: Model, restrict_to=None) -> DataFrame:
+    """Every factor of the adjusted price, one row per product that has sales."""
+    products = _only(m.products, restrict_to)
+    counts = sale_counts(m)
+    if restrict_to is not None:
+        cats = products.select("category_id").distinct()
+        counts = counts.join(cats, "category_id", "left_semi")
+    # only ranks <= 10 change the multiplier: bounded top-k rank per category
+    pop = _only(popularity_top(counts), restrict_to)
+    promo = promotion_effect(m, restrict_to).select("product_id", "promotion_discount")
+    return assemble_factors(products, recent_prices(m, restrict_to), promo, pop,
+                            stock_top(stock_totals(m)), m.discount_keyword)
+
+
+def dynamic_pricing(m: Model, restrict_to=None) -> DataFrame:
+    """V6 (flagship): adjusted price per product with at least one sale."""
+    return prices_from_factors(pricing_factors(m, restrict_to))
+
+
 def price_point_lookup(m: Model, product_id: int) -> DataFrame:
     """One product's live price. Only that product's sales, promotions and its own
     category's counts are read; the stock rank stays global."""
