@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import micros, round2_from_micros
+from ..session import materialize
+from .bounded import bounded_keys
 from ..sources.model import Model
 from . import hierarchy as H
-from .pricing import dynamic_pricing
+from .pricing import dynamic_pricing, restrict
 
 # Fixed values that must equal the reference's for the same results.
 MESSAGE_TEMPLATE = "With the current items in your cart ($count$ items totaling $$total$),"
@@ -26,10 +28,15 @@ def cart_lines(m: Model, prices: DataFrame | None = None) -> DataFrame:
     """
     copies = (m.shopping_cart.groupBy("product_id", "product_name")
               .agg(F.count(F.lit(1)).alias("_copies")))
-    in_cart = copies.select("product_id").distinct()
+    # the cart (usually small) restricts a dozen scans: as a size-checked literal id list
+    # the restriction reaches the Parquet readers; a huge cart is written once instead
+    in_cart = bounded_keys(copies, "product_id")
+    if in_cart is None:
+        copies = materialize(copies, "cart-copies")
+        in_cart = copies.select("product_id").distinct()
     if prices is None:
         prices = dynamic_pricing(m, restrict_to=in_cart)
-    stock = (m.inventory.join(in_cart, "product_id", "left_semi")
+    stock = (restrict(m.inventory, in_cart)
              .groupBy("product_id").agg(F.sum("stock").alias("_stock")))
     return (copies
             .join(m.products.select("product_id", "category_id"), "product_id")
@@ -70,11 +77,12 @@ def cart_document(m: Model, lines: DataFrame, expanded: str | None) -> DataFrame
         F.lit("cart_item").alias("section"),
         F.to_json(F.struct("product_id", "product_name", "category_id", "category_name",
                            "price", "available_stock")).alias("body"))
-    subtotals = H.drilldown(m, lines, expanded).select(
+    totals_m = H.category_totals_exact(m, lines)
+    subtotals = H.drilldown(m, lines, expanded, totals=totals_m).select(
         F.lit("category_subtotal").alias("section"),
         F.to_json(F.struct("category_id", "parent_id", "has_subcategory", "category_name",
                            "item_count", "subtotal", "categories_total")).alias("body"))
-    grand = (H.category_totals_exact(m, lines).where(F.col("parent_id").isNull())
+    grand = (totals_m.where(F.col("parent_id").isNull())
              .agg(F.coalesce(F.sum("total_m"), F.lit(0)).alias("_g")))
     totals = (cart_total(lines).crossJoin(F.broadcast(grand))   # two one-row scalars
               .select(F.lit("totals").alias("section"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import from_micros, micros, round2_from_micros
 from ..session import checkpoint_dir
+from .bounded import small_or_materialized
 from ..sources.model import Model
 
 # Fixed values that must equal the reference's for the same results.
@@ -92,7 +93,9 @@ def direct_totals(lines: DataFrame) -> DataFrame:
 
 def category_totals_exact(m: Model, lines: DataFrame) -> DataFrame:
     """V8 with exact totals in millionths (``total_m``)."""
-    direct = direct_totals(lines)
+    # one row per category holding items; both the rollup and the "Other" rows read it,
+    # so it is materialised once rather than recomputing the cart lines twice
+    direct = small_or_materialized(direct_totals(lines), "category-direct")
     rolled = (direct.join(closure_of(m).select("category_id", "ancestor_id"), "category_id")
               .groupBy(F.col("ancestor_id").alias("category_id"))
               .agg(F.sum("total_m").alias("total_m"), F.sum("item_count").alias("item_count"))
@@ -135,11 +138,12 @@ def expanded_ids(col) -> "F.Column":
                        lambda t: t.cast("bigint"))
 
 
-def drilldown(m: Model, lines: DataFrame, expanded: str | None) -> DataFrame:
+def drilldown(m: Model, lines: DataFrame, expanded: str | None,
+              totals: DataFrame | None = None) -> DataFrame:
     """Root categories plus the children of the expanded ids, with rounded subtotals
     and the grand total over the roots only, in tree order."""
     ids = parse_expanded(expanded)
-    t = category_totals_exact(m, lines)
+    t = totals if totals is not None else category_totals_exact(m, lines)
     keep = F.col("parent_id").isNull()
     if ids:   # an all-junk list behaves like no list
         keep = keep | F.col("parent_id").isin(ids)

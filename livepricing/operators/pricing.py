@@ -18,13 +18,21 @@ from ..sources.model import RANK_NEAR, RECENT_SALES, Model
 from .ranking import full_rank, top_k_per_group, top_k_rank
 
 
-def _only(df: DataFrame, keys, col: str = "product_id") -> DataFrame:
+def in_list(col: str, keys) -> "F.Column":
+    """``col IN (k1, k2, ...)`` as one SQL expression (one JVM call, not one per key)."""
+    keys = sorted({int(k) for k in keys})
+    if not keys:
+        return F.lit(False)
+    return F.expr(f"`{col}` IN ({', '.join(str(k) for k in keys)})")
+
+
+def restrict(df: DataFrame, keys, col: str = "product_id") -> DataFrame:
     """Keep rows whose key is in ``keys``: a list of ids (a literal IN, pushed down to the
     Parquet scan) or a DataFrame of keys (a semi-join)."""
     if keys is None:
         return df
     if isinstance(keys, (list, tuple, set)):
-        return df.where(F.col(col).isin(list(keys)))
+        return df.where(in_list(col, keys))
     return df.join(keys.select(col).distinct(), col, "left_semi")
 
 
@@ -35,7 +43,7 @@ def recent_prices(m: Model, restrict_to=None,
     Ties on sale_date are broken by the model's total tie-break order. The partial
     WindowGroupLimit keeps a hot product to k rows per map partition before the shuffle.
     """
-    sales = _only(m.sales, restrict_to).select("product_id", "price", "sale_date",
+    sales = restrict(m.sales, restrict_to).select("product_id", "price", "sale_date",
                                                *m.sale_tiebreak)
     top = top_k_per_group(sales, ["product_id"], m.sale_order(), k)
     return top.groupBy("product_id").agg(exact_avg(F.col("price")).alias("avg_price"))
@@ -43,7 +51,7 @@ def recent_prices(m: Model, restrict_to=None,
 
 def promotion_effect(m: Model, restrict_to=None) -> DataFrame:
     """V2: smallest active discount per existing product (dates are ignored)."""
-    best = (_only(m.promotions, restrict_to).where(F.col("active"))
+    best = (restrict(m.promotions, restrict_to).where(F.col("active"))
             .groupBy("product_id").agg(F.min("promotion_discount").alias("promotion_discount")))
     # aggregate first (partial min), then keep products that exist
     return best.join(m.products.select("product_id"), "product_id", "left_semi")
@@ -143,13 +151,19 @@ def stock_top(totals: DataFrame) -> DataFrame:
 
 def pricing_factors(m: Model, restrict_to=None) -> DataFrame:
     """Every factor of the adjusted price, one row per product that has sales."""
-    products = _only(m.products, restrict_to)
-    counts = sale_counts(m)
-    if restrict_to is not None:
+    products = restrict(m.products, restrict_to)
+    if restrict_to is None:
+        counts = sale_counts(m)
+    else:
+        # ranks need every product of the categories involved: restrict the sales to those
+        # products *before* counting, so only their sales are aggregated
         cats = products.select("category_id").distinct()
-        counts = counts.join(cats, "category_id", "left_semi")
+        peers = m.products.join(cats, "category_id", "left_semi").select("product_id", "category_id")
+        counts = (m.sales.join(peers.select("product_id"), "product_id", "left_semi")
+                  .groupBy("product_id").agg(F.count(F.lit(1)).alias("sale_count"))
+                  .join(peers, "product_id"))
     # only ranks <= 10 change the multiplier: bounded top-k rank per category
-    pop = _only(popularity_top(counts), restrict_to)
+    pop = restrict(popularity_top(counts), restrict_to)
     promo = promotion_effect(m, restrict_to).select("product_id", "promotion_discount")
     return assemble_factors(products, recent_prices(m, restrict_to), promo, pop,
                             stock_top(stock_totals(m)), m.discount_keyword)

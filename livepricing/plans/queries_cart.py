@@ -13,9 +13,8 @@ EXPANDED = "1, 2,3 ,x,,105, 110"
 
 
 def lines_of(m):
-    if "cart_lines" not in m.extra:
-        m.extra["cart_lines"] = C.cart_lines(m)
-    return m.extra["cart_lines"]
+    # built per query: each registered query computes its own cart lines
+    return C.cart_lines(m)
 
 
 @register("cart_lines", cart_sql("SELECT * FROM cart_lines"), ids="V7 J6 A7 A16 S7 S8")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins at runtime: it turns a sort-merge
 # join into a broadcast only after measuring the shuffled side (the size check for
@@ -60,3 +60,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a (small) intermediate once as Parquet in the shared checkpoint folder and read
+    it back: one job, lineage cut, survives executor loss. ``checkpoint(eager=True)`` would
+    compute the plan twice (once to count, once to save)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
