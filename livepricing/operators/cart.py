@@ -90,3 +90,12 @@ def cart_document(m: Model, lines: DataFrame, expanded: str | None) -> DataFrame
                                          round2_from_micros("_g").alias("categories_total")))
                       .alias("body")))
     return items.unionByName(subtotals).unionByName(totals)
+
+
+def cart_inventory(m: Model, exclude_product: int = 1) -> DataFrame:
+    """Distinct (cart product, stock row) pairs the stock mutator walks, without
+    the pinned product. The cart is reduced to its distinct products before the join."""
+    products = (m.shopping_cart.where(F.col("product_id") != exclude_product)
+                .select("product_id").distinct())
+    return (products.join(m.inventory.select("product_id", "stock"), "product_id")
+            .select("product_id", "stock").distinct())

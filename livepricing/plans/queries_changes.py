@@ -166,7 +166,7 @@ SELECT p.product_id, CAST(p.promotion_discount AS DOUBLE) AS promotion_discount,
 FROM promotions p LEFT JOIN known k ON p.product_id = k.product_id
 UNION ALL
 SELECT k.product_id, CAST(10.0 AS DOUBLE), k.n % 2 = 1, now.as_of
-FROM known k, now WHERE k.product_id NOT IN (SELECT product_id FROM promotions)"""), ids="T11 J11 J12 F11")
+FROM known k, now WHERE k.product_id NOT IN (SELECT product_id FROM promotions)"""), ids="T11 J11 J12 F11 F5")
 def toggle_promotion(spark, sf_dir):
     m = model_for(spark, sf_dir)
     new, _ = CH.toggle_promotions(m.promotions, m.products, toggles(spark, sf_dir), as_of(spark, sf_dir))

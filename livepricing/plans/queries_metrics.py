@@ -47,7 +47,7 @@ n AS (SELECT source, max(ts) AS newest FROM s GROUP BY source),
 r AS (SELECT s.source, s.ts, s.latency,
              row_number() OVER (PARTITION BY s.source ORDER BY s.ts DESC, s.seq DESC) AS point
       FROM s JOIN n USING (source) WHERE s.ts >= n.newest - INTERVAL 180 SECONDS)
-SELECT source, ts, latency, point FROM r WHERE point <= 180""", ids="W7")
+SELECT source, ts, latency, point FROM r WHERE point <= 180""", ids="W7 F5")
 def history_window(spark, sf_dir):
     return M.history_window(samples(spark, sf_dir)).withColumn("point", F.col("point").cast("bigint"))
 
@@ -93,7 +93,7 @@ n AS (SELECT max(ts) AS as_of FROM s)
 SELECT source, last_ts, (epoch_us(as_of) - epoch_us(last_ts)) / 1e6 AS age_seconds,
        (epoch_us(as_of) - epoch_us(last_ts)) / 1e6 <= 2.0 AS is_fresh,
        CASE WHEN (epoch_us(as_of) - epoch_us(last_ts)) / 1e6 <= 2.0 THEN lat * 1000 END AS latency_ms
-FROM l, n""", ids="T9")
+FROM l, n""", ids="T9 F5 F6")
 def freshness_gate(spark, sf_dir):
     return M.freshness_gate(samples(spark, sf_dir))
 

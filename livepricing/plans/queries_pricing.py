@@ -69,7 +69,7 @@ def high_demand(m):
 
 
 @register("dynamic_pricing", pricing_sql("SELECT * FROM dynamic_pricing"),
-          ids="V6 P1 P2 P3 P4 P5 P6 J2 J3 J5 F1 F10")
+          ids="V6 P1 P2 P3 P4 P5 P6 J2 J3 J5 F1 F9 F10")
 @on_model
 def dynamic_pricing(m):
     return P.dynamic_pricing(m)

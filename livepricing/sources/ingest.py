@@ -164,7 +164,15 @@ def orphan_counts(m: Model) -> DataFrame:
     return out
 
 
-# --- statistics and sizes (IO14, IO15) ----------------------------------------------------
+# --- parameter table, statistics and sizes (IO4, IO14, IO15) ---------------------------------
+
+def parameter_table(spark: SparkSession, name: str, **params: str) -> None:
+    """IO4: CREATE TABLE name AS SELECT <params> - a one-row table of run parameters
+    (e.g. the dataset mode) that later jobs read instead of a global."""
+    cols = sorted(params)
+    row = spark.createDataFrame([tuple(str(params[c]) for c in cols)], ", ".join(f"{c} string" for c in cols))
+    row.write.mode("overwrite").saveAsTable(name)
+
 
 def analyze(spark: SparkSession, table: str) -> None:
     """IO14: collect table statistics for a saved table (CBO / AQE use them)."""
