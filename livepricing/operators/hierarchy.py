@@ -10,12 +10,11 @@ anyway, so the result is identical.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import from_micros, micros, round2_from_micros
 from ..session import checkpoint_dir
-from .bounded import small_or_materialized
 from ..sources.model import Model
 
 # Fixed values that must equal the reference's for the same results.
@@ -92,28 +91,37 @@ def direct_totals(lines: DataFrame) -> DataFrame:
 
 
 def category_totals_exact(m: Model, lines: DataFrame) -> DataFrame:
-    """V8 with exact totals in millionths (``total_m``)."""
-    # one row per category holding items; both the rollup and the "Other" rows read it,
-    # so it is materialised once rather than recomputing the cart lines twice
-    direct = small_or_materialized(direct_totals(lines), "category-direct")
-    rolled = (direct.join(closure_of(m).select("category_id", "ancestor_id"), "category_id")
-              .groupBy(F.col("ancestor_id").alias("category_id"))
-              .agg(F.sum("total_m").alias("total_m"), F.sum("item_count").alias("item_count"))
-              .where(F.col("item_count") > 0))
-    kids = parents_with_children(m.categories)
-    cats = m.categories.select("category_id", "parent_id", "category_name")
-    main = (rolled.join(cats, "category_id")
-            .join(kids.withColumn("_has", F.lit(True)), "category_id", "left")
-            .select("category_id", "parent_id",
-                    F.coalesce("_has", F.lit(False)).alias("has_subcategory"),
-                    "category_name", "total_m", "item_count"))
-    # Items placed directly on an internal category, shown as a child "Other" row
-    others = (direct.join(kids, "category_id", "left_semi")
-              .select((F.col("category_id") + OTHER_ID_OFFSET).alias("category_id"),
-                      F.col("category_id").alias("parent_id"),
-                      F.lit(False).alias("has_subcategory"),
-                      F.lit(OTHER_NAME).alias("category_name"), "total_m", "item_count"))
-    return main.unionByName(others)
+    """V8 with exact totals in millionths (``total_m``), as one linear plan.
+
+    Each category's direct (total, count) is joined to its ancestor pairs once. Every pair
+    emits a rollup contribution to the ancestor (role T), and the depth-0 pair also emits
+    the category's own direct items (role O, the candidate "Other" row). One aggregate
+    sums both roles; the category names and the has-children flag are joined once, and a
+    single projection shapes both kinds of rows. Nothing below is computed twice."""
+    direct = direct_totals(lines)
+    joined = direct.join(closure_of(m).select("category_id", "ancestor_id", "depth"), "category_id")
+    role = F.filter(F.array(
+        F.struct(F.lit("T").alias("role"), F.col("ancestor_id").alias("key")),
+        F.when(F.col("depth") == 0, F.struct(F.lit("O").alias("role"), F.col("category_id").alias("key")))),
+        lambda r: r.isNotNull())
+    agg = (joined.select(F.explode(role).alias("r"), "total_m", "item_count")
+           .groupBy(F.col("r.role").alias("role"), F.col("r.key").alias("key"))
+           .agg(F.sum("total_m").alias("total_m"), F.sum("item_count").alias("item_count"))
+           .where(F.col("item_count") > 0))
+    cats = m.categories.select(F.col("category_id").alias("key"), "parent_id", "category_name",
+                               F.lit(True).alias("_known"))
+    kids = parents_with_children(m.categories).select(F.col("category_id").alias("key"),
+                                                      F.lit(True).alias("_has"))
+    total = F.col("role") == "T"
+    has = F.coalesce(F.col("_has"), F.lit(False))
+    return (agg.join(cats, "key", "left").join(kids, "key", "left")
+            # rollup rows need a real category; "Other" rows need children and items
+            .where((total & F.col("_known").isNotNull()) | (~total & has))
+            .select(F.when(total, F.col("key")).otherwise(F.col("key") + OTHER_ID_OFFSET).alias("category_id"),
+                    F.when(total, F.col("parent_id")).otherwise(F.col("key")).alias("parent_id"),
+                    (total & has).alias("has_subcategory"),
+                    F.when(total, F.col("category_name")).otherwise(F.lit(OTHER_NAME)).alias("category_name"),
+                    "total_m", "item_count"))
 
 
 def category_totals(m: Model, lines: DataFrame) -> DataFrame:
@@ -147,10 +155,12 @@ def drilldown(m: Model, lines: DataFrame, expanded: str | None,
     keep = F.col("parent_id").isNull()
     if ids:   # an all-junk list behaves like no list
         keep = keep | F.col("parent_id").isin(ids)
-    rows = t.where(keep)
-    grand = (t.where(F.col("parent_id").isNull())
-             .agg(F.coalesce(F.sum("total_m"), F.lit(0)).alias("_grand_m")))
-    return (rows.crossJoin(F.broadcast(grand))   # one-row scalar subquery
+    # every root is visible, so the grand total over roots is a sum over the visible rows:
+    # one window over the drill-down's own rows (roots plus children of the listed ids,
+    # a display-sized set) instead of a second pass over the rollup
+    grand = F.coalesce(F.sum(F.when(F.col("parent_id").isNull(), F.col("total_m"))).over(
+        Window.partitionBy()), F.lit(0))
+    return (t.where(keep).withColumn("_grand_m", grand)
             .select("category_id", "parent_id", "has_subcategory", "category_name",
                     F.col("item_count").cast("bigint").alias("item_count"),
                     round2_from_micros("total_m").alias("subtotal"),
