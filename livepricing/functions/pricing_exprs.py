@@ -1,4 +1,9 @@
-"""Column expressions of the pricing formula (all JVM-side built-ins)."""
+"""Column expressions of the pricing formula (all JVM-side built-ins).
+
+Each expression is written as Spark SQL text over column names and handed to the JVM in
+one call (``F.expr``); building the same trees Column by Column costs a Py4J round trip
+per node, which dominated driver-side planning time.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.model import RANK_NEAR, RANK_TOP
-from .money import percent
 
 # Fixed values that must equal the reference's for the same results.
 POPULARITY_TOP, POPULARITY_NEAR, POPULARITY_REST = 1.2, 1.1, 0.9
@@ -15,41 +19,66 @@ KEYWORD_DISCOUNT, NO_DISCOUNT = 0.8, 1.0
 PRICE_DIGITS = 6   # our numeric contract: prices are rounded to 1e-6
 
 
-def _band(rank: Column, top: float, near: float, rest: float) -> Column:
+def _d(x: float) -> str:
+    """A DOUBLE literal in Spark SQL."""
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def band_sql(rank: str, top: float, near: float, rest: float) -> str:
     """rank <= 3 -> top, 4..10 -> near, anything else (including NULL) -> rest."""
-    return (F.when(rank <= RANK_TOP, F.lit(top))
-            .when(rank.between(RANK_TOP + 1, RANK_NEAR), F.lit(near))
-            .otherwise(F.lit(rest)))
+    return (f"CASE WHEN `{rank}` <= {RANK_TOP} THEN {_d(top)} "
+            f"WHEN `{rank}` BETWEEN {RANK_TOP + 1} AND {RANK_NEAR} THEN {_d(near)} "
+            f"ELSE {_d(rest)} END")
 
 
-def popularity_adjustment(rank: Column) -> Column:
-    return _band(rank, POPULARITY_TOP, POPULARITY_NEAR, POPULARITY_REST)
+def popularity_sql(rank: str) -> str:
+    return band_sql(rank, POPULARITY_TOP, POPULARITY_NEAR, POPULARITY_REST)
 
 
-def stock_adjustment(rank: Column) -> Column:
-    return _band(rank, STOCK_TOP, STOCK_NEAR, STOCK_REST)
+def stock_sql(rank: str) -> str:
+    return band_sql(rank, STOCK_TOP, STOCK_NEAR, STOCK_REST)
 
 
-def promotion_factor(discount_hundredths: Column) -> Column:
-    """1 - d/100 of the smallest active discount (d in percent), 1 when there is none."""
-    return F.coalesce(F.lit(1.0) - percent(discount_hundredths) / F.lit(100.0), F.lit(1.0))
+def promotion_sql(discount_hundredths: str) -> str:
+    """1 - d/100 of the smallest active discount (d in percent, stored in hundredths of a
+    percent), 1 when there is none."""
+    return (f"COALESCE(CAST(1.0 AS DOUBLE) - (CAST(`{discount_hundredths}` AS DOUBLE) / 100.0) / 100.0, "
+            f"CAST(1.0 AS DOUBLE))")
 
 
-def demand_multiplier(base: Column, avg: Column) -> Column:
+def demand_sql(base: str, avg: str) -> str:
     """Two-branch ratio of base price to recent average price (equal to base/avg)."""
-    return (F.when(base > avg, F.lit(1.0) + (base - avg) / avg)
-            .otherwise(F.lit(1.0) - (avg - base) / avg))
+    b, a = f"({base})", f"`{avg}`"
+    return (f"CASE WHEN {b} > {a} THEN CAST(1.0 AS DOUBLE) + ({b} - {a}) / {a} "
+            f"ELSE CAST(1.0 AS DOUBLE) - ({a} - {b}) / {a} END")
 
 
-def name_discount(name: Column, keyword: str) -> Column:
-    return F.when(name.ilike(f"%{keyword}%"), F.lit(KEYWORD_DISCOUNT)).otherwise(F.lit(NO_DISCOUNT))
+def name_discount_sql(name: str, keyword: str) -> str:
+    kw = keyword.replace("\\", "\\\\").replace("'", "\\'")
+    return f"CASE WHEN `{name}` ILIKE '%{kw}%' THEN {_d(KEYWORD_DISCOUNT)} ELSE {_d(NO_DISCOUNT)} END"
 
 
-def adjusted_price(base: Column, *factors: Column) -> Column:
+def adjusted_price_sql(base: str, *factors: str) -> str:
     """Left-to-right product in DOUBLE, rounded to the price contract."""
-    out = base
+    product = "(" + base + ")"
     for f in factors:
-        out = out * f
-    return F.round(out, PRICE_DIGITS)
+        product = f"({product} * `{f}`)"
+    return f"ROUND({product}, {PRICE_DIGITS})"
+
+
+# Column-returning forms for callers that compose Columns
+
+def popularity_adjustment(rank: str) -> Column:
+    return F.expr(popularity_sql(rank))
+
+
+def stock_adjustment(rank: str) -> Column:
+    return F.expr(stock_sql(rank))
+
+
+def promotion_factor(discount_hundredths: str) -> Column:
+    return F.expr(promotion_sql(discount_hundredths))
 
 
+def name_discount(name: str, keyword: str) -> Column:
+    return F.expr(name_discount_sql(name, keyword))

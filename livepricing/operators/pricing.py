@@ -112,29 +112,28 @@ def assemble_factors(products: DataFrame, recent: DataFrame, promo: DataFrame,
     active discount; pop: (product_id, popularity_rank) NULL above 10; stock: (product_id,
     stock_rank) only ranks <= 10. The batch view and the incrementally maintained view
     both price through here."""
-    base = money(F.col("base_price"))
-    avg = F.col("avg_price")
-    return (products.select("product_id", "product_name", "base_price", "category_id",
-                            "last_update_time")
-            .join(recent, "product_id", "left")
-            .join(promo, "product_id", "left")
-            .join(pop, "product_id", "inner")
-            .join(stock, "product_id", "left")
-            .select("product_id", "product_name", "category_id", "base_price",
-                    "last_update_time", "avg_price", "popularity_rank", "stock_rank",
-                    X.popularity_adjustment(F.col("popularity_rank")).alias("popularity_adjustment"),
-                    X.promotion_factor(F.col("promotion_discount")).alias("promotion_discount"),
-                    X.stock_adjustment(F.col("stock_rank")).alias("stock_adjustment"),
-                    X.demand_multiplier(base, avg).alias("demand_multiplier"),
-                    X.name_discount(F.col("product_name"), keyword).alias("additional_discount")))
+    base = "CAST(base_price AS DOUBLE) / 100.0"
+    joined = (products.select("product_id", "product_name", "base_price", "category_id",
+                              "last_update_time")
+              .join(recent, "product_id", "left")
+              .join(promo, "product_id", "left")
+              .join(pop, "product_id", "inner")
+              .join(stock, "product_id", "left"))
+    return joined.selectExpr(
+        "product_id", "product_name", "category_id", "base_price", "last_update_time",
+        "avg_price", "popularity_rank", "stock_rank",
+        f"{X.popularity_sql('popularity_rank')} AS popularity_adjustment",
+        f"{X.promotion_sql('promotion_discount')} AS promotion_discount",
+        f"{X.stock_sql('stock_rank')} AS stock_adjustment",
+        f"{X.demand_sql(base, 'avg_price')} AS demand_multiplier",
+        f"{X.name_discount_sql('product_name', keyword)} AS additional_discount")
 
 
 def prices_from_factors(f: DataFrame) -> DataFrame:
-    price = X.adjusted_price(money(F.col("base_price")),
-                             F.col("popularity_adjustment"), F.col("promotion_discount"),
-                             F.col("stock_adjustment"), F.col("demand_multiplier"),
-                             F.col("additional_discount"))
-    return f.select("product_id", price.alias("adjusted_price"), "last_update_time")
+    price = X.adjusted_price_sql("CAST(base_price AS DOUBLE) / 100.0", "popularity_adjustment",
+                                 "promotion_discount", "stock_adjustment", "demand_multiplier",
+                                 "additional_discount")
+    return f.selectExpr("product_id", f"{price} AS adjusted_price", "last_update_time")
 
 
 def popularity_top(counts: DataFrame) -> DataFrame:
