@@ -14,7 +14,9 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", shuffle_partitions=4)
+    # tests run locally: saved tables go to a fresh scratch warehouse
+    s = build_session("local[4]", shuffle_partitions=4,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="lp-test-wh-")})
     # tests run locally: nothing configured, so give checkpoints a scratch folder
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lp-test-ckpt-"))
     yield s
