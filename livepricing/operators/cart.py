@@ -83,11 +83,11 @@ def cart_document(m: Model, lines: DataFrame, expanded: str | None) -> DataFrame
         F.to_json(F.struct("category_id", "parent_id", "has_subcategory", "category_name",
                            "item_count", "subtotal", "categories_total")).alias("body"))
     grand = (totals_m.where(F.col("parent_id").isNull())
-             .agg(F.coalesce(F.sum("total_m"), F.lit(0)).alias("_g")))
-    totals = (cart_total(lines).crossJoin(F.broadcast(grand))   # two one-row scalars
+             .agg(F.coalesce(F.sum("total_m"), F.lit(0)).alias("_g"))
+             .select(round2_from_micros("_g")).scalar())      # scalar subquery
+    totals = (cart_total(lines)
               .select(F.lit("totals").alias("section"),
-                      F.to_json(F.struct("cart_total",
-                                         round2_from_micros("_g").alias("categories_total")))
+                      F.to_json(F.struct("cart_total", grand.alias("categories_total")))
                       .alias("body")))
     return items.unionByName(subtotals).unionByName(totals)
 

@@ -40,11 +40,10 @@ def insert_ignore(current: DataFrame, new_rows: DataFrame, key: str) -> DataFram
 def next_ids(rows: DataFrame, existing: DataFrame, id_col: str, seq: str, out: str) -> DataFrame:
     """A12 + sequence: COALESCE(MAX(id), 0) + position of each new row in seq order. The
     position is a distributed rank, not a single-partition row_number."""
-    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_max_id"))
+    top = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()   # scalar subquery
     ranked = full_rank(rows.withColumn("_neg_seq", -F.col(seq)), [], "_neg_seq", "_pos")
-    return (ranked.crossJoin(F.broadcast(top))          # one-row scalar
-            .withColumn(out, (F.col("_max_id") + F.col("_pos")).cast("bigint"))
-            .drop("_neg_seq", "_pos", "_max_id"))
+    return (ranked.withColumn(out, (top + F.col("_pos")).cast("bigint"))
+            .drop("_neg_seq", "_pos"))
 
 
 def draw_stock(seq: Column) -> Column:
@@ -72,9 +71,8 @@ def toggle_promotions(promotions: DataFrame, products: DataFrame, toggles: DataF
                .withColumn("active", F.when(F.col("_n").isNotNull() & flip, ~F.col("active"))
                            .otherwise(F.col("active")))
                .drop("_n"))
-    as_of = F.col("as_of")
+    as_of = now.select("as_of").scalar()               # scalar subquery
     inserted = (known.join(has_rows, "product_id", "left_anti")
-                .crossJoin(F.broadcast(now))          # one-row scalar
                 .select("product_id",
                         F.lit(NEW_PROMOTION_DISCOUNT).cast("bigint").alias("promotion_discount"),
                         flip.alias("active"),    # the insert is active, later toggles flip it
@@ -178,10 +176,9 @@ def apply_heartbeats(heartbeats: DataFrame, products: DataFrame,
     """Append the beats (id, ts) and touch product 1's last_update_time with the newest
     beat, as one unit (both outputs derive from the same input batch)."""
     new_hb = heartbeats.unionByName(beats.select(*heartbeats.columns))
-    newest = beats.agg(F.max("ts").alias("_beat"))
-    touched = (products.crossJoin(F.broadcast(newest))   # one-row scalar
-               .withColumn("last_update_time",
-                           F.when((F.col("product_id") == HEARTBEAT_PRODUCT) & F.col("_beat").isNotNull(),
-                                  F.col("_beat")).otherwise(F.col("last_update_time")))
-               .drop("_beat"))
+    beat = beats.agg(F.max("ts")).scalar()             # scalar subquery
+    touched = products.withColumn(
+        "last_update_time",
+        F.when((F.col("product_id") == HEARTBEAT_PRODUCT) & beat.isNotNull(), beat)
+        .otherwise(F.col("last_update_time")))
     return new_hb, touched

@@ -131,24 +131,23 @@ def freshness_gate(samples: DataFrame, stale_after: float = QUERY_STALE_SECONDS)
     last = samples.groupBy("source").agg(
         F.max("ts").alias("last_ts"),
         F.max_by("latency", F.struct("ts", "seq")).alias("_lat"))
-    now = as_of_latest(samples)
-    age = seconds_between(F.col("as_of"), F.col("last_ts"))
+    now = as_of_latest(samples).scalar()          # scalar subquery
+    age = seconds_between(now, F.col("last_ts"))
     fresh = age <= F.lit(stale_after)
-    return (last.crossJoin(F.broadcast(now))     # one-row scalar
+    return (last
             .select("source", "last_ts", age.alias("age_seconds"), fresh.alias("is_fresh"),
                     F.when(fresh, F.col("_lat") * 1000).alias("latency_ms")))
 
 
-def replication_lag(primary: DataFrame, replica: DataFrame, now: DataFrame) -> DataFrame:
+def replication_lag(primary: DataFrame, replica: DataFrame, as_of: Column) -> DataFrame:
     """Lag of a replica from heartbeats (id, ts). The primary's latest heartbeat is the
     highest id, the replica's the latest ts. 0 when the replica has caught up, else
-    (primary ts - replica ts) + (now - primary ts), never below 0. ``now``: one row with
-    column ``as_of``."""
+    (primary ts - replica ts) + (now - primary ts), never below 0."""
     p = primary.agg(F.max_by(F.struct("id", "ts"), "id").alias("p"))
-    r = replica.agg(F.max_by(F.struct("id", "ts"), "ts").alias("r"))
-    lag = (seconds_between(F.col("p.ts"), F.col("r.ts"))
-           + seconds_between(F.col("as_of"), F.col("p.ts")))
-    return (p.crossJoin(r).crossJoin(F.broadcast(now))   # three one-row aggregates
+    r = replica.agg(F.max_by(F.struct("id", "ts"), "ts")).scalar()   # scalar subquery
+    lag = (seconds_between(F.col("p.ts"), r["ts"])
+           + seconds_between(as_of, F.col("p.ts")))
+    return (p.select("p", r.alias("r"))
             .select(F.col("p.id").alias("primary_id"), F.col("r.id").alias("replica_id"),
                     F.when(F.col("r.id") >= F.col("p.id"), F.lit(0.0))
                     .otherwise(F.greatest(F.lit(0.0), lag)).alias("lag_seconds")))
@@ -179,12 +178,12 @@ def resource_stats(samples: DataFrame, n: int = KEEP_SAMPLES,
     agg = kept.groupBy("source").agg(F.count("_p").alias("samples"), F.max("_p").alias("_max"),
                                      F.sum("_p").alias("_sum"), F.max("ts").alias("last_ts"),
                                      F.sort_array(F.collect_list("_p")).alias("_sorted"))
-    now = as_of_latest(samples)
-    fresh = seconds_between(F.col("as_of"), F.col("last_ts")) <= F.lit(stale_after)
+    now = as_of_latest(samples).scalar()          # scalar subquery
+    fresh = seconds_between(now, F.col("last_ts")) <= F.lit(stale_after)
     idx = F.floor(F.col("samples") * 0.99).cast("int") + 1
     p99 = F.when(F.col("samples") >= P99_MIN_SAMPLES, F.element_at("_sorted", idx)).otherwise(F.col("_max"))
     avg = F.col("_sum").cast("double") / F.col("samples")
-    return (agg.crossJoin(F.broadcast(now))
+    return (agg
             .select(F.col("source").alias("container"), "samples", fresh.alias("is_fresh"),
                     F.when(fresh, F.col("_max").cast("double")).alias("max_percent"),
                     F.when(fresh, avg).alias("avg_percent"),

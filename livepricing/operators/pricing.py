@@ -97,10 +97,8 @@ def high_demand(m: Model) -> DataFrame:
            .agg(exact_avg(F.col("sale_price")).alias("avg_sale_price"),
                 F.count(F.lit(1)).alias("total_sales")))
     overall = (m.sales.groupBy("product_id").agg(F.count(F.lit(1)).alias("_c"))
-               .agg(F.avg("_c").alias("_avg_sales")))
-    # one-row scalar: bounded broadcast
-    return (per.crossJoin(F.broadcast(overall))
-            .where(F.col("total_sales") > F.col("_avg_sales")).drop("_avg_sales"))
+               .agg(F.avg("_c")).scalar())       # scalar subquery
+    return per.where(F.col("total_sales") > overall)
 
 
 def assemble_factors(products: DataFrame, recent: DataFrame, promo: DataFrame,

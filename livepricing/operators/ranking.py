@@ -59,8 +59,8 @@ def full_rank(df: DataFrame, group: Sequence[str], value: str, out: str,
     if group:
         hb = hist.join(bounds, group)
     else:
-        # one row of at most ``buckets`` numbers: bounded broadcast
-        hb = hist.crossJoin(F.broadcast(bounds))
+        # one row of at most ``buckets`` numbers: a scalar subquery
+        hb = hist.withColumn("_bounds", bounds.select("_bounds").scalar())
     # bucket 0 holds the largest values
     hb = hb.withColumn("_b", F.size(F.filter("_bounds", lambda b: b > F.col(value)))).drop("_bounds")
     local = hb.withColumn("_before", F.coalesce(F.sum("_n").over(

@@ -199,8 +199,7 @@ def add_products(spark, sf_dir):
     new = ev.select(F.concat(F.lit("New product "), F.col("event_id").cast("string")).alias("product_name"),
                     (F.lit(101) + F.col("user_id") % 25).cast("bigint").alias("category_id"),
                     cents(F.col("value")).alias("price"), F.col("event_id").alias("seq"))
-    now = as_of(spark, sf_dir)
-    out = CH.add_products(m.products, new.crossJoin(F.broadcast(now)), F.col("as_of"))
+    out = CH.add_products(m.products, new, as_of(spark, sf_dir).scalar())
     return out["products"].select("product_id", "product_name", "category_id",
                                   money(F.col("base_price")).alias("base_price"), "last_update_time")
 

@@ -106,9 +106,8 @@ rep AS (SELECT hb.* FROM hb, n WHERE hb.ts < n.as_of - INTERVAL 6 HOURS)"""
 def heartbeats(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     primary = ev.where(F.col("event_type") == "view").select(F.col("event_id").alias("id"), "ts")
-    as_of = ev.agg(F.max("ts").alias("as_of"))
-    replica = (primary.crossJoin(F.broadcast(as_of))        # one-row scalar
-               .where(F.col("ts") < F.col("as_of") - F.expr("INTERVAL 6 HOURS")).drop("as_of"))
+    as_of = ev.agg(F.max("ts")).scalar()                   # scalar subquery
+    replica = primary.where(F.col("ts") < as_of - F.expr("INTERVAL 6 HOURS"))
     return primary, replica, as_of
 
 
@@ -145,10 +144,8 @@ def refresh_log(spark, sf_dir):
 SELECT view_name, last_refresh, refresh_duration,
        (epoch_us(as_of) - epoch_us(last_refresh)) / 1e6 AS age_seconds FROM log, n""", ids="T6")
 def refresh_age(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events")
-    now = ev.agg(F.max("ts").alias("as_of"))
-    log = refresh_log(spark, sf_dir).crossJoin(F.broadcast(now))
-    return M.refresh_age(log, F.col("as_of"))
+    now = read_table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    return M.refresh_age(refresh_log(spark, sf_dir), now)
 
 
 @register("reaction_time", pricing_sql("""
@@ -157,8 +154,8 @@ SELECT product_id, (epoch_us(as_of) - epoch_us(last_update_time)) / 1e6 AS react
 FROM dynamic_pricing, n"""), ids="T8")
 def reaction_time(spark, sf_dir):
     m = model_for(spark, sf_dir)
-    now = read_table(spark, sf_dir, "events").agg(F.max("ts").alias("as_of"))
-    return M.reaction_time(dynamic_pricing(m).crossJoin(F.broadcast(now)), F.col("as_of"))
+    now = read_table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
+    return M.reaction_time(dynamic_pricing(m), now)
 
 
 RESOURCE_SQL = """SELECT event_type AS source, ts, event_id AS seq, LEAST(value, 100.0) AS latency

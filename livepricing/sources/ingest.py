@@ -212,9 +212,10 @@ def synthetic_products(spark: SparkSession, n: int, seed: int = 42) -> DataFrame
 def random_picks(keys: DataFrame, batches: int, per_batch: int, seed: int) -> DataFrame:
     """O4 per batch: ORDER BY random() LIMIT per_batch over the keys, independently for
     each batch (so each batch draws a key at most once)."""
-    b = keys.sparkSession.range(batches).withColumnRenamed("id", "batch")
-    # batches x keys, limited to per_batch per batch before the shuffle
-    pairs = keys.crossJoin(F.broadcast(b)).withColumn("_r", _u(seed, F.col("batch"), F.col("product_id")))
+    # every key once per batch (a generator, not a join), limited to per_batch per batch
+    # before the shuffle
+    pairs = (keys.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(batches - 1).cast("bigint"))))
+             .withColumn("_r", _u(seed, F.col("batch"), F.col("product_id"))))
     return top_k_per_group(pairs, ["batch"], [F.col("_r")], per_batch).drop("_r", "_rn")
 
 

@@ -92,10 +92,10 @@ def pinned_cart_summary(store: SnapshotStore) -> DataFrame:
     lines = store.read("cart_lines", v)
     totals = store.read("category_totals", v)
     grand = (totals.where(F.col("parent_id").isNull())
-             .agg(F.coalesce(F.sum(F.round(F.col("total") * 1e6).cast("bigint")), F.lit(0)).alias("_g")))
-    return (C.cart_total(lines).crossJoin(F.broadcast(grand))
-            .select(F.lit(v).alias("version"), "cart_total",
-                    (F.expr("div(_g + 5000, 10000)").cast("double") / 100.0).alias("categories_total")))
+             .agg(F.coalesce(F.sum(F.round(F.col("total") * 1e6).cast("bigint")), F.lit(0)).alias("_g"))
+             .select((F.expr("div(_g + 5000, 10000)").cast("double") / 100.0)).scalar())
+    return C.cart_total(lines).select(F.lit(v).alias("version"), "cart_total",
+                                      grand.alias("categories_total"))
 
 
 # --- T1: replica from a change stream ------------------------------------------------------------
