@@ -92,10 +92,12 @@ def stock_rank_top(m: Model, k: int = RANK_NEAR) -> DataFrame:
 
 def high_demand(m: Model) -> DataFrame:
     """V5: products sold more often than the average product (scalar subquery)."""
-    per = (m.sales.join(m.products.select("product_id"), "product_id")
-           .groupBy("product_id")
+    # aggregate first (partial aggregates, a hot product collapses map-side), then keep
+    # products that exist: the same rows as joining sales to products before grouping
+    per = (m.sales.groupBy("product_id")
            .agg(exact_avg(F.col("sale_price")).alias("avg_sale_price"),
-                F.count(F.lit(1)).alias("total_sales")))
+                F.count(F.lit(1)).alias("total_sales"))
+           .join(m.products.select("product_id"), "product_id", "left_semi"))
     overall = (m.sales.groupBy("product_id").agg(F.count(F.lit(1)).alias("_c"))
                .agg(F.avg("_c")).scalar())       # scalar subquery
     return per.where(F.col("total_sales") > overall)

@@ -158,8 +158,11 @@ def orphan_counts(m: Model) -> DataFrame:
     keys = m.products.select("product_id")
     out = None
     for name, df in (("sales", m.sales), ("promotions", m.promotions), ("inventory", m.inventory)):
-        part = (df.join(keys, "product_id", "left_anti")
-                .agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("table"), "orphans"))
+        # rows per key first (partial aggregate), so only one row per key is shuffled
+        part = (df.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+                .join(keys, "product_id", "left_anti")
+                .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphans"))
+                .select(F.lit(name).alias("table"), "orphans"))
         out = part if out is None else out.unionByName(part)
     return out
 
