@@ -1,10 +1,9 @@
 """Size-checked small sets.
 
 A cart, a request's id list or a per-category summary is usually tiny, yet it feeds many
-joins. When (and only when) it is proven small - at most ``limit`` rows, checked by
-fetching ``limit + 1`` - it is brought to the driver once: key lists become literal
-``IN`` filters that reach the Parquet scans, small tables become local relations that
-every consumer broadcasts. Above the bound the set is written once to the shared
+joins. When (and only when) it is proven small - at most ``limit`` keys, checked by fetching
+``limit + 1`` - it is brought to the driver once and becomes a literal ``IN`` filter that
+reaches the Parquet scans. Above the bound the caller writes the set once to the shared
 checkpoint folder instead, so it is still computed only once.
 """
 
@@ -12,10 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import materialize
 
 MAX_LITERAL_KEYS = 10_000
-MAX_LOCAL_ROWS = 10_000
 
 
 def bounded_keys(df: DataFrame, col: str, limit: int = MAX_LITERAL_KEYS) -> list | None:
@@ -24,12 +21,3 @@ def bounded_keys(df: DataFrame, col: str, limit: int = MAX_LITERAL_KEYS) -> list
     if len(rows) > limit:
         return None
     return sorted(r[0] for r in rows if r[0] is not None)
-
-
-def small_or_materialized(df: DataFrame, name: str, limit: int = MAX_LOCAL_ROWS) -> DataFrame:
-    """``df`` computed once: as a local relation when it has at most ``limit`` rows,
-    otherwise as a Parquet table written to the shared checkpoint folder."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema)
-    return materialize(df, name)
