@@ -48,9 +48,13 @@ def main() -> None:
         registry[name].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
+    failed = {}
     for n in names:          # warm-up (JIT, file listing, the per-model closure)
-        run(n)
-    times = {n: min(run(n) for _ in range(runs)) for n in names}
+        try:
+            run(n)
+        except Exception as e:  # keep benchmarking the others; report the failure
+            failed[n] = f"{type(e).__name__}: {str(e)[:200]}"
+    times = {n: min(run(n) for _ in range(runs)) for n in names if n not in failed}
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
         "metric": "headline_queries_total",
@@ -59,6 +63,8 @@ def main() -> None:
         "queries": {n: round(t, 3) for n, t in times.items()},
         "sf": float(m.group(1)) if m else sf_dir,
     }
+    if failed:
+        out["failed"] = failed
     print(json.dumps(out), flush=True)
     spark.stop()
 
