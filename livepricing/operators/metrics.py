@@ -29,8 +29,9 @@ PIPELINE_FLOOR_MS, PIPELINE_BASE_MS, PIPELINE_TAIL_MS, PIPELINE_DEFAULT_MS = 70,
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    """EXTRACT(EPOCH FROM later - earlier) as DOUBLE seconds (microsecond exact)."""
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 1e6
+    """EXTRACT(EPOCH FROM later - earlier) as DOUBLE seconds (microsecond exact). Computed
+    on the values themselves, so TIMESTAMP_NTZ inputs do not depend on the session zone."""
+    return F.timestamp_diff("MICROSECOND", earlier, later) / 1e6
 
 
 def ms_exact(latency_s: Column) -> Column:
