@@ -9,7 +9,7 @@ explicit column or literal so results are reproducible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import ordered_fill, time_bucket

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ..functions.money import money
 from ..operators import changes as CH
-from ..operators.cart import cart_lines
 from ..operators.pricing import assemble_factors, popularity_top, prices_from_factors, stock_top
 from ..operators.ranking import top_k_per_group
 from ..sources.model import RECENT_SALES, Model
