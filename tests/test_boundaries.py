@@ -56,3 +56,11 @@ def test_cached_refresh_equals_on_demand_and_logs(spark):
     assert len(log) == 1 and log[0].view_name == "mv_dynamic_pricing" and log[0].refresh_duration >= 0
     ages = M.refresh_age(store.read("refresh_log"), F.current_timestamp()).first()
     assert ages.age_seconds >= 0
+
+
+def test_cluster_sizing():
+    from livepricing.session import cluster_conf
+    conf = cluster_conf(100 * 1024 ** 4, cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    small = cluster_conf(10 * 1024 ** 2, cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
