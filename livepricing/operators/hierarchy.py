@@ -30,8 +30,8 @@ class CategoryCycleError(RuntimeError):
 
 
 def ancestor_pairs(categories: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(category_id, ancestor_id, depth): every category with itself (depth 0) and each of
-    its ancestors. One distributed join per tree level; the loop only asks Spark whether
+    """(category_id, ancestor_id, depth, ancestor attributes): every category with itself
+    (depth 0) and each of its ancestors. One distributed join per tree level; the loop only asks Spark whether
     the next level is empty. The edge list is cached while the loop runs (it is re-read
     once per level) and released afterwards."""
     edges = (categories.where(F.col("parent_id").isNotNull())
@@ -55,6 +55,17 @@ def ancestor_pairs(categories: DataFrame, max_depth: int = MAX_DEPTH) -> DataFra
         out = levels[0]
         for lv in levels[1:]:
             out = out.unionByName(lv)
+        # each pair carries its ancestor's attributes, so rollups need no further joins
+        attrs = categories.select(F.col("category_id").alias("ancestor_id"),
+                                  F.col("parent_id").alias("ancestor_parent"),
+                                  F.col("category_name").alias("ancestor_name"),
+                                  F.lit(True).alias("ancestor_known"))
+        kids = parents_with_children(categories).select(
+            F.col("category_id").alias("ancestor_id"), F.lit(True).alias("ancestor_has_children"))
+        out = (out.join(attrs, "ancestor_id", "left").join(kids, "ancestor_id", "left")
+               .select("category_id", "ancestor_id", "depth", "ancestor_parent", "ancestor_name",
+                       F.coalesce("ancestor_known", F.lit(False)).alias("ancestor_known"),
+                       F.coalesce("ancestor_has_children", F.lit(False)).alias("ancestor_has_children")))
         # reliable checkpoint in the shared folder: survives executor loss, cuts lineage
         checkpoint_dir(categories.sparkSession)
         return out.checkpoint(eager=True)
@@ -93,34 +104,30 @@ def direct_totals(lines: DataFrame) -> DataFrame:
 def category_totals_exact(m: Model, lines: DataFrame) -> DataFrame:
     """V8 with exact totals in millionths (``total_m``), as one linear plan.
 
-    Each category's direct (total, count) is joined to its ancestor pairs once. Every pair
-    emits a rollup contribution to the ancestor (role T), and the depth-0 pair also emits
-    the category's own direct items (role O, the candidate "Other" row). One aggregate
-    sums both roles; the category names and the has-children flag are joined once, and a
-    single projection shapes both kinds of rows. Nothing below is computed twice."""
+    Each category's direct (total, count) is joined to its ancestor pairs, which carry the
+    ancestor's name, parent and has-children flag. Every pair contributes to its ancestor's
+    rollup (role T); the depth-0 pair also contributes the category's own direct items
+    (role O, the candidate "Other" row). One aggregate sums both roles and one projection
+    shapes both kinds of rows; nothing below is computed twice."""
     direct = direct_totals(lines)
-    joined = direct.join(closure_of(m).select("category_id", "ancestor_id", "depth"), "category_id")
-    role = F.filter(F.array(
-        F.struct(F.lit("T").alias("role"), F.col("ancestor_id").alias("key")),
-        F.when(F.col("depth") == 0, F.struct(F.lit("O").alias("role"), F.col("category_id").alias("key")))),
-        lambda r: r.isNotNull())
-    agg = (joined.select(F.explode(role).alias("r"), "total_m", "item_count")
-           .groupBy(F.col("r.role").alias("role"), F.col("r.key").alias("key"))
+    role = F.filter(F.array(F.lit("T"), F.when(F.col("depth") == 0, F.lit("O"))), lambda r: r.isNotNull())
+    agg = (direct.join(closure_of(m), "category_id")
+           .select(F.explode(role).alias("role"), "ancestor_id", "ancestor_parent", "ancestor_name",
+                   "ancestor_known", "ancestor_has_children", "total_m", "item_count")
+           .groupBy("role", "ancestor_id", "ancestor_parent", "ancestor_name", "ancestor_known",
+                    "ancestor_has_children")
            .agg(F.sum("total_m").alias("total_m"), F.sum("item_count").alias("item_count"))
            .where(F.col("item_count") > 0))
-    cats = m.categories.select(F.col("category_id").alias("key"), "parent_id", "category_name",
-                               F.lit(True).alias("_known"))
-    kids = parents_with_children(m.categories).select(F.col("category_id").alias("key"),
-                                                      F.lit(True).alias("_has"))
     total = F.col("role") == "T"
-    has = F.coalesce(F.col("_has"), F.lit(False))
-    return (agg.join(cats, "key", "left").join(kids, "key", "left")
-            # rollup rows need a real category; "Other" rows need children and items
-            .where((total & F.col("_known").isNotNull()) | (~total & has))
-            .select(F.when(total, F.col("key")).otherwise(F.col("key") + OTHER_ID_OFFSET).alias("category_id"),
-                    F.when(total, F.col("parent_id")).otherwise(F.col("key")).alias("parent_id"),
+    has = F.col("ancestor_has_children")
+    key = F.col("ancestor_id")
+    return (agg
+            # rollup rows need a real category; "Other" rows need children (and items)
+            .where((total & F.col("ancestor_known")) | (~total & has))
+            .select(F.when(total, key).otherwise(key + OTHER_ID_OFFSET).alias("category_id"),
+                    F.when(total, F.col("ancestor_parent")).otherwise(key).alias("parent_id"),
                     (total & has).alias("has_subcategory"),
-                    F.when(total, F.col("category_name")).otherwise(F.lit(OTHER_NAME)).alias("category_name"),
+                    F.when(total, F.col("ancestor_name")).otherwise(F.lit(OTHER_NAME)).alias("category_name"),
                     "total_m", "item_count"))
 
 

@@ -71,7 +71,7 @@ SELECT * FROM (
           ids="R1")
 @on_model
 def ancestor_closure(m):
-    return H.ancestor_pairs(m.categories)
+    return H.ancestor_pairs(m.categories).select("category_id", "ancestor_id", "depth")
 
 
 @register("other_rows",
