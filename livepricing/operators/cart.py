@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import micros, round2_from_micros
-from ..session import materialize
+from ..session import stage_table
 from .bounded import bounded_keys
 from ..sources.model import Model
 from . import hierarchy as H
@@ -32,7 +32,7 @@ def cart_lines(m: Model, prices: DataFrame | None = None) -> DataFrame:
     # the restriction reaches the Parquet readers; a huge cart is written once instead
     in_cart = bounded_keys(copies, "product_id")
     if in_cart is None:
-        copies = materialize(copies, "cart-copies")
+        copies = stage_table(copies, "cart-copies")
         in_cart = copies.select("product_id").distinct()
     if prices is None:
         prices = dynamic_pricing(m, restrict_to=in_cart)

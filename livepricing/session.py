@@ -85,7 +85,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write a (small) intermediate once as Parquet in the shared checkpoint folder and read
     it back: one job, lineage cut, survives executor loss. ``checkpoint(eager=True)`` would
     compute the plan twice (once to count, once to save)."""

@@ -22,7 +22,7 @@ from .model import Model
 
 # Fixed values that must equal the reference's for the same results.
 PRODUCT_ONE = 1
-CORRECTIONS = {   # dataset -> (name, base price) of product 1 after the load
+CORRECTIONS = {   # vertical -> (name, base price) of product 1 after the load
     "retail": ("Fresh Red Delicious Apple", 0.75),
     "finance": ("Apple", 175.25),
 }
