@@ -105,3 +105,22 @@ def cached_refresh(spark, sf_dir):
     m = model_for(spark, sf_dir)
     store = J.refresh_cached_pricing(spark, m)
     return store.read("prices")
+
+
+# --- E1: the priced point read in the two stored modes ----------------------------------------
+
+@register("point_read_cached", "WITH " + ",".join([MODEL, PRICING])
+          + "\nSELECT * FROM dynamic_pricing WHERE product_id = 1", ids="P8 T5 T17")
+def point_read_cached(spark, sf_dir):
+    """The point lookup served from the newest committed batch refresh."""
+    m = model_for(spark, sf_dir)
+    if "cached_store" not in m.extra:
+        m.extra["cached_store"] = J.refresh_cached_pricing(spark, m)
+    return m.extra["cached_store"].read("prices").where(F.col("product_id") == 1)
+
+
+@register("point_read_incremental", final_sql(PRICING, body="SELECT * FROM dynamic_pricing WHERE product_id = 1"),
+          ids="P8 T2 T17")
+def point_read_incremental(spark, sf_dir):
+    """The point lookup served from the newest committed incremental version."""
+    return pricing_store(spark, sf_dir).read("prices").where(F.col("product_id") == 1)

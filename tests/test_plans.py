@@ -7,7 +7,8 @@ from conftest import SF_SMALL
 
 # builders that run a stream or write while building are covered by their own tests
 SIDE_EFFECTS = {"stream_pricing", "stream_cart", "stream_category_totals", "snapshot_read",
-                "stream_replica", "stream_rate", "cached_refresh", "load_csv"}
+                "stream_replica", "stream_rate", "cached_refresh", "load_csv",
+                "point_read_cached", "point_read_incremental"}
 
 
 def plan_of(df) -> str:
