@@ -31,9 +31,16 @@ def upsert(current: DataFrame, updates: DataFrame, key: str, order: str | None =
     return current.join(updates.select(key), key, "left_anti").unionByName(updates)
 
 
-def insert_ignore(current: DataFrame, new_rows: DataFrame, key: str) -> DataFrame:
-    """IO8 (INSERT ... ON CONFLICT DO NOTHING): only rows with an unseen key are added."""
-    fresh = new_rows.join(current.select(key), key, "left_anti").dropDuplicates([key])
+def insert_ignore(current: DataFrame, new_rows: DataFrame, key: str,
+                  order: str | None = None) -> DataFrame:
+    """IO8 (INSERT ... ON CONFLICT DO NOTHING): only rows with an unseen key are added. When
+    the batch itself repeats a key, the first row in ``order`` wins (as the first insert
+    would); without an order any one of them is kept."""
+    fresh = new_rows.join(current.select(key), key, "left_anti")
+    if order is None:
+        fresh = fresh.dropDuplicates([key])
+    else:   # bounded: one row per key per map partition moves
+        fresh = top_k_per_group(fresh, [key], [F.col(order).asc()], 1).drop("_rn")
     return current.unionByName(fresh)
 
 

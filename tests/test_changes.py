@@ -65,3 +65,10 @@ def test_cart_delete_removes_every_row_with_the_ts(spark):
     cart = spark.createDataFrame([(1, "t1"), (2, "t1"), (3, "t2")], "product_id bigint, ts string")
     out = CH.cart_delete(cart, spark.createDataFrame([("t1",)], "ts string"))
     assert [r.product_id for r in out.collect()] == [3]
+
+
+def test_insert_ignore_first_of_batch_wins(spark):
+    cur = spark.createDataFrame([("a", 1, 0)], "k string, v int, seq int")
+    new = spark.createDataFrame([("b", 7, 2), ("b", 5, 1), ("a", 9, 0)], "k string, v int, seq int")
+    got = sorted(tuple(r) for r in CH.insert_ignore(cur, new, "k", order="seq").collect())
+    assert got == [("a", 1, 0), ("b", 5, 1)]
