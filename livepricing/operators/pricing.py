@@ -45,7 +45,7 @@ def recent_prices(m: Model, restrict_to=None,
     """
     sales = restrict(m.sales, restrict_to).select("product_id", "price", "sale_date",
                                                *m.sale_tiebreak)
-    top = top_k_per_group(sales, ["product_id"], m.sale_order(), k)
+    top = top_k_per_group(sales, ["product_id"], m.sale_order_sql(), k)
     return top.groupBy("product_id").agg(exact_avg(F.col("price")).alias("avg_price"))
 
 

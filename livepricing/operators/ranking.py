@@ -22,8 +22,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
+def _q(c: str) -> str:
+    return f"`{c}`"
+
+
+def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column] | str, k: int,
                     rn: str = "_rn") -> DataFrame:
+    """Rows with row_number() <= k per group. ``order`` is either Columns or SQL order text
+    (one JVM call for the whole window instead of one per node)."""
+    if isinstance(order, str):
+        part = f"PARTITION BY {', '.join(_q(g) for g in group)} " if group else ""
+        return (df.selectExpr("*", f"row_number() OVER ({part}ORDER BY {order}) AS {_q(rn)}")
+                .where(f"{_q(rn)} <= {int(k)}"))
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= k)
 
@@ -32,11 +42,13 @@ def top_k_rank(df: DataFrame, group: Sequence[str], value: str, k: int, out: str
     """Adds ``out`` = RANK() OVER (PARTITION BY group ORDER BY value DESC) where it is <= k,
     NULL where it is larger. Bounded: at most k rows per group are ranked."""
     group = list(group)
-    vals = df.select(*group, value).where(F.col(value).isNotNull())
+    vals = df.select(*group, value).where(f"{_q(value)} IS NOT NULL")
     if group:
-        top = top_k_per_group(vals, group, [F.col(value).desc()], k).drop("_rn")
-        ranked = top.withColumn(out, F.rank().over(
-            Window.partitionBy(*group).orderBy(F.col(value).desc()))).distinct()
+        cols = ", ".join(_q(g) for g in group)
+        top = top_k_per_group(vals, group, f"{_q(value)} DESC", k)
+        ranked = top.selectExpr(
+            *[_q(g) for g in group], _q(value),
+            f"rank() OVER (PARTITION BY {cols} ORDER BY {_q(value)} DESC) AS {_q(out)}").distinct()
         # one row per (group, top value); at most k per group, sized by AQE at runtime
         return df.join(ranked, group + [value], "left")
     # global: TakeOrdered keeps k rows per partition, then k rows in total

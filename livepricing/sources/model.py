@@ -56,6 +56,10 @@ class Model:
     def sale_order(self) -> list[Column]:
         return [F.col("sale_date").desc()] + [F.col(c).desc() for c in self.sale_tiebreak]
 
+    def sale_order_sql(self) -> str:
+        """The same order as SQL text: newest first, then the tie-breaks descending."""
+        return ", ".join(f"`{c}` DESC" for c in ("sale_date", *self.sale_tiebreak))
+
 
 def cents(col) -> "F.Column":
     """A DOUBLE holding a 2-decimal amount -> exact integer hundredths."""
