@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions.money import micros, round2_from_micros
 from ..session import stage_table
-from .bounded import bounded_keys
 from ..sources.model import Model
 from . import hierarchy as H
+from .bounded import MAX_LITERAL_KEYS, bounded_keys
 from .pricing import dynamic_pricing, restrict
 
 # Fixed values that must equal the reference's for the same results.
 MESSAGE_TEMPLATE = "With the current items in your cart ($count$ items totaling $$total$),"
 
 
-def cart_lines(m: Model, prices: DataFrame | None = None) -> DataFrame:
+def cart_lines(m: Model, prices: DataFrame | None = None,
+               key_limit: int = MAX_LITERAL_KEYS) -> DataFrame:
     """V7: one row per (product, cart name) with its live price and available stock.
 
     Duplicate cart rows collapse into one line, and, as in the reference's grouping over
@@ -30,7 +31,7 @@ def cart_lines(m: Model, prices: DataFrame | None = None) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("_copies")))
     # the cart (usually small) restricts a dozen scans: as a size-checked literal id list
     # the restriction reaches the Parquet readers; a huge cart is written once instead
-    in_cart = bounded_keys(copies, "product_id")
+    in_cart = bounded_keys(copies, "product_id", key_limit)
     if in_cart is None:
         copies = stage_table(copies, "cart-copies")
         in_cart = copies.select("product_id").distinct()

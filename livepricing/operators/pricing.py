@@ -2,9 +2,11 @@
 the flagship per-product adjusted price.
 
 Every function takes a ``Model`` and returns a DataFrame; nothing is collected.
-``restrict_to`` (a DataFrame with a ``product_id`` column) prices only those products,
-exactly: the per-product parts are semi-joined to it, popularity ranks are computed over
-the whole categories those products belong to, and the stock rank stays global.
+``restrict_to`` prices only some products, exactly. It is a size-checked list of ids (a
+literal IN pushed into the Parquet scans) or a DataFrame of ids (semi-joins). The
+per-product parts read only those products; popularity is ranked over every product of
+the categories involved, counting only those products' sales; the stock rank stays
+global.
 """
 
 from __future__ import annotations

@@ -57,3 +57,13 @@ def test_cycle_raises(spark):
                                  "category_id bigint, category_name string, parent_id bigint")
     with pytest.raises(H.CategoryCycleError):
         H.ancestor_pairs(cats, max_depth=5)
+
+
+def test_cart_lines_large_cart_fallback_matches_literal_path(spark):
+    from conftest import SF_SMALL
+    from livepricing.sources.model import from_driver_tables
+    m = from_driver_tables(spark, SF_SMALL)
+    small = sorted(tuple(r) for r in C.cart_lines(m).collect())
+    # a key limit of 1 forces the over-the-bound path: cart written once, semi-joins
+    big = sorted(tuple(r) for r in C.cart_lines(m, key_limit=1).collect())
+    assert small == big and len(small) > 1
