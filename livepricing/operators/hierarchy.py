@@ -172,7 +172,9 @@ def drilldown(m: Model, lines: DataFrame, expanded: str | None,
                     F.col("item_count").cast("bigint").alias("item_count"),
                     round2_from_micros("total_m").alias("subtotal"),
                     round2_from_micros("_grand_m").alias("categories_total"))
-            .orderBy(F.coalesce("parent_id", "category_id"), "category_id"))
+            # the grand-total window already gathered these (cart-bounded) rows into one
+            # partition: sorting it gives the global tree order without a sampling job
+            .sortWithinPartitions(F.coalesce("parent_id", "category_id"), "category_id"))
 
 
 def category_list(m: Model) -> DataFrame:

@@ -67,3 +67,12 @@ def test_cart_lines_large_cart_fallback_matches_literal_path(spark):
     # a key limit of 1 forces the over-the-bound path: cart written once, semi-joins
     big = sorted(tuple(r) for r in C.cart_lines(m, key_limit=1).collect())
     assert small == big and len(small) > 1
+
+
+def test_drilldown_rows_come_in_tree_order(spark):
+    from conftest import SF_SMALL
+    from livepricing.sources.model import from_driver_tables
+    m = from_driver_tables(spark, SF_SMALL)
+    rows = [(r.parent_id, r.category_id) for r in H.drilldown(m, C.cart_lines(m), "1,2,3,4,5").collect()]
+    keys = [((p if p is not None else c), c) for p, c in rows]
+    assert keys == sorted(keys) and len(rows) > 5
