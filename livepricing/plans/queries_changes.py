@@ -300,14 +300,29 @@ def table_size(spark, sf_dir):
     return IN.table_size_gb(spark, sf_dir)
 
 
-@register("load_csv", None, ids="IO1 IO2")
+@register("load_csv", with_model(body="""
+SELECT product_id, CAST(sale_price AS DECIMAL(10,2)) AS sale_price, sale_date,
+       CAST(price AS DECIMAL(10,2)) AS price FROM sales"""), ids="IO1 IO2")
 def load_csv(spark, sf_dir):
-    """Round trip: the model's sales written as CSV chunks to the shared folder, then loaded
-    back with an explicit schema (the chunked bulk load)."""
+    """Round trip: the model's sales written as headered CSV chunks to the shared folder,
+    then bulk-loaded back with the explicit sales schema (NUMERIC(10,2) money)."""
     m = model_for(spark, sf_dir)
     out = scratch_path(spark, "sales_chunks")
     (m.sales.select(F.monotonically_increasing_id().alias("sale_id"), "product_id",
                     money(F.col("sale_price")).alias("sale_price"), "sale_date",
                     money(F.col("price")).alias("price"))
      .write.option("header", True).csv(out))
-    return IN.load_chunks(spark, out, S.SALES, pattern="part-*")
+    return IN.load_chunks(spark, out, S.SALES, pattern="part-*").drop("sale_id")
+
+
+@register("synthetic_products", """
+SELECT i AS product_id,
+       'Product ' || i || ' ' || CASE i % 5 WHEN 0 THEN 'Premium' WHEN 1 THEN 'Standard'
+                                 WHEN 2 THEN 'Basic' WHEN 3 THEN 'Cheap' ELSE 'Luxury' END AS product_name,
+       1 + i % 10 AS category_id, 1 + i % 5 AS supplier_id
+FROM generate_series(1, (SELECT count(*) FROM part)) t(i)""", ids="IO9 F7 F8 F12")
+def synthetic_products(spark, sf_dir):
+    """The generator's products, as many as the part table has (deterministic columns)."""
+    n = read_table(spark, sf_dir, "part").count()
+    return IN.synthetic_products(spark, n).select("product_id", "product_name", "category_id",
+                                                  "supplier_id")
