@@ -68,3 +68,18 @@ def test_parameter_table_and_analyze(spark):
 def test_table_size_lists_files_only(spark):
     got = IN.table_size_gb(spark, "/root/testdata/sf0.001").first()
     assert got.files >= 8 and got.bytes > 0
+
+
+def test_generator_picks_and_warehouses(spark):
+    products = IN.synthetic_products(spark, 50)
+    picks = IN.random_picks(products.select("product_id"), batches=4, per_batch=20, seed=3)
+    per_batch = {r.batch: r.n for r in picks.groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert per_batch == {0: 20, 1: 20, 2: 20, 3: 20}
+    assert picks.select("batch", "product_id").distinct().count() == 80   # no key twice per batch
+    inv = IN.synthetic_inventory(products, 2, 10)
+    whs = {r.warehouse_id for r in inv.select("warehouse_id").distinct().collect()}
+    assert whs <= {2, 3, 4, 5, 6} and inv.count() == 20
+    assert all(0 <= r.stock < 1000 for r in inv.collect())
+    sales = IN.synthetic_sales(products, 3, 50, hot_share=0.3)
+    counts = {r.product_id: r.n for r in sales.groupBy("product_id").agg(F.count("*").alias("n")).collect()}
+    assert counts[1] == 3 + int(3 * 50 * 0.3)                               # the hot product
