@@ -76,3 +76,15 @@ def test_drilldown_rows_come_in_tree_order(spark):
     rows = [(r.parent_id, r.category_id) for r in H.drilldown(m, C.cart_lines(m), "1,2,3,4,5").collect()]
     keys = [((p if p is not None else c), c) for p, c in rows]
     assert keys == sorted(keys) and len(rows) > 5
+
+
+def test_empty_cart(spark):
+    cats = [(1, "root", None), (2, "leaf", 1)]
+    m = make_model(spark, [(10, "x", 1000, 2)], [(1, 10, 1000, 0)], categories=cats, cart=[])
+    lines = C.cart_lines(m)
+    assert lines.count() == 0
+    assert C.cart_total(lines).first().cart_total == 0.0
+    assert H.category_totals(m, lines).count() == 0
+    assert H.drilldown(m, lines, "1").count() == 0
+    msg = C.cart_message(lines).first()
+    assert msg.item_count == 0 and "(0 items totaling $0.00)" in msg.message
