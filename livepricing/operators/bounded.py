@@ -21,3 +21,9 @@ def bounded_keys(df: DataFrame, col: str, limit: int = MAX_LITERAL_KEYS) -> list
     if len(rows) > limit:
         return None
     return sorted(r[0] for r in rows if r[0] is not None)
+
+
+def bounded_rows(df: DataFrame, limit: int = MAX_LITERAL_KEYS) -> list | None:
+    """The rows of ``df`` if there are at most ``limit`` of them, else None."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None

@@ -10,7 +10,7 @@ from ..functions.money import micros, round2_from_micros
 from ..session import stage_table
 from ..sources.model import Model
 from . import hierarchy as H
-from .bounded import MAX_LITERAL_KEYS, bounded_keys
+from .bounded import MAX_LITERAL_KEYS, bounded_rows
 from .pricing import dynamic_pricing, restrict
 
 # Fixed values that must equal the reference's for the same results.
@@ -29,10 +29,15 @@ def cart_lines(m: Model, prices: DataFrame | None = None,
     """
     copies = (m.shopping_cart.groupBy("product_id", "product_name")
               .agg(F.count(F.lit(1)).alias("_copies")))
-    # the cart (usually small) restricts a dozen scans: as a size-checked literal id list
-    # the restriction reaches the Parquet readers; a huge cart is written once instead
-    in_cart = bounded_keys(copies, "product_id", key_limit)
-    if in_cart is None:
+    # The cart aggregate (usually small) restricts a dozen scans. Proven small (at most
+    # key_limit lines, checked by fetching one more), it becomes a local relation plus a
+    # literal id list that reaches the Parquet readers; the cart is computed once either way.
+    # A larger cart is written once to the shared checkpoint folder instead.
+    lines = bounded_rows(copies, key_limit)
+    if lines is not None:
+        copies = copies.sparkSession.createDataFrame(lines, copies.schema)
+        in_cart = sorted({r["product_id"] for r in lines if r["product_id"] is not None})
+    else:
         copies = stage_table(copies, "cart-copies")
         in_cart = copies.select("product_id").distinct()
     if prices is None:
