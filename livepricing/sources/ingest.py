@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranking import full_rank, top_k_per_group
+from ..session import stage_table
 from . import schemas as S
 from .model import Model
 
@@ -123,8 +124,12 @@ def load_csv_model(spark: SparkSession, folder: str, dataset: str | None = None,
 def half_products(products: DataFrame) -> DataFrame:
     """IO10: product 1 plus every other remaining product in key order (1st, 3rd, ...).
     The position comes from a distributed rank, not a single-partition row_number."""
+    # the rank reads its input several times: rank the (written once) key column only
+    keys = stage_table(products.where(F.col("product_id") != PRODUCT_ONE)
+                       .select((-F.col("product_id")).alias("_neg")), "product-keys")
+    positions = full_rank(keys, [], "_neg", "_pos")
     rest = products.where(F.col("product_id") != PRODUCT_ONE).withColumn("_neg", -F.col("product_id"))
-    ranked = full_rank(rest, [], "_neg", "_pos")
+    ranked = rest.join(positions, "_neg")
     kept = ranked.where(F.col("_pos") % 2 == 1).drop("_neg", "_pos")
     return products.where(F.col("product_id") == PRODUCT_ONE).unionByName(kept)
 
