@@ -11,7 +11,7 @@ smaller id, or earlier in the same one. All strings are judged on the input.
    (every window in them starts earlier in the first). So copies meet the next step once.
 3. Shards. Where an anchor has unlike contexts, the remaining ones are dealt by the anchor with
    the longer half of what a shared window must hold (its left or its right side: one of the two
-   is shared). The contexts of a shard get suffix arrays by induced sorting; neighbours in order
+   is shared); of equal slices the first stays again. The contexts of a shard get suffix arrays by induced sorting; neighbours in order
    with a permuted common prefix of ``length`` or more are equal windows, and all but the
    earliest of them go.
 4. The spans found meet their documents again; the rest of each text is hashed.
@@ -208,33 +208,36 @@ def _suffixes(length: int, block_bytes: int):
     """From rows sorted by key: suffix arrays over blocks of whole keys with two rows or more."""
     def run(batches):
         block, size = [], 0
-        group: list[tuple] = []
+        group: dict[bytes, tuple] = {}
+        key, out = None, []
 
         def flush():
-            nonlocal block, size
-            found = repeated_windows([(r[1], r[4], r[5]) for r in block], length)
-            out = [(block[i][1], block[i][2], block[i][3], block[i][4] + a, block[i][4] + b + length) for i, a, b in found]
-            block, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc", "place", "ctx", "start", "end"])
+            nonlocal block, size, out
+            found = repeated_windows([(r[1], r[4], r[5]) for r in block], length) if block else []
+            out += [(block[i][1], block[i][2], block[i][3], block[i][4] + a, block[i][4] + b + length) for i, a, b in found]
+            rows, out, block, size = out, [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc", "place", "ctx", "start", "end"])
 
         def close():
             nonlocal size
             if len(group) > 1:
-                block.extend(group)
-                size += sum(len(r[5]) + 1 for r in group)
+                block.extend(group.values())
+                size += sum(len(b) + 1 for b in group)
             group.clear()
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[-1][0] != r[0]:
+                if r[0] != key:
                     close()
-                    if size >= block_bytes:
+                    key = r[0]
+                    if size >= block_bytes or len(out) >= 100_000:
                         yield from flush()
-                group.append(r)
+                first = group.setdefault(r[5], r)
+                if first is not r and first[1:5:3] != r[1:5:3]:  # an equal slice that starts later
+                    out.append((r[1], r[2], r[3], r[4], r[4] + len(r[5])))
         close()
-        if block:
-            yield from flush()
+        yield from flush()
     return run
 
 
