@@ -14,10 +14,11 @@ domain of shingles is partitioned, and
 A set writes signatures for its own band and, where a larger partner lies in the next band, for
 that one too. Sets that share a signature are candidates; a link needs the exact count.
 
-Work on a signature's sets: equal sets are one set. In each of ``rounds`` rounds every group
-tests its members against one member (its centre, by another seeded order each round) unless
-they are already connected; what is then not connected within a group is tested in full. So a
-group of copies costs a few tests per member and not all pairs, and no link is lost.
+Work on a signature's sets: equal sets are one set. Every group first tests its members against
+one member (its centre; another one in each further round) unless they are already connected;
+what is then not connected within a group is tested in full. So a group of copies costs a few
+tests per member and not all pairs, and no link is lost. A test looks at sizes and at a sketch
+of parities, which no linked pair fails, before it reads the sets.
 
 Hashes are of 64 bits: unlike shingles are taken for equal with a chance of 2^-64 per pair.
 Null, empty and blank texts have an empty set and link with nothing; fewer than n words make one
@@ -167,10 +168,23 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(">u8").reshape(-1)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles in 512 buckets, as eight longs: sets that differ in d shingles
+    differ in d bits at most."""
+    odd = np.bincount((tk.mix(s ^ _STEP[0]) >> U(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SKETCH = [f"s{i}" for i in range(8)]
+
+
 def _features(n: int):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(s) for s in shingle_sets(batch.column(1), n)], pa.binary())], names=["id", "set"])
+            sets = list(shingle_sets(batch.column(1), n))
+            bits = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, 8), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(s) for s in sets], pa.binary()), *(pa.array(bits[:, i]) for i in range(8))],
+                                             names=["id", "set", *SKETCH])
     return run
 
 
@@ -187,62 +201,63 @@ def _linked(percent: int):
     return run
 
 
-def _could_link(percent: int):
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def _could_link(percent: int, a: str = "a", b: str = "b"):
+    """What sizes (n) and sketches of linked sets must hold; columns under ``a`` and ``b``."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    bits = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH), F.lit(0))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= (100 - percent) * (na + nb))
 
 
-def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 3, most_seen: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2, most_seen: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(profile, links) of ``docs`` (doc_id, text). profile: doc_id, n_shingles, id, row_key per row
     (equal sets have equal ids); links: a, b, verified pairs of set ids that connect every two
     sets connected by links. ``most_seen`` bounds what a task remembers of its own sets; it only
     saves repeated signatures."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
-    profile = scratch.stage(d.mapInArrow(_profile(n, percent, most_seen), "doc_id long, n_shingles long, id long, sigs array<long>, row_key long"), "jaccard_profile")
-    rows = profile.select(F.explode("sigs").alias("sig"), "id", F.col("n_shingles").alias("n"))
+    signed = scratch.stage(d.mapInArrow(_profile(n, percent, most_seen), "doc_id long, n_shingles long, id long, sigs array<long>, row_key long"), "jaccard_signatures")
+    rows = signed.select(F.explode("sigs").alias("sig"), "id", F.col("n_shingles").alias("n"))
     groups = scratch.stage(rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_groups, "sig long, id long, n long"), "jaccard_groups")
+    profile = scratch.stage(signed.drop("sigs"), "jaccard_profile")
+    scratch.drop(signed)
     # one document of each candidate set brings the set's shingles
-    wanted = groups.select("id").distinct()
-    of = scratch.stage(profile.join(wanted, "id").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "jaccard_wanted")
-    sets = scratch.stage(d.join(of, "doc_id").select("id", "text").mapInArrow(_features(n), "id long, set binary"), "jaccard_sets")
+    of = profile.join(groups.select("id").distinct(), "id").groupBy("id").agg(F.min_by("doc_id", "row_key").alias("doc_id"), F.min("row_key").alias("row_key"))
+    of = scratch.stage(of, "jaccard_wanted")
+    wanted = d.join(of.select("id", "row_key"), "row_key").select("id", "text").dropDuplicates(["id"])
+    sets = scratch.stage(wanted.mapInArrow(_features(n), "id long, set binary, " + ", ".join(f"{s} long" for s in SKETCH)), "jaccard_sets")
+    sketches = sets.drop("set")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        return p.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long")
-
-    links = None
-    label = None
-    for r in range(rounds + 1):
-        g = groups
-        if label is not None:
-            g = g.join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
-            open_ = g.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-            g = scratch.stage(g.join(open_, "sig"), "jaccard_open")
-            if g.isEmpty():
-                scratch.drop(g)
-                break
-        else:
-            g = g.withColumn("c", F.col("id"))
+        """The linked ones of the pairs, which are written first: few pairs are then broadcast to
+        the sets by their size, many are joined by shuffles."""
+        p = scratch.stage(pairs.distinct(), "jaccard_pairs")
+        x, y = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+        out = scratch.stage(p.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"), "jaccard_links")
+        scratch.drop(p)
+        return out
+
+    ordered = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
+    centre = groups.groupBy("sig").agg(F.min("id").alias("a"))
+    star = groups.join(centre, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    sized = sketches.join(groups.select("id", "n").distinct(), "id")
+    sized = scratch.stage(sized, "jaccard_sketches")
+    pairs = star.join(sized.alias("a"), F.col("a.id") == star["a"]).join(sized.alias("b"), F.col("b.id") == star["b"])
+    links = verified(pairs.where(_could_link(percent)).select(*ordered))
+    for r in range(1, rounds + 1):
+        label = components(links, scratch).withColumnsRenamed({"v": "id"})
+        g = groups.join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        open_ = g.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
+        g = scratch.stage(g.join(open_, "sig").select("sig", "id", "c").join(sized, "id"), "jaccard_open")
         if r < rounds:
-            key = F.xxhash64(F.lit(r), "id") if r else F.col("id")
-            centre = g.groupBy("sig").agg(F.min(F.struct(key.alias("k"), "id", "n", "c")).alias("m")).select(
-                "sig", F.col("m.id").alias("a"), F.col("m.n").alias("na"), F.col("m.c").alias("ca"))
-            pairs = g.join(centre, "sig").where("c <> ca")
-            pairs = pairs.select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"))
+            y = g.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id"), *g.drop("sig").columns)).alias("m")).select("sig", "m.*")
+            on = "a.sig = b.sig and a.c <> b.c"
         else:
-            x = g.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            y = g.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = x.join(y, "sig").where("ca < cb")
-        pairs = pairs.where(_could_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = scratch.stage(verified(pairs), "jaccard_links")
-        if label is not None:
-            scratch.drop(g)
-        links = found if links is None else links.unionByName(found)
-        if r < rounds:
-            label = components(links, scratch).withColumnsRenamed({"v": "id"})
-    scratch.drop(groups, of, sets)
-    return profile.drop("sigs"), links
+            y, on = g, "a.sig = b.sig and a.c < b.c"
+        pairs = g.alias("a").join(y.alias("b"), F.expr(on) & _could_link(percent))
+        links = links.unionByName(verified(pairs.select(*ordered)))
+        scratch.drop(g)
+    scratch.drop(groups, of, sets, sized)
+    return profile, links
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
