@@ -183,8 +183,8 @@ def _features(n: int):
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), n))
             bits = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, 8), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(s) for s in sets], pa.binary()), *(pa.array(bits[:, i]) for i in range(8))],
-                                             names=["id", "set", *SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8))],
+                                             names=["id", "set", "n", *SKETCH])
     return run
 
 
@@ -208,10 +208,11 @@ def _could_link(percent: int, a: str = "a", b: str = "b"):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= (100 - percent) * (na + nb))
 
 
-def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2, most_seen: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 1, most_seen: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(profile, links) of ``docs`` (doc_id, text). profile: doc_id, n_shingles, id, row_key per row
-    (equal sets have equal ids); links: a, b, verified pairs of set ids that connect every two
-    sets connected by links. ``most_seen`` bounds what a task remembers of its own sets; it only
+    (equal sets have equal ids); links: a, b, pairs of set ids that connect the very sets that
+    links connect. ``rounds`` - 1 further centres are tried before groups are tested in full;
+    ``most_seen`` bounds what a task remembers of its own sets; it only
     saves repeated signatures."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
@@ -223,8 +224,9 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2
     # one document of each candidate set brings the set's shingles
     of = profile.join(groups.select("id").distinct(), "id").groupBy("id").agg(F.min_by("doc_id", "row_key").alias("doc_id"), F.min("row_key").alias("row_key"))
     of = scratch.stage(of, "jaccard_wanted")
-    wanted = d.join(of.select("id", "row_key"), "row_key").select("id", "text").dropDuplicates(["id"])
-    sets = scratch.stage(wanted.mapInArrow(_features(n), "id long, set binary, " + ", ".join(f"{s} long" for s in SKETCH)), "jaccard_sets")
+    # (the wanted ones grow with the corpus, so at every size both sides are shuffled)
+    wanted = d.join(of.select("id", "row_key").hint("merge"), "row_key").select("id", "text").dropDuplicates(["id"])
+    sets = scratch.stage(wanted.mapInArrow(_features(n), "id long, set binary, n long, " + ", ".join(f"{s} long" for s in SKETCH)), "jaccard_sets")
     sketches = sets.drop("set")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -239,15 +241,14 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2
     ordered = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
     centre = groups.groupBy("sig").agg(F.min("id").alias("a"))
     star = groups.join(centre, "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    sized = sketches.join(groups.select("id", "n").distinct(), "id")
-    sized = scratch.stage(sized, "jaccard_sketches")
-    pairs = star.join(sized.alias("a"), F.col("a.id") == star["a"]).join(sized.alias("b"), F.col("b.id") == star["b"])
+    pairs = star.join(sketches.alias("a"), F.col("a.id") == star["a"]).join(sketches.alias("b"), F.col("b.id") == star["b"])
     links = verified(pairs.where(_could_link(percent)).select(*ordered))
     for r in range(1, rounds + 1):
-        label = components(links, scratch).withColumnsRenamed({"v": "id"})
-        g = groups.join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
+        label = components(links, scratch)
+        links = label.where("v <> c").select(F.col("v").alias("a"), F.col("c").alias("b"))
+        g = groups.select("sig", "id").join(label.withColumnsRenamed({"v": "id"}), "id", "left").withColumn("c", F.coalesce("c", "id"))
         open_ = g.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
-        g = scratch.stage(g.join(open_, "sig").select("sig", "id", "c").join(sized, "id"), "jaccard_open")
+        g = scratch.stage(g.join(open_, "sig").join(sketches, "id"), "jaccard_open")
         if r < rounds:
             y = g.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id"), *g.drop("sig").columns)).alias("m")).select("sig", "m.*")
             on = "a.sig = b.sig and a.c <> b.c"
@@ -256,7 +257,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2
         pairs = g.alias("a").join(y.alias("b"), F.expr(on) & _could_link(percent))
         links = links.unionByName(verified(pairs.select(*ordered)))
         scratch.drop(g)
-    scratch.drop(groups, of, sets, sized)
+    scratch.drop(groups, of, sets)
     return profile, links
 
 
