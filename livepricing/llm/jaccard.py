@@ -15,8 +15,8 @@ A set writes signatures for its own band and, where a larger partner lies in the
 that one too. Sets that share a signature are candidates; a link needs the exact count.
 
 Work on a signature's sets: equal sets are one set. Every group first tests its members against
-one member (its centre; another one in each further round) unless they are already connected;
-what is then not connected within a group is tested in full. So a group of copies costs a few
+one member (its centre; in further rounds every group draws another one, so a group of copies
+gets many) unless they are already connected; what is then not connected within a group is tested in full. So a group of copies costs a few
 tests per member and not all pairs, and no link is lost. A test looks at sizes and at a sketch
 of parities, which no linked pair fails, before it reads the sets.
 
@@ -208,7 +208,7 @@ def _could_link(percent: int, a: str = "a", b: str = "b"):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bits <= (100 - percent) * (na + nb))
 
 
-def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 1, most_seen: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2, most_seen: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(profile, links) of ``docs`` (doc_id, text). profile: doc_id, n_shingles, id, row_key per row
     (equal sets have equal ids); links: a, b, pairs of set ids that connect the very sets that
     links connect. ``rounds`` - 1 further centres are tried before groups are tested in full;
@@ -250,7 +250,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 1
         open_ = g.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig")
         g = scratch.stage(g.join(open_, "sig").join(sketches, "id"), "jaccard_open")
         if r < rounds:
-            y = g.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "id"), *g.drop("sig").columns)).alias("m")).select("sig", "m.*")
+            y = g.groupBy("sig").agg(F.min(F.struct(F.xxhash64(F.lit(r), "sig", "id"), *g.drop("sig").columns)).alias("m")).select("sig", "m.*")
             on = "a.sig = b.sig and a.c <> b.c"
         else:
             y, on = g, "a.sig = b.sig and a.c < b.c"
