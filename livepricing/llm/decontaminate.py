@@ -3,8 +3,10 @@
 Texts are compared in lower case with white space runs as one blank. An item of m characters may
 occur with up to ``error_rate`` * m edits (k); cut into k + 1 pieces, at least one piece of it
 then stands unchanged in the document. One Aho-Corasick pass over the whole document finds every
-piece; around each hit the item is matched by Myers' bit-parallel distance (free start and end
-in the document). Items shorter than ``exact_below`` must occur exactly.
+piece. A hit climbs a tree over the item's pieces: where p pieces hold more than p - 1 edits the
+match cannot lie there, so most chance hits end at their neighbour piece. What reaches the root is
+matched in full by Myers' bit-parallel distance (free start and end in the document), as are all
+steps of the climb. Items shorter than ``exact_below`` must occur exactly.
 
 Items are taken in blocks of at most ``block_chars`` characters, so what a task holds (and what
 is broadcast) has that bound; each further block is another pass. Null or blank items match
@@ -59,15 +61,57 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+class Item:
+    """An item with its budget and the tree over its pieces: nodes of (parent, start, end, edits
+    allowed, masks); the leaves are the pieces in order."""
+
+    def __init__(self, item_id: int, text: str, k: int):
+        self.id, self.text, self.k = item_id, text, k
+        self.cuts = [a for a, _ in pieces(text, k)] + [len(text)]
+        self.nodes: list[list] = []
+        self.leaf: dict[int, int] = {}
+        self._grow(0, k + 1, None)
+
+    def _grow(self, lo: int, hi: int, parent: int | None) -> None:
+        n = len(self.nodes)
+        self.nodes.append([parent, self.cuts[lo], self.cuts[hi], hi - lo - 1, None])
+        if hi - lo == 1:
+            self.leaf[self.cuts[lo]] = n
+        else:
+            mid = (lo + hi) // 2
+            self._grow(lo, mid, n)
+            self._grow(mid, hi, n)
+
+    def masks(self, n: int) -> dict[str, int]:
+        node = self.nodes[n]
+        if node[4] is None:
+            out: dict[str, int] = defaultdict(int)
+            for j, c in enumerate(self.text[node[1]: node[2]]):
+                out[c] |= 1 << j
+            node[4] = dict(out)
+        return node[4]
+
+    def climb(self, text: str, at: int, start: int) -> bool:
+        """Whether the item can stand around its piece at offset ``at``, found so that the item
+        would begin at ``start`` without edits."""
+        n = self.nodes[self.leaf[at]][0]
+        while n:  # the root is left to the full match
+            parent, lo, hi, k, _ = self.nodes[n]
+            part = text[max(start + lo - k, 0): start + hi + k]
+            if self.text[lo:hi] not in part and myers(self.masks(n), hi - lo, part)[0] > k:
+                return False
+            n = parent
+        return True
+
+
 class Matcher:
     """The items of one block, ready to be looked for."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float, exact_below: int):
-        self.items = [(i, t, budget(len(t), error_rate, exact_below)) for i, t in items]
-        self.masks: dict[int, dict[str, int]] = {}
+        self.items = [Item(i, t, budget(len(t), error_rate, exact_below)) for i, t in items]
         where = defaultdict(list)
-        for n, (_, t, k) in enumerate(self.items):
-            for at, p in pieces(t, k):
+        for n, item in enumerate(self.items):
+            for at, p in pieces(item.text, item.k):
                 where[p].append((n, at))
         self.auto = ahocorasick.Automaton()
         for p, v in where.items():
@@ -75,26 +119,20 @@ class Matcher:
         if where:
             self.auto.make_automaton()
 
-    def _masks(self, n: int) -> dict[str, int]:
-        if n not in self.masks:
-            out: dict[str, int] = defaultdict(int)
-            for j, c in enumerate(self.items[n][1]):
-                out[c] |= 1 << j
-            self.masks[n] = dict(out)
-        return self.masks[n]
-
     def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item id, edits, budget, item length, match end) of every item that occurs."""
         starts = defaultdict(set)
         for end, (length, places) in self.auto.iter(text):
             for n, at in places:
-                starts[n].add(end + 1 - length - at)
+                starts[n].add((end + 1 - length - at, at))
         out = []
-        for n, at in starts.items():
-            item, t, k = self.items[n]
-            m, best = len(t), None
+        for n, hits in starts.items():
+            item = self.items[n]
+            m, k, best = len(item.text), item.k, None
             windows: list[list[int]] = []
-            for s in sorted(at):
+            for s, at in sorted(hits):
+                if windows and s + m + k <= windows[-1][1] or k and not item.climb(text, at, s):
+                    continue
                 if windows and s - k <= windows[-1][1]:
                     windows[-1][1] = s + m + k
                 else:
@@ -102,12 +140,12 @@ class Matcher:
             for lo, hi in windows:
                 lo = max(lo, 0)
                 part = text[lo:hi]
-                p = part.find(t)
-                edits, stop = (0, p + m) if p >= 0 else myers(self._masks(n), m, part) if k else (m, 0)
+                p = part.find(item.text)
+                edits, stop = (0, p + m) if p >= 0 else myers(item.masks(0), m, part) if k else (m, 0)
                 if edits <= k and (best is None or edits < best[0]):
                     best = (edits, lo + stop)
             if best:
-                out.append((item, best[0], k, m, best[1]))
+                out.append((item.id, best[0], k, m, best[1]))
         return out
 
 
