@@ -1,15 +1,15 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. Every page is cut into tokens: tags and words, each with its role (the path of containers it
-   stands in). Per host, a token's occurrence vector says how often each page holds it; it is
+1. Every page is cut into tokens: tags and text runs, each with its role (the path of containers
+   it stands in). Per host, a token's occurrence vector says how often each page holds it; it is
    kept as a sum of hashes of (page content, count), so tokens with equal vectors meet in one
    group without any page list. Equal pages of a host count once.
 2. Tokens with equal vectors form a class. A class is valid if it has ``min_size`` tokens and
    stands on ``support`` of the host's pages (and ``min_pages`` at least); valid classes nest by
    their containers' paths and together are the host's template.
 3. What the template leaves open are slots. The slots that hold the main text are those inside an
-   article or main element (else: the body outside boilerplate containers); blocks made of
-   template words alone fall away where a host has enough pages to tell.
+   article or main element (else: the body outside boilerplate containers); text runs of the
+   template fall away where a host has enough pages to tell.
 
 Containers of menus, headers of the site, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments are never slots. Character references are decoded once, white space
@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -151,51 +151,41 @@ def parse(page: str | None) -> tuple[list[Block], list[str]]:
     return blocks, tags
 
 
-def roles(blocks: list[Block], tags: list[str]) -> Counter:
-    """Role hash -> count on the page; a word's role is its block's path."""
-    out: Counter = Counter()
-    for t in tags:
-        out["<" + t] += 1
-    for b in blocks:
-        for w in b.text.split():
-            out[f"{b.path} {w}"] += 1
-    return out
-
-
-def _role(s: str) -> int:
-    return xxh64_intdigest(s)
+def run_role(b: Block) -> int:
+    return _signed(xxh64_intdigest(f"{b.path} {b.text}"))
 
 
 def _signed(x: int) -> int:
-    x &= (1 << 64) - 1
     return x - (1 << 64) if x >> 63 else x
 
 
-def _vectors(batches) -> Iterator[pd.DataFrame]:
-    """Per task, host and role: pages that hold it, and the sum of hashes of (page, count)."""
-    for pdf in batches:
-        got: dict = defaultdict(lambda: [0, 0])
-        for h, page, key in zip(pdf["host"], pdf["html"], pdf["content"].tolist()):
-            got[h, 0][0] += 1
-            for role, n in roles(*parse(page)).items():
-                x = got[h, _role(role)]
-                x[0] += 1
-                x[1] += xxh64_intdigest(n.to_bytes(8, "little") + (key & (1 << 64) - 1).to_bytes(8, "little"))
-        yield pd.DataFrame([(h, _signed(r), n, _signed(v)) for (h, r), (n, v) in got.items()], columns=["host", "role", "pages", "vec"])
+def roles(blocks: list[Block], tags: list[str]) -> dict[int, int]:
+    """Role -> count on the page, of tags and text runs."""
+    out = {_signed(xxh64_intdigest("<" + t)): n for t, n in Counter(tags).items()}
+    for r, n in Counter(map(run_role, blocks)).items():
+        out[r] = out.get(r, 0) + n
+    return out
+
+
+def _tokens(batches):
+    for batch in batches:
+        found = [roles(*parse(page)) for page in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[*r] for r in found], pa.list_(pa.int64())),
+                                          pa.array([[*r.values()] for r in found], pa.list_(pa.int64()))], names=["host", "content", "role", "n"])
 
 
 def templates(pages: DataFrame, support: float = 0.8, min_pages: int = 10, min_size: int = 3) -> DataFrame:
-    """host, roles (array<long>): tokens of the host's valid classes. The sum of the vectors'
-    hashes runs modulo 2^64 over 32-bit halves, so no long overflows."""
-    distinct = (pages.select(host(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("content"))
+    """host, roles (array<long>): tokens of the host's valid classes. Only hashes of tokens are
+    shuffled, and the counts per token are partial aggregates."""
+    per_page = (pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("content"), "html")
+                .mapInArrow(_tokens, "host string, content long, role array<long>, n array<long>")
                 .dropDuplicates(["host", "content"]))
-    rows = distinct.mapInPandas(_vectors, "host string, role long, pages long, vec long")
-    low, high = F.expr("vec & 4294967295"), F.expr("shiftrightunsigned(vec, 32)")
-    per = rows.groupBy("host", "role").agg(F.sum("pages").alias("pages"), F.sum(low).alias("low"), F.sum(high).alias("high"))
-    per = per.withColumn("cls", F.struct(F.col("low") % (1 << 32), (F.col("high") + F.floor(F.col("low") / (1 << 32))) % (1 << 32)))
-    total = per.where("role = 0").select("host", F.col("pages").alias("n"))
-    often = per.where("role <> 0").join(total, "host").where((F.col("pages") >= support * F.col("n")) & (F.col("pages") >= min_pages))
-    classes = often.groupBy("host", "cls").agg(F.collect_list("role").alias("roles")).where(F.size("roles") >= min_size)
+    rows = per_page.select("host", "content", F.explode(F.arrays_zip("role", "n")).alias("x")).select("host", "x.role", F.xxhash64("content", "x.n").alias("h"))
+    both = rows.unionByName(per_page.select("host", F.lit(None).cast("long").alias("role"), F.lit(0).cast("long").alias("h")))
+    per = both.groupBy("host", "role").agg(F.count("*").alias("pages"), F.sum(F.expr("h & 4294967295")).alias("low"), F.sum(F.expr("shiftrightunsigned(h, 32)")).alias("high"))
+    total = per.where("role is null").select("host", F.col("pages").alias("of"))
+    often = per.where("role is not null").join(total, "host").where((F.col("pages") >= support * F.col("of")) & (F.col("pages") >= min_pages))
+    classes = often.groupBy("host", "pages", "low", "high").agg(F.collect_list("role").alias("roles")).where(F.size("roles") >= min_size)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("roles")).alias("roles"))
 
 
@@ -206,9 +196,8 @@ def main_text(page: str | None, template: set[int]) -> str:
     inside = [b for b in kept if b.main]
     out = []
     for b in inside or kept:
-        if template and all(_signed(_role(f"{b.path} {w}")) in template for w in b.text.split()):
-            continue
-        out.append(b.text)
+        if not template or run_role(b) not in template:
+            out.append(b.text)
     return " ".join(out)
 
 
