@@ -277,23 +277,7 @@ def heartbeat_apply(spark, sf_dir):
     return touched.select("product_id", "last_update_time")
 
 
-# --- IO9 / IO15 / IO1-IO2 (rows-only) ------------------------------------------------------
-
-@register("synthetic_sales", None, ids="IO9 O4 W4 F7 F8 F12 S20")
-def synthetic_sales(spark, sf_dir):
-    n_products = read_table(spark, sf_dir, "part").count()
-    n_sales = read_table(spark, sf_dir, "lineitem").count()
-    products = IN.synthetic_products(spark, n_products)
-    batches = max(1, n_sales // max(1, n_products))
-    return IN.synthetic_sales(products, batches, n_products, hot_share=0.3)
-
-
-@register("synthetic_inventory", None, ids="IO9 W4")
-def synthetic_inventory(spark, sf_dir):
-    n_products = read_table(spark, sf_dir, "part").count()
-    products = IN.synthetic_products(spark, n_products)
-    return IN.synthetic_inventory(products, 5, max(1, n_products // 5))
-
+# --- IO15 / IO1-IO2 (rows-only) ------------------------------------------------------
 
 @register("table_size", None, ids="IO15")
 def table_size(spark, sf_dir):
@@ -313,16 +297,3 @@ def load_csv(spark, sf_dir):
                     money(F.col("price")).alias("price"))
      .write.option("header", True).csv(out))
     return IN.load_chunks(spark, out, S.SALES, pattern="part-*").drop("sale_id")
-
-
-@register("synthetic_products", """
-SELECT i AS product_id,
-       'Product ' || i || ' ' || CASE i % 5 WHEN 0 THEN 'Premium' WHEN 1 THEN 'Standard'
-                                 WHEN 2 THEN 'Basic' WHEN 3 THEN 'Cheap' ELSE 'Luxury' END AS product_name,
-       1 + i % 10 AS category_id, 1 + i % 5 AS supplier_id
-FROM generate_series(1, (SELECT count(*) FROM part)) t(i)""", ids="IO9 F7 F8 F12")
-def synthetic_products(spark, sf_dir):
-    """The generator's products, as many as the part table has (deterministic columns)."""
-    n = read_table(spark, sf_dir, "part").count()
-    return IN.synthetic_products(spark, n).select("product_id", "product_name", "category_id",
-                                                  "supplier_id")

@@ -50,11 +50,5 @@ def on_model(fn: Callable[[Model], DataFrame]) -> Callable[[SparkSession, str],
 
 def load_all() -> dict[str, Query]:
     # importing the query modules fills REGISTRY
-    from . import queries_pricing  # noqa: F401
-    for mod in ("queries_cart", "queries_metrics", "queries_changes", "queries_streaming"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if mod not in str(e):
-                raise
+    from . import queries_cart, queries_changes, queries_metrics, queries_pricing, queries_streaming  # noqa: F401
     return REGISTRY

@@ -73,6 +73,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         # local tests only: nothing configured, so use a fresh scratch folder
         configured = tempfile.mkdtemp(prefix="livepricing-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)

@@ -1,5 +1,5 @@
 """Structured Streaming jobs: the maintained pricing/cart/category views, a replica kept
-from a change stream, a watermarked event-rate aggregation and the batch-refreshed cache.
+from a change stream, an exact event-rate aggregation and the batch-refreshed cache.
 
 All of them read the events table as a file stream (``trigger(availableNow=True)`` drains
 what is there, then stops; a long-running deployment uses a processing-time trigger on
@@ -26,12 +26,15 @@ from .store import SnapshotStore
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """The events table as a stream, be it one file or a folder of part files."""
     path = f"{sf_dir.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(sf_dir)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _drain(stream: DataFrame, store: SnapshotStore, on_batch, name: str) -> None:
@@ -108,66 +111,72 @@ def change_records(ev: DataFrame) -> DataFrame:
                      F.col("event_id").alias("seq"), "event_type", "value")
 
 
+def fold_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per key the change of the largest seq, whatever order the batches come in (bounded
+    before the shuffle). Deletes stay as tombstones (``deleted``), so an older upsert that
+    arrives later does not bring the row back."""
+    new = changes.withColumn("deleted", F.col("op") == "D").drop("op")
+    return top_k_per_group(state.unionByName(new), ["key"], [F.col("seq").desc()], 1).drop("_rn")
+
+
+def replica_rows(state: DataFrame) -> DataFrame:
+    return state.where(~F.col("deleted")).drop("deleted")
+
+
 def apply_changes(replica: DataFrame, changes: DataFrame) -> DataFrame:
-    """Keep the last change per key (bounded before the shuffle), drop replaced/deleted
-    keys from the replica, add the upserts."""
-    last = top_k_per_group(changes, ["key"], [F.col("seq").desc()], 1).drop("_rn")
-    kept = replica.join(last.select("key"), "key", "left_anti")
-    return kept.unionByName(last.where(F.col("op") != "D").drop("op"))
+    """The rows of a replica after one set of changes."""
+    return replica_rows(fold_changes(replica.withColumn("deleted", F.lit(False)), changes))
 
 
-def maintain_replica(spark: SparkSession, sf_dir: str, store: SnapshotStore | None = None) -> SnapshotStore:
+def maintain_replica(spark: SparkSession, sf_dir: str, store: SnapshotStore | None = None,
+                     max_files: int | None = None) -> SnapshotStore:
     store = store or SnapshotStore(spark, name="replica")
     if store.latest() is None:
-        empty = spark.createDataFrame([], "key long, seq long, event_type string, value double")
-        store.write("replica", empty, 0)
+        empty = spark.createDataFrame([], "key long, seq long, event_type string, value double, deleted boolean")
+        store.write("replica_state", empty, 0)
+        store.write("replica", replica_rows(empty), 0)
         store.commit(0, kind="empty")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         if store.is_committed(version):
             return
-        store.write("replica", apply_changes(store.read("replica", version - 1), change_records(batch)),
+        store.write("replica_state", fold_changes(store.read("replica_state", version - 1), change_records(batch)),
                     version)
+        store.write("replica", replica_rows(store.read("replica_state", version)), version)
         store.commit(version, batch=batch_id)
 
-    _drain(events_stream(spark, sf_dir), store, on_batch, "replica")
+    _drain(events_stream(spark, sf_dir, max_files), store, on_batch, "replica")
     return store
 
 
-# --- T10: watermarked rate over the stream ------------------------------------------------------
+# --- T10: rate over the stream --------------------------------------------------------------------
 
 def maintain_rate(spark: SparkSession, sf_dir: str, window: str = "1 hour",
-                  watermark: str = "1 hour", store: SnapshotStore | None = None) -> SnapshotStore:
-    """Events per source and tumbling window. Update mode emits changed windows each batch
-    and the watermark lets Spark drop finished windows from its state; each batch's rows
-    are upserted into the result table by (source, window_start)."""
+                  store: SnapshotStore | None = None, max_files: int | None = None) -> SnapshotStore:
+    """Events per source and tumbling window. The partial counts of each batch are added to
+    the stored ones, so late events count like all others: nothing is dropped by age."""
     store = store or SnapshotStore(spark, name="rate")
     if store.latest() is None:
         store.write("rate", spark.createDataFrame(
             [], "source string, window_start timestamp_ntz, events long"), 0)
         store.commit(0, kind="empty")
-    ev = events_stream(spark, sf_dir).select(
+    ev = events_stream(spark, sf_dir, max_files).select(
         F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("event_time"))
-    counts = (ev.withWatermark("event_time", watermark)
-              .groupBy("source", F.window("event_time", window).alias("w"))
-              .agg(F.count(F.lit(1)).alias("events"))
-              .select("source", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "events"))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         if store.is_committed(version):
             return
-        prev = store.read("rate", version - 1)
-        merged = (prev.join(batch.select("source", "window_start"), ["source", "window_start"], "left_anti")
-                  .unionByName(batch))
+        counts = (batch.groupBy("source", F.window("event_time", window).alias("w"))
+                  .agg(F.count(F.lit(1)).alias("events"))
+                  .select("source", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "events"))
+        merged = (store.read("rate", version - 1).unionByName(counts)
+                  .groupBy("source", "window_start").agg(F.sum("events").alias("events")))
         store.write("rate", merged, version)
         store.commit(version, batch=batch_id)
 
-    q = (counts.writeStream.outputMode("update").foreachBatch(on_batch)
-         .option("checkpointLocation", f"{store.root}/stream-checkpoint/rate")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(ev, store, on_batch, "rate")
     return store
 
 
