@@ -18,7 +18,8 @@ Work on a signature's sets: equal sets are one set. Every group first tests its
 one member (its centre; in further rounds every group draws another one, so a group of copies
 gets many) unless they are already connected; what is then not connected within a group is tested in full. So a group of copies costs a few
 tests per member and not all pairs, and no link is lost. A test looks at sizes and at a sketch
-of parities, which no linked pair fails, before it reads the sets.
+of parities, then at a sketch that grows with the set (a few bits a shingle), before it reads the
+sets; no linked pair fails one.
 
 Hashes are of 64 bits: unlike shingles are taken for equal with a chance of 2^-64 per pair.
 Null, empty and blank texts have an empty set and link with nothing; fewer than n words make one
@@ -178,13 +179,37 @@ def sketch(s: np.ndarray) -> np.ndarray:
 SKETCH = [f"s{i}" for i in range(8)]
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """Parities of a set's shingles in the power of two of buckets next to twice its size, 512 at
+    least. Two neighbouring buckets make one of half as many, so unlike lengths compare."""
+    k = max(9, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((tk.mix(s ^ _STEP[1]) >> U(64 - k)).astype(np.int64), minlength=1 << k) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Differing bits of two wide sketches, the longer one folded: at most the number of shingles
+    in which the sets differ."""
+    a, b = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in sorted((x, y), key=len))
+    return int((a ^ np.bitwise_xor.reduce(b.reshape(len(a), -1), axis=1)).sum())
+
+
 def _features(n: int):
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), n))
             bits = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, 8), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8))],
-                                             names=["id", "set", "n", *SKETCH])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(bits[:, i]) for i in range(8)),
+                                              pa.array([wide_sketch(s) for s in sets], pa.binary())], names=["id", "set", "n", *SKETCH, "wide"])
+    return run
+
+
+def _near_sketches(percent: int):
+    def run(batches):
+        for batch in batches:
+            _, _, x, y, total = (batch.column(i).to_pylist() for i in range(5))
+            keep = pa.array([(100 + percent) * parity_distance(*v[:2]) <= (100 - percent) * v[2] for v in zip(x, y, total)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -224,15 +249,21 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2
     # one document of each candidate set brings the set's shingles
     of = profile.join(groups.select("id").distinct(), "id").groupBy("id").agg(F.min_by("doc_id", "row_key").alias("doc_id"), F.min("row_key").alias("row_key"))
     of = scratch.stage(of, "jaccard_wanted")
-    # (the wanted ones grow with the corpus, so at every size both sides are shuffled)
-    wanted = d.join(of.select("id", "row_key").hint("merge"), "row_key").select("id", "text").dropDuplicates(["id"])
-    sets = scratch.stage(wanted.mapInArrow(_features(n), "id long, set binary, n long, " + ", ".join(f"{s} long" for s in SKETCH)), "jaccard_sets")
-    sketches = sets.drop("set")
+    # (the wanted ones grow with the corpus, so at every size both sides are shuffled; repeated
+    # rows leave within the partitioning of the join, so texts are shuffled once)
+    wanted = d.join(of.select("id", "row_key").hint("merge"), "row_key").select("row_key", "id", "text").dropDuplicates(["row_key", "id"]).select("id", "text")
+    sets = scratch.stage(wanted.mapInArrow(_features(n), "id long, set binary, n long, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide binary"), "jaccard_sets")
+    sketches = sets.drop("set", "wide")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked ones of the pairs, which are written first: few pairs are then broadcast to
-        the sets by their size, many are joined by shuffles."""
-        p = scratch.stage(pairs.distinct(), "jaccard_pairs")
+        the sets by their size, many are joined by shuffles. Unlike pairs leave by their wide
+        sketches, so the sets themselves move for likely links only."""
+        near = scratch.stage(pairs.distinct(), "jaccard_pairs")
+        x, y = (sets.select(F.col("id").alias(c), F.col("wide").alias(f"w_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+        wide = near.join(x, "a").join(y, "b").select("a", "b", "w_a", "w_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+        p = scratch.stage(wide.mapInArrow(_near_sketches(percent), "a long, b long"), "jaccard_near")
+        scratch.drop(near)
         x, y = (sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
         out = scratch.stage(p.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"), "jaccard_links")
         scratch.drop(p)

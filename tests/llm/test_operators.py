@@ -112,6 +112,18 @@ def test_partenum_shares_a_signature():
             assert bits <= len(s) + len(t) - 2 * c
 
 
+def test_wide_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 255, 256, 257, 3000):
+        s = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for cut, more in ((0, 0), (size // 9, size // 9), (0, size // 4), (size, size)):
+            t = np.unique(np.append(s[cut:], rng.integers(0, 1 << 63, more).astype(np.uint64)))
+            x, y = jaccard.wide_sketch(s), jaccard.wide_sketch(t)
+            apart = len(np.setxor1d(s, t))
+            assert jaccard.parity_distance(x, y) == jaccard.parity_distance(y, x) <= apart
+            assert jaccard.parity_distance(x, y) > 0.2 * apart or apart < 20
+
+
 def test_packing(spark, rows):
     got = packing.pack(make(spark, rows), length=64, block_tokens=1000).collect()
     seg = collections.defaultdict(collections.Counter)
