@@ -17,7 +17,7 @@ def lines_of(m):
     return C.cart_lines(m)
 
 
-@register("cart_lines", cart_sql("SELECT * FROM cart_lines"), ids="V7 J6 A7 A16 S7 S8")
+@register("cart_lines", cart_sql("FROM basket_priced"), ids="V7 J6 A7 A16 S7 S8")
 @on_model
 def cart_lines(m):
     return lines_of(m)
@@ -25,14 +25,14 @@ def cart_lines(m):
 
 @register("cart_total_exact",
           cart_sql("SELECT CAST(COALESCE(ROUND(SUM(CAST(price AS DECIMAL(20,10))), 2), 0) AS DOUBLE) "
-                   "AS cart_total FROM cart_lines"),
+                   "AS cart_total FROM basket_priced"),
           ids="A10 P12 F2")
 @on_model
 def cart_total_exact(m):
     return C.cart_total(lines_of(m))
 
 
-@register("cart_items_sorted", cart_sql("SELECT * FROM cart_lines ORDER BY price DESC"), ids="O1")
+@register("cart_items_sorted", cart_sql("FROM basket_priced ORDER BY price DESC"), ids="O1")
 @on_model
 def cart_items_sorted(m):
     return C.cart_items_sorted(lines_of(m))
@@ -40,7 +40,7 @@ def cart_items_sorted(m):
 
 @register("category_totals",
           hierarchy_sql("SELECT category_id, parent_id, has_subcategory, category_name, "
-                        "CAST(total AS DOUBLE) AS total, item_count FROM category_totals"),
+                        "CAST(total AS DOUBLE) AS total, item_count FROM shown"),
           ids="V8 R1 R2 R3 R4 U1 J7 J8 J9 A7 A8 A9 P9 P11")
 @on_model
 def category_totals(m):
@@ -75,7 +75,7 @@ def ancestor_closure(m):
 
 @register("other_rows",
           hierarchy_sql("SELECT category_id, parent_id, has_subcategory, category_name, "
-                        "CAST(total AS DOUBLE) AS total, item_count FROM category_totals "
+                        "CAST(total AS DOUBLE) AS total, item_count FROM shown "
                         "WHERE category_name = 'Other' AND category_id >= 1000 AND has_subcategory = false"),
           ids="R4 P11")
 @on_model
@@ -90,12 +90,10 @@ _DRILL_IDS = ",".join(str(i) for i in H.parse_expanded(EXPANDED))
 
 @register("cart_drilldown",
           hierarchy_sql(f"""
-, raw AS (SELECT * FROM category_totals WHERE parent_id IS NULL OR parent_id IN ({_DRILL_IDS}))
 SELECT category_id, parent_id, has_subcategory, category_name, item_count,
-       CAST(ROUND(CAST(total AS DECIMAL(38,10)), 2) AS DOUBLE) AS subtotal,
-       CAST(ROUND(CAST((SELECT SUM(total) FROM raw WHERE parent_id IS NULL) AS DECIMAL(38,10)), 2)
-            AS DOUBLE) AS categories_total
-FROM raw ORDER BY coalesce(parent_id, category_id), category_id"""),
+       CAST(round(total, 2) AS DOUBLE) AS subtotal,
+       CAST(round(sum(total) FILTER (WHERE parent_id IS NULL) OVER (), 2) AS DOUBLE) AS categories_total
+FROM shown WHERE parent_id IS NULL OR list_contains([{_DRILL_IDS}], parent_id)"""),
           ids="R5 P10 A11 O2 F13 S12 S22")
 @on_model
 def cart_drilldown(m):
@@ -112,7 +110,7 @@ def category_list(m):
 
 @register("subtotals_by_name",
           hierarchy_sql("SELECT category_name, item_count, CAST(total AS DOUBLE) AS subtotal "
-                        "FROM category_totals ORDER BY category_name"),
+                        "FROM shown ORDER BY category_name"),
           ids="V12 O5")
 @on_model
 def subtotals_by_name(m):
@@ -127,7 +125,7 @@ SELECT COUNT(*) AS item_count,
                        '$count$', CAST(COUNT(*) AS VARCHAR)), '$total$',
                printf('%.2f', CAST(COALESCE(ROUND(SUM(CAST(price AS DECIMAL(20,10))), 2), 0) AS DOUBLE)))
          AS message
-FROM cart_lines"""),
+FROM basket_priced"""),
           ids="P17 A15 F14")
 @on_model
 def cart_message(m):

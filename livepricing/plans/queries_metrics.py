@@ -151,7 +151,7 @@ def refresh_age(spark, sf_dir):
 @register("reaction_time", pricing_sql("""
 , n AS (SELECT max(ts) AS as_of FROM events)
 SELECT product_id, (epoch_us(as_of) - epoch_us(last_update_time)) / 1e6 AS reaction_seconds
-FROM dynamic_pricing, n"""), ids="T8")
+FROM live_price, n"""), ids="T8")
 def reaction_time(spark, sf_dir):
     m = model_for(spark, sf_dir)
     now = read_table(spark, sf_dir, "events").agg(F.max("ts")).scalar()

@@ -57,13 +57,13 @@ def pricing_store(spark, sf_dir):
     return m.extra["pricing_store"]
 
 
-@register("stream_pricing", final_sql(PRICING, body="SELECT * FROM dynamic_pricing"),
+@register("stream_pricing", final_sql(PRICING, body="SELECT product_id, adjusted_price, last_update_time FROM live_price"),
           ids="T2 IO6 T1")
 def stream_pricing(spark, sf_dir):
     return pricing_store(spark, sf_dir).read("prices")
 
 
-@register("stream_cart", final_sql(PRICING, CART, body="SELECT * FROM cart_lines"), ids="T3")
+@register("stream_cart", final_sql(PRICING, CART, body="FROM basket_priced"), ids="T3")
 def stream_cart(spark, sf_dir):
     return pricing_store(spark, sf_dir).read("cart_lines")
 
@@ -71,7 +71,7 @@ def stream_cart(spark, sf_dir):
 @register("stream_category_totals",
           final_sql(PRICING, CART, HIERARCHY,
                     body="SELECT category_id, parent_id, has_subcategory, category_name, "
-                         "CAST(total AS DOUBLE) AS total, item_count FROM category_totals"),
+                         "CAST(total AS DOUBLE) AS total, item_count FROM shown"),
           ids="T4")
 def stream_category_totals(spark, sf_dir):
     return pricing_store(spark, sf_dir).read("category_totals")
@@ -99,7 +99,7 @@ def stream_rate(spark, sf_dir):
     return J.maintain_rate(spark, sf_dir).read("rate")
 
 
-@register("cached_refresh", "WITH " + ",".join([MODEL, PRICING]) + "\nSELECT * FROM dynamic_pricing",
+@register("cached_refresh", "WITH " + ",".join([MODEL, PRICING]) + "\nSELECT product_id, adjusted_price, last_update_time FROM live_price",
           ids="T5 IO7 T6")
 def cached_refresh(spark, sf_dir):
     m = model_for(spark, sf_dir)
@@ -110,7 +110,7 @@ def cached_refresh(spark, sf_dir):
 # --- E1: the priced point read in the two stored modes ----------------------------------------
 
 @register("point_read_cached", "WITH " + ",".join([MODEL, PRICING])
-          + "\nSELECT * FROM dynamic_pricing WHERE product_id = 1", ids="P8 T5 T17")
+          + "\nSELECT product_id, adjusted_price, last_update_time FROM live_price WHERE product_id = 1", ids="P8 T5 T17")
 def point_read_cached(spark, sf_dir):
     """The point lookup served from the newest committed batch refresh."""
     m = model_for(spark, sf_dir)
@@ -119,7 +119,7 @@ def point_read_cached(spark, sf_dir):
     return m.extra["cached_store"].read("prices").where(F.col("product_id") == 1)
 
 
-@register("point_read_incremental", final_sql(PRICING, body="SELECT * FROM dynamic_pricing WHERE product_id = 1"),
+@register("point_read_incremental", final_sql(PRICING, body="SELECT product_id, adjusted_price, last_update_time FROM live_price WHERE product_id = 1"),
           ids="P8 T2 T17")
 def point_read_incremental(spark, sf_dir):
     """The point lookup served from the newest committed incremental version."""
