@@ -7,9 +7,6 @@ per node, which dominated driver-side planning time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..sources.model import RANK_NEAR, RANK_TOP
 
 # Fixed values that must equal the reference's for the same results.
@@ -64,21 +61,3 @@ def adjusted_price_sql(base: str, *factors: str) -> str:
     for f in factors:
         product = f"({product} * `{f}`)"
     return f"ROUND({product}, {PRICE_DIGITS})"
-
-
-# Column-returning forms for callers that compose Columns
-
-def popularity_adjustment(rank: str) -> Column:
-    return F.expr(popularity_sql(rank))
-
-
-def stock_adjustment(rank: str) -> Column:
-    return F.expr(stock_sql(rank))
-
-
-def promotion_factor(discount_hundredths: str) -> Column:
-    return F.expr(promotion_sql(discount_hundredths))
-
-
-def name_discount(name: str, keyword: str) -> Column:
-    return F.expr(name_discount_sql(name, keyword))

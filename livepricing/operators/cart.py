@@ -7,18 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import micros, round2_from_micros
-from ..session import stage_table
 from ..sources.model import Model
 from . import hierarchy as H
-from .bounded import MAX_LITERAL_KEYS, bounded_rows
 from .pricing import dynamic_pricing, restrict
 
 # Fixed values that must equal the reference's for the same results.
 MESSAGE_TEMPLATE = "With the current items in your cart ($count$ items totaling $$total$),"
 
 
-def cart_lines(m: Model, prices: DataFrame | None = None,
-               key_limit: int = MAX_LITERAL_KEYS) -> DataFrame:
+def cart_lines(m: Model, prices: DataFrame | None = None) -> DataFrame:
     """V7: one row per (product, cart name) with its live price and available stock.
 
     Duplicate cart rows collapse into one line, and, as in the reference's grouping over
@@ -29,17 +26,9 @@ def cart_lines(m: Model, prices: DataFrame | None = None,
     """
     copies = (m.shopping_cart.groupBy("product_id", "product_name")
               .agg(F.count(F.lit(1)).alias("_copies")))
-    # The cart aggregate (usually small) restricts a dozen scans. Proven small (at most
-    # key_limit lines, checked by fetching one more), it becomes a local relation plus a
-    # literal id list that reaches the Parquet readers; the cart is computed once either way.
-    # A larger cart is written once to the shared checkpoint folder instead.
-    lines = bounded_rows(copies, key_limit)
-    if lines is not None:
-        copies = copies.sparkSession.createDataFrame(lines, copies.schema)
-        in_cart = sorted({r["product_id"] for r in lines if r["product_id"] is not None})
-    else:
-        copies = stage_table(copies, "cart-copies")
-        in_cart = copies.select("product_id").distinct()
+    # one form at every size: semi-joins on the cart's products, which AQE turns into broadcasts
+    # after measuring them
+    in_cart = copies.select("product_id").distinct()
     if prices is None:
         prices = dynamic_pricing(m, restrict_to=in_cart)
     stock = (restrict(m.inventory, in_cart)

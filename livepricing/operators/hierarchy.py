@@ -3,7 +3,7 @@ category lists the cart API serves.
 
 The rollup re-emits each category's direct (total, count) to every ancestor. Instead of
 recursing over the cart data, we recurse over the *category tree only* (an ancestor
-closure, one join per tree level), then do one join + one aggregate. Only categories that
+closure, whose reach doubles per round), then do one join + one aggregate. Only categories that
 hold items feed the aggregate; categories with zero items in their subtree are hidden
 anyway, so the result is identical.
 """
@@ -14,63 +14,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import from_micros, micros, round2_from_micros
-from ..session import checkpoint_dir
+from ..session import stage_table
 from ..sources.model import Model
 
 # Fixed values that must equal the reference's for the same results.
 OTHER_ID_OFFSET = 1000
 OTHER_NAME = "Other"
 
-MAX_DEPTH = 100          # deeper (or cyclic) trees raise, like a recursion limit
-CHECKPOINT_EVERY = 8     # cut the lineage of the level loop on deep trees
-
 
 class CategoryCycleError(RuntimeError):
     pass
 
 
-def ancestor_pairs(categories: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestor_pairs(categories: DataFrame) -> DataFrame:
     """(category_id, ancestor_id, depth, ancestor attributes): every category with itself
-    (depth 0) and each of its ancestors. One distributed join per tree level; the loop only asks Spark whether
-    the next level is empty. The edge list is cached while the loop runs (it is re-read
-    once per level) and released afterwards."""
-    edges = (categories.where(F.col("parent_id").isNotNull())
-             .select(F.col("category_id").alias("_child"), F.col("parent_id").alias("_parent"))
-             .persist())
-    try:
-        levels = [categories.select("category_id", F.col("category_id").alias("ancestor_id"),
-                                    F.lit(0).alias("depth"))]
-        cur = edges.select(F.col("_child").alias("category_id"),
-                           F.col("_parent").alias("ancestor_id"))
-        depth = 1
-        while not cur.isEmpty():
-            if depth > max_depth:
-                raise CategoryCycleError(f"category tree deeper than {max_depth} levels (a cycle?)")
-            levels.append(cur.withColumn("depth", F.lit(depth)))
-            cur = (cur.join(edges, cur.ancestor_id == edges._child)
-                   .select("category_id", F.col("_parent").alias("ancestor_id")))
-            depth += 1
-            if depth % CHECKPOINT_EVERY == 0:
-                cur = cur.checkpoint()
-        out = levels[0]
-        for lv in levels[1:]:
-            out = out.unionByName(lv)
-        # each pair carries its ancestor's attributes, so rollups need no further joins
-        attrs = categories.select(F.col("category_id").alias("ancestor_id"),
-                                  F.col("parent_id").alias("ancestor_parent"),
-                                  F.col("category_name").alias("ancestor_name"),
-                                  F.lit(True).alias("ancestor_known"))
-        kids = parents_with_children(categories).select(
-            F.col("category_id").alias("ancestor_id"), F.lit(True).alias("ancestor_has_children"))
-        out = (out.join(attrs, "ancestor_id", "left").join(kids, "ancestor_id", "left")
-               .select("category_id", "ancestor_id", "depth", "ancestor_parent", "ancestor_name",
-                       F.coalesce("ancestor_known", F.lit(False)).alias("ancestor_known"),
-                       F.coalesce("ancestor_has_children", F.lit(False)).alias("ancestor_has_children")))
-        # reliable checkpoint in the shared folder: survives executor loss, cuts lineage
-        checkpoint_dir(categories.sparkSession)
-        return out.checkpoint(eager=True)
-    finally:
-        edges.unpersist()
+    (depth 0) and each of its ancestors. The reach doubles with every round, so a tree of any
+    depth takes as many rounds as its depth has binary digits; each round is written to the
+    shared folder, and the driver only learns whether jumps are left and whether a category has
+    become its own ancestor, which raises ``CategoryCycleError``."""
+    pairs = categories.select("category_id", F.col("category_id").alias("ancestor_id"), F.lit(0).alias("depth"))
+    jump = (categories.where(F.col("parent_id").isNotNull())
+            .select(F.col("category_id").alias("_from"), F.col("parent_id").alias("_to")))
+    step = 1    # pairs hold depths below step, jump the ancestor at depth step
+    while not jump.isEmpty():
+        further = (pairs.join(jump, F.col("ancestor_id") == F.col("_from"))
+                   .select("category_id", F.col("_to").alias("ancestor_id"), (F.col("depth") + step).alias("depth")))
+        pairs = stage_table(pairs.unionByName(further), "category-pairs")
+        if not pairs.where("depth > 0 AND category_id = ancestor_id").isEmpty():
+            raise CategoryCycleError("a category is its own ancestor")
+        ahead = jump.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
+        jump = stage_table(jump.join(ahead, F.col("_to") == F.col("_mid"))
+                           .select("_from", F.col("_end").alias("_to")), "category-jumps")
+        step *= 2
+    # each pair carries its ancestor's attributes, so rollups need no further joins
+    attrs = categories.select(F.col("category_id").alias("ancestor_id"),
+                              F.col("parent_id").alias("ancestor_parent"),
+                              F.col("category_name").alias("ancestor_name"),
+                              F.lit(True).alias("ancestor_known"))
+    kids = parents_with_children(categories).select(
+        F.col("category_id").alias("ancestor_id"), F.lit(True).alias("ancestor_has_children"))
+    out = (pairs.join(attrs, "ancestor_id", "left").join(kids, "ancestor_id", "left")
+           .select("category_id", "ancestor_id", "depth", "ancestor_parent", "ancestor_name",
+                   F.coalesce("ancestor_known", F.lit(False)).alias("ancestor_known"),
+                   F.coalesce("ancestor_has_children", F.lit(False)).alias("ancestor_has_children")))
+    return stage_table(out, "category-closure")
 
 
 def closure_of(m: Model) -> DataFrame:
@@ -146,13 +133,6 @@ def parse_expanded(expanded: str | None) -> list[int]:
     return [int(t.strip()) for t in expanded.split(",") if t.strip().isdigit()]
 
 
-def expanded_ids(col) -> "F.Column":
-    """F13 as a column function: split/trim/keep digit tokens of a string column."""
-    toks = F.transform(F.split(col, ","), lambda t: F.trim(t))
-    return F.transform(F.filter(toks, lambda t: t.rlike("^[0-9]+$")),
-                       lambda t: t.cast("bigint"))
-
-
 def drilldown(m: Model, lines: DataFrame, expanded: str | None,
               totals: DataFrame | None = None) -> DataFrame:
     """Root categories plus the children of the expanded ids, with rounded subtotals

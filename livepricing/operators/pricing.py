@@ -2,7 +2,7 @@
 the flagship per-product adjusted price.
 
 Every function takes a ``Model`` and returns a DataFrame; nothing is collected.
-``restrict_to`` prices only some products, exactly. It is a size-checked list of ids (a
+``restrict_to`` prices only some products, exactly. It is a list of ids a caller names (a
 literal IN pushed into the Parquet scans) or a DataFrame of ids (semi-joins). The
 per-product parts read only those products; popularity is ranked over every product of
 the categories involved, counting only those products' sales; the stock rank stays

@@ -24,11 +24,11 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-_MODELS: dict[tuple[int, str], Model] = {}
+_MODELS: dict[tuple[str, str], Model] = {}
 
 
 def model_for(spark: SparkSession, sf_dir: str) -> Model:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
         _MODELS[key] = from_driver_tables(spark, sf_dir)
     return _MODELS[key]

@@ -56,17 +56,33 @@ def test_cycle_raises(spark):
     cats = spark.createDataFrame([(1, "a", 2), (2, "b", 1)],
                                  "category_id bigint, category_name string, parent_id bigint")
     with pytest.raises(H.CategoryCycleError):
-        H.ancestor_pairs(cats, max_depth=5)
+        H.ancestor_pairs(cats)
 
 
-def test_cart_lines_large_cart_fallback_matches_literal_path(spark):
+def test_a_tree_of_any_depth(spark):
+    n = 150
+    cats = spark.createDataFrame([(i, str(i), i - 1 if i else None) for i in range(n)],
+                                 "category_id bigint, category_name string, parent_id bigint")
+    got = {(r.category_id, r.ancestor_id, r.depth) for r in H.ancestor_pairs(cats).collect()}
+    assert got == {(i, j, i - j) for i in range(n) for j in range(i + 1)}
+
+
+def test_a_cycle_above_a_branch_raises(spark):
+    cats = spark.createDataFrame([(1, "a", 3), (2, "b", 1), (3, "c", 2), (4, "d", 1), (5, "e", None)],
+                                 "category_id bigint, category_name string, parent_id bigint")
+    with pytest.raises(H.CategoryCycleError):
+        H.ancestor_pairs(cats)
+
+
+def test_cart_lines_run_no_job_while_built(spark):
     from conftest import SF_SMALL
     from livepricing.sources.model import from_driver_tables
     m = from_driver_tables(spark, SF_SMALL)
-    small = sorted(tuple(r) for r in C.cart_lines(m).collect())
-    # a key limit of 1 forces the over-the-bound path: cart written once, semi-joins
-    big = sorted(tuple(r) for r in C.cart_lines(m, key_limit=1).collect())
-    assert small == big and len(small) > 1
+    spark.sparkContext.setJobGroup("cart-lines-build", "")
+    lines = C.cart_lines(m)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("cart-lines-build")
+    spark.sparkContext.setJobGroup("cart-lines-run", "")
+    assert lines.count() > 1
 
 
 def test_drilldown_rows_come_in_tree_order(spark):
