@@ -9,7 +9,7 @@ explicit column or literal so results are reproducible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import ordered_fill, time_bucket
@@ -45,26 +45,95 @@ def last_samples(samples: DataFrame, n: int = KEEP_SAMPLES) -> DataFrame:
                            rn="recency")
 
 
+def _statistics(values: dict[str, Column]) -> list[Column]:
+    """Aggregates behind `statistics_struct`: exact sum, and the sorted values (at most
+    KEEP_SAMPLES per group, the callers bound them). NULL values are left out."""
+    return [c for name, v in values.items()
+            for c in (F.sum(v).alias(f"_{name}_sum"), F.sort_array(F.collect_list(v)).alias(f"_{name}"))]
+
+
+def statistics_struct(name: str) -> Column:
+    """(max, average, p99) of a sorted list made by `_statistics`; NULL without values. p99 is
+    the 0-based order statistic int(0.99 * count) from P99_MIN_SAMPLES values on, else the max."""
+    n, top = F.size(f"_{name}"), F.element_at(f"_{name}", -1)
+    p99 = F.when(n >= P99_MIN_SAMPLES, F.element_at(f"_{name}", F.floor(n * 0.99).cast("int") + 1)).otherwise(top)
+    return F.when(n > 0, F.struct(top.cast("double").alias("max"),
+                                  (F.col(f"_{name}_sum").cast("double") / n).alias("average"),
+                                  p99.cast("double").alias("p99")))
+
+
+def _in_last_second() -> Column:
+    """Whether a kept sample lies within the trailing second of its source's newest sample
+    (over `last_samples`, so the window sees at most KEEP_SAMPLES rows)."""
+    newest = F.max("ts").over(Window.partitionBy("source"))
+    return seconds_between(newest, F.col("ts")) <= QPS_WINDOW_SECONDS
+
+
 def latency_stats(samples: DataFrame, n: int = KEEP_SAMPLES) -> DataFrame:
-    """Max, average and p99 (ms) over the last n samples per source. p99 is the
-    0-based order statistic int(0.99 * count) when at least 100 samples are kept, else the
-    max (so with the cap of 100 it always equals the max)."""
+    """A13 with the eviction rule S19: max, average and p99 (ms) of the samples within the
+    trailing second of the source's newest sample, the newest n at most."""
+    kept = last_samples(samples, n).withColumn("_ms", F.when(_in_last_second(), ms_exact(F.col("latency"))))
+    agg = kept.groupBy("source").agg(F.count("_ms").alias("samples"), *_statistics({"ms": F.col("_ms")}))
+    st = statistics_struct("ms")
+    return agg.select("source", "samples", st["max"].alias("max_ms"), st["average"].alias("avg_ms"),
+                      st["p99"].alias("p99_ms"))
+
+
+def last_n_stats(samples: DataFrame, n: int = KEEP_SAMPLES) -> DataFrame:
+    """A13 without eviction by time, as for end-to-end latencies: max, average and p99 (ms)
+    over the last n samples of a source."""
     kept = last_samples(samples, n).withColumn("_ms", ms_exact(F.col("latency")))
-    agg = kept.groupBy("source").agg(
-        F.count("_ms").alias("samples"),
-        F.max("_ms").alias("_max"),
-        F.sum("_ms").alias("_sum"),
-        F.sort_array(F.collect_list("_ms")).alias("_sorted"))   # at most n values
-    idx = F.floor(F.col("samples") * 0.99).cast("int") + 1
-    p99 = F.when(F.col("samples") >= P99_MIN_SAMPLES, F.element_at("_sorted", idx)).otherwise(F.col("_max"))
-    return agg.select("source", "samples",
-                      F.col("_max").cast("double").alias("max_ms"),
-                      (F.col("_sum").cast("double") / F.col("samples")).alias("avg_ms"),
-                      p99.cast("double").alias("p99_ms"))
+    agg = kept.groupBy("source").agg(F.count("_ms").alias("samples"), *_statistics({"ms": F.col("_ms")}))
+    st = statistics_struct("ms")
+    return agg.select("source", "samples", st["max"].alias("max_ms"), st["average"].alias("avg_ms"),
+                      st["p99"].alias("p99_ms"))
+
+
+def trailing_qps(samples: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+    """At every sample, the samples of its source in the trailing second (itself included;
+    of equal times, those with a smaller seq) over that second. Within the window the span
+    never exceeds it, so max(1 s, span) is the window. A source is cut into time buckets; the
+    last second of a bucket is also sent to the next one, so no window spans a whole source."""
+    us, width, back = F.col("_us"), bucket_seconds * 1_000_000, int(QPS_WINDOW_SECONDS * 1_000_000)
+    d = samples.select("source", "ts", "seq",
+                       F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("ts")).alias("_us"))
+    own = F.floor(us / F.lit(width))
+    d = d.withColumn("_own", own).withColumn("_bk", F.explode(F.sequence(own, F.floor((us + back) / F.lit(width)))))
+    part = Window.partitionBy("source", "_bk")
+    rn = F.row_number().over(part.orderBy("_us", "seq"))
+    first = F.min("_rn").over(part.orderBy("_us").rangeBetween(-back, 0))
+    out = d.withColumn("_rn", rn).withColumn("queries", (F.col("_rn") - first + 1).cast("bigint"))
+    return out.where("_bk = _own").select("source", "ts", "seq", "queries",
+                                          (F.col("queries") / F.lit(QPS_WINDOW_SECONDS)).alias("qps"))
+
+
+def rolling_stats(samples: DataFrame, n: int = KEEP_SAMPLES, bucket: str = "1 hour",
+                  block: int = 100_000) -> DataFrame:
+    """W5 as a running frame: at every sample, count, max, average and p99 (ms) of the last n
+    samples of its source. Rows are numbered per source from bucket counts, then cut into
+    blocks of ``block`` rows; the last n - 1 rows of a block are also sent to the next one."""
+    if n > P99_MIN_SAMPLES:
+        raise ValueError(f"the p99 of a running frame is its max for n <= {P99_MIN_SAMPLES} only")
+    d = samples.select("source", "ts", "seq", ms_exact(F.col("latency")).alias("_ms"),
+                       time_bucket("ts", bucket).alias("_tb"))
+    before = Window.partitionBy("source").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (d.groupBy("source", "_tb").agg(F.count(F.lit(1)).alias("_n"))
+               .select("source", "_tb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    local = d.withColumn("_rn", F.row_number().over(Window.partitionBy("source", "_tb").orderBy("ts", "seq")))
+    pos = local.join(offsets, ["source", "_tb"]).withColumn("_pos", F.col("_off") + F.col("_rn") - 1)
+    own = F.floor(F.col("_pos") / F.lit(block))
+    pos = pos.withColumn("_own", own).withColumn("_bk", F.explode(F.sequence(own, F.floor((F.col("_pos") + n - 1) / F.lit(block)))))
+    frame = Window.partitionBy("source", "_bk").orderBy("_pos").rowsBetween(-(n - 1), 0)
+    out = pos.select("source", "ts", "seq", "_bk", "_own", F.count("_ms").over(frame).alias("samples"),
+                     F.max("_ms").over(frame).alias("_max"), F.sum("_ms").over(frame).alias("_sum"))
+    top = F.col("_max").cast("double")
+    return out.where("_bk = _own").select("source", "ts", "seq", "samples", top.alias("max_ms"),
+                                          (F.col("_sum").cast("double") / F.col("samples")).alias("avg_ms"),
+                                          top.alias("p99_ms"))
 
 
 def qps(samples: DataFrame, window: str = "1 second") -> DataFrame:
-    """Per source and tumbling window, count / max(1 s, span of the window's samples).
+    """Per source and tumbling window, count / max(1 s, span of the window's samples).
     A partial aggregate: a hot source is pre-aggregated before the shuffle."""
     agg = (samples.groupBy("source", time_bucket("ts", window).alias("window_start"))
            .agg(F.count(F.lit(1)).alias("queries"), F.min("ts").alias("_t0"), F.max("ts").alias("_t1")))
@@ -76,12 +145,12 @@ def history_window(samples: DataFrame, seconds: int = HISTORY_SECONDS,
                    points: int = HISTORY_POINTS) -> DataFrame:
     """Per source, samples of the last `seconds` before its newest sample, at most
     `points` of them (newest first)."""
-    newest = samples.groupBy("source").agg(F.max("ts").alias("_newest"))
-    recent = (samples.join(newest, "source")   # one row per source
-              .where(F.col("ts") >= F.col("_newest") - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
-              .drop("_newest"))
-    return top_k_per_group(recent, ["source"], [F.col("ts").desc(), F.col("seq").desc()], points,
-                           rn="point").select("source", "ts", "latency", "point")
+    # the newest `points` hold every row that can stay; the cut is then taken within them
+    kept = top_k_per_group(samples, ["source"], [F.col("ts").desc(), F.col("seq").desc()], points, rn="point")
+    newest = F.max("ts").over(Window.partitionBy("source"))
+    return (kept.withColumn("_newest", newest)
+            .where(F.col("ts") >= F.col("_newest") - F.expr(f"INTERVAL {int(seconds)} SECONDS"))
+            .select("source", "ts", "latency", "point"))
 
 
 def price_series(samples: DataFrame) -> DataFrame:
@@ -98,9 +167,9 @@ def carry_forward(series: DataFrame, bucket: str = "1 day") -> DataFrame:
 
 def price_changes(series: DataFrame, bucket: str = "1 day") -> DataFrame:
     """Previous price and a null-safe change flag per row of each consumer's series."""
-    filled = carry_forward(series, bucket)
-    out = ordered_fill(filled, ["user_id"], ["ts", "seq"], "price_filled",
-                       time_bucket("ts", bucket), prev_out="prev_price")
+    # the previous filled price is the last known one before the row: one pass gives both
+    out = ordered_fill(series, ["user_id"], ["ts", "seq"], "price", time_bucket("ts", bucket),
+                       last_out="price_filled", prev_last_out="prev_price")
     return out.select("user_id", "ts", "seq", "price_filled", "prev_price",
                       (~F.col("price_filled").eqNullSafe(F.col("prev_price"))).alias("changed"))
 
@@ -145,7 +214,7 @@ def replication_lag(primary: DataFrame, replica: DataFrame, as_of: Column) -> Da
     highest id, the replica's the latest ts. 0 when the replica has caught up, else
     (primary ts - replica ts) + (now - primary ts), never below 0."""
     p = primary.agg(F.max_by(F.struct("id", "ts"), "id").alias("p"))
-    r = replica.agg(F.max_by(F.struct("id", "ts"), "ts")).scalar()   # scalar subquery
+    r = replica.agg(F.max_by(F.struct("id", "ts"), F.struct("ts", "id"))).scalar()   # scalar subquery
     lag = (seconds_between(F.col("p.ts"), r["ts"])
            + seconds_between(as_of, F.col("p.ts")))
     return (p.select("p", r.alias("r"))
@@ -206,14 +275,45 @@ def source_health(status_history: DataFrame, sources: DataFrame) -> DataFrame:
     return bad.agg((F.count(F.lit(1)) > 0).alias("restart"))
 
 
-def metrics_document(samples: DataFrame) -> DataFrame:
-    """One JSON object per source with its gated latency, rate and statistics."""
-    stats = latency_stats(samples)
-    gate = freshness_gate(samples)
-    rate = (qps(samples).groupBy("source")
-            .agg(F.max_by("qps", "window_start").alias("qps")))
-    doc = gate.join(stats, "source").join(rate, "source", "left")
-    return doc.select("source", F.to_json(F.struct(
-        "source", "is_fresh", "age_seconds", "latency_ms",
-        F.when(F.col("is_fresh"), F.col("qps")).alias("qps"),
-        F.when(F.col("is_fresh"), F.struct("max_ms", "avg_ms", "p99_ms")).alias("stats"))).alias("body"))
+def metrics_fields(samples: DataFrame, lag_seconds: Column, n: int = KEEP_SAMPLES,
+                   stale_after: float = QUERY_STALE_SECONDS) -> DataFrame:
+    """Every field of the metrics document, one row per source, NULL when the source is
+    stale. ``samples``: source, ts, seq, latency, end_to_end, refresh_duration (seconds) and
+    price (NULL: the sample brought none). ``lag_seconds``: the replica's lag (a scalar).
+
+    Latency statistics follow `latency_stats`, the end-to-end and refresh ones the last n
+    samples, all from one bounded top-n; the rate reads only the newest seconds, the only ones a
+    fresh source's trailing second can lie in."""
+    now = as_of_latest(samples).scalar()          # scalar subquery
+    order = F.struct("ts", "seq")
+    last = samples.groupBy("source").agg(
+        F.max("ts").alias("last_ts"),
+        F.max_by(F.struct("latency", "end_to_end", "refresh_duration"), order).alias("_last"),
+        F.max_by("price", F.when(F.col("price").isNotNull(), order)).alias("_price"))
+    kept = last_samples(samples, n).withColumn("_near", _in_last_second())
+    stats = kept.groupBy("source").agg(*_statistics({
+        "ms": F.when(F.col("_near"), ms_exact(F.col("latency"))),
+        "e2e": ms_exact(F.col("end_to_end")),
+        "refresh": F.col("refresh_duration").cast("decimal(38,6)")}))
+    reach = stale_after + QPS_WINDOW_SECONDS
+    recent = samples.where(F.col("ts") >= now - F.expr(f"INTERVAL {reach} SECONDS")).select("source", "ts")
+    newest = recent.groupBy("source").agg(F.max("ts").alias("_newest"))
+    rate = (recent.join(newest, "source")
+            .where(seconds_between(F.col("_newest"), F.col("ts")) <= QPS_WINDOW_SECONDS)
+            .groupBy("source").agg((F.count(F.lit(1)) / F.lit(QPS_WINDOW_SECONDS)).alias("_qps")))
+    age = seconds_between(now, F.col("last_ts"))
+    fresh = age <= F.lit(stale_after)
+    fields = {"latency_ms": F.col("_last.latency") * 1000, "end_to_end_ms": F.col("_last.end_to_end") * 1000,
+              "price": F.col("_price"), "qps": F.col("_qps"), "refresh_age": age,
+              "refresh_duration": F.col("_last.refresh_duration"), "replica_lag": lag_seconds}
+    for name, label in (("ms", "latency"), ("e2e", "end_to_end"), ("refresh", "refresh")):
+        st = statistics_struct(name)
+        fields |= {f"{label}_{part}": st[part] for part in ("max", "average", "p99")}
+    return (last.join(stats, "source").join(rate, "source", "left")
+            .select("source", fresh.alias("is_fresh"), *[F.when(fresh, v).alias(k) for k, v in fields.items()]))
+
+
+def metrics_document(samples: DataFrame, lag_seconds: Column) -> DataFrame:
+    """`metrics_fields` as one JSON object per source (NULL fields are left out)."""
+    f = metrics_fields(samples, lag_seconds)
+    return f.select("source", F.to_json(F.struct("*")).alias("body"))

@@ -28,10 +28,10 @@ def time_bucket(ts: str, width: str = DEFAULT_BUCKET) -> Column:
 
 def ordered_fill(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
                  bucket: Column, prev_out: str | None = None,
-                 last_out: str | None = None) -> DataFrame:
-    """Adds ``prev_out`` = LAG(value) and ``last_out`` = LAST(value IGNORE NULLS) over
-    (PARTITION BY key ORDER BY order ROWS UNBOUNDED PRECEDING). ``order`` must be total
-    within a key."""
+                 last_out: str | None = None, prev_last_out: str | None = None) -> DataFrame:
+    """Adds ``prev_out`` = LAG(value), ``last_out`` = LAST(value IGNORE NULLS) over
+    (PARTITION BY key ORDER BY order ROWS UNBOUNDED PRECEDING) and ``prev_last_out`` = the
+    same without the current row. ``order`` must be total within a key."""
     key, order = list(key), list(order)
     d = df.withColumn("_bk", bucket)
     row = F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))
@@ -59,4 +59,9 @@ def ordered_fill(df: DataFrame, key: Sequence[str], order: Sequence[str], value:
             F.last(value, ignorenulls=True).over(wr.rowsBetween(Window.unboundedPreceding, 0)),
             F.col("_in_last_nn")))
         cols.append(last_out)
+    if prev_last_out:
+        out = out.withColumn(prev_last_out, F.coalesce(
+            F.last(value, ignorenulls=True).over(wr.rowsBetween(Window.unboundedPreceding, -1)),
+            F.col("_in_last_nn")))
+        cols.append(prev_last_out)
     return out.select(*cols)

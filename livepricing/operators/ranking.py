@@ -59,15 +59,19 @@ def top_k_rank(df: DataFrame, group: Sequence[str], value: str, k: int, out: str
 
 
 def full_rank(df: DataFrame, group: Sequence[str], value: str, out: str,
-              buckets: int = 64) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """Adds ``out`` = RANK() OVER (PARTITION BY group ORDER BY value DESC) for every row.
-    Rows with a NULL value get a NULL rank."""
+    Rows with a NULL value get a NULL rank. ``buckets`` (of distinct values, per group)
+    follows the session's shuffle partitions, which are sized from the input; any number
+    gives the same ranks."""
     group = list(group)
+    if buckets is None:
+        buckets = min(max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4096)
     hist = (df.where(F.col(value).isNotNull())
             .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")))
     fractions = [i / buckets for i in range(1, buckets)]
     bounds = hist.groupBy(*group).agg(
-        F.percentile_approx(value, fractions, 10000).alias("_bounds"))
+        F.percentile_approx(value, fractions, max(10_000, 16 * buckets)).alias("_bounds"))
     if group:
         hb = hist.join(bounds, group)
     else:

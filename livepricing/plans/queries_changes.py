@@ -107,30 +107,26 @@ def orphan_check(m):
 
 # --- IO7 / IO8 -----------------------------------------------------------------------------
 
-def _log(ev, cond):
-    return (ev.where(cond).groupBy("event_type")
-            .agg(F.max("ts").alias("last_refresh"), (F.max_by("value", "ts") / 1000.0).alias("refresh_duration"))
-            .select(F.concat(F.lit("mv_"), "event_type").alias("view_name"), "last_refresh", "refresh_duration"))
+# one view per event type and user; events before the cut made the log, the others update it
+LOG_CUT = "2024-01-16 00:00:00"
 
 
-LOG_SQL = """WITH cur AS (SELECT 'mv_' || event_type AS view_name, max(ts) AS last_refresh,
-                    arg_max(value, ts) / 1000.0 AS refresh_duration
-             FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY event_type),
-upd AS (SELECT 'mv_' || event_type AS view_name, max(ts) AS last_refresh,
-               arg_max(value, ts) / 1000.0 AS refresh_duration
-        FROM events WHERE ts >= TIMESTAMP '2024-01-25 00:00:00' AND event_type IN ('click', 'view')
-        GROUP BY event_type)"""
+def _log(ev):
+    view = F.concat_ws("_", F.lit("mv"), "event_type", "user_id")
+    return (ev.groupBy(view.alias("view_name"))
+            .agg(F.max("ts").alias("last_refresh"),
+                 (F.max_by("value", F.struct("ts", "event_id")) / 1000.0).alias("refresh_duration")))
 
 
-@register("upsert_log", LOG_SQL + """
-SELECT * FROM upd UNION ALL SELECT * FROM cur WHERE view_name NOT IN (SELECT view_name FROM upd)""",
-          ids="IO7")
+@register("upsert_log", f"""
+WITH e AS (SELECT concat_ws('_', 'mv', event_type, user_id) AS view_name, ts, event_id, value,
+                  ts >= TIMESTAMP '{LOG_CUT}' AS late FROM events),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY view_name ORDER BY late DESC, ts DESC, event_id DESC) AS r FROM e)
+SELECT view_name, ts AS last_refresh, value / 1000.0 AS refresh_duration FROM ranked WHERE r = 1""", ids="IO7")
 def upsert_log(spark, sf_dir):
     ev = events(spark, sf_dir)
-    cur = _log(ev, F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"))
-    upd = _log(ev, (F.col("ts") >= F.expr("TIMESTAMP_NTZ '2024-01-25 00:00:00'"))
-               & F.col("event_type").isin("click", "view"))
-    return CH.upsert(cur, upd, "view_name", order="last_refresh")
+    late = F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{LOG_CUT}'")
+    return CH.upsert(_log(ev.where(~late)), _log(ev.where(late)), "view_name", order="last_refresh")
 
 
 @register("insert_ignore", with_model(body="""

@@ -20,6 +20,22 @@ def samples(spark, sf_dir):
 
 @register("latency_stats", f"""
 WITH s AS ({SAMPLES_SQL}),
+top AS (SELECT source, max(ts) AS t FROM s GROUP BY source),
+k AS (SELECT s.source, CAST(latency * 1000 AS DECIMAL(38,6)) AS ms,
+             row_number() OVER (PARTITION BY s.source ORDER BY ts DESC, seq DESC) AS rn
+      FROM s JOIN top ON top.source = s.source AND s.ts >= top.t - INTERVAL 1 SECOND)
+SELECT source, COUNT(ms) AS samples, CAST(MAX(ms) AS DOUBLE) AS max_ms,
+       CAST(SUM(ms) AS DOUBLE) / COUNT(ms) AS avg_ms,
+       CAST(CASE WHEN COUNT(ms) >= 100
+                 THEN list_sort(list(ms))[CAST(floor(COUNT(ms) * 0.99) AS INTEGER) + 1]
+                 ELSE MAX(ms) END AS DOUBLE) AS p99_ms
+FROM k WHERE rn <= 100 GROUP BY source""", ids="A13 S13 S14 S19")
+def latency_stats(spark, sf_dir):
+    return M.latency_stats(samples(spark, sf_dir))
+
+
+@register("last_100_stats", f"""
+WITH s AS ({SAMPLES_SQL}),
 k AS (SELECT source, CAST(latency * 1000 AS DECIMAL(38,6)) AS ms,
              row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) AS rn FROM s)
 SELECT source, COUNT(ms) AS samples, CAST(MAX(ms) AS DOUBLE) AS max_ms,
@@ -28,16 +44,41 @@ SELECT source, COUNT(ms) AS samples, CAST(MAX(ms) AS DOUBLE) AS max_ms,
                  THEN list_sort(list(ms))[CAST(floor(COUNT(ms) * 0.99) AS INTEGER) + 1]
                  ELSE MAX(ms) END AS DOUBLE) AS p99_ms
 FROM k WHERE rn <= 100 GROUP BY source""", ids="A13 W5 S13 S14")
-def latency_stats(spark, sf_dir):
-    return M.latency_stats(samples(spark, sf_dir))
+def last_100_stats(spark, sf_dir):
+    return M.last_n_stats(samples(spark, sf_dir))
+
+
+@register("rolling_100", f"""
+WITH s AS ({SAMPLES_SQL}),
+f AS (SELECT source, ts, seq, list(CAST(latency * 1000 AS DECIMAL(38,6))) OVER (
+        PARTITION BY source ORDER BY ts, seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS v FROM s)
+SELECT source, ts, seq, CAST(len(list_filter(v, lambda x: x IS NOT NULL)) AS BIGINT) AS samples,
+       CAST(list_max(v) AS DOUBLE) AS max_ms,
+       CAST(list_sum(v) AS DOUBLE) / len(list_filter(v, lambda x: x IS NOT NULL)) AS avg_ms,
+       CAST(CASE WHEN len(v) >= 100 THEN list_sort(v)[CAST(floor(len(v) * 0.99) AS INTEGER) + 1]
+                 ELSE list_max(v) END AS DOUBLE) AS p99_ms FROM f""", ids="W5")
+def rolling_100(spark, sf_dir):
+    return M.rolling_stats(samples(spark, sf_dir))
 
 
 @register("qps_1s", f"""
+WITH s AS ({SAMPLES_SQL}),
+c AS (SELECT source, ts, seq,
+             count(*) OVER (PARTITION BY source ORDER BY ts
+                            RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW)
+             - count(*) OVER (PARTITION BY source, ts)
+             + row_number() OVER (PARTITION BY source, ts ORDER BY seq) AS queries FROM s)
+SELECT source, ts, seq, queries, queries / CAST(1.0 AS DOUBLE) AS qps FROM c""", ids="W6 T10")
+def qps_1s(spark, sf_dir):
+    return M.trailing_qps(samples(spark, sf_dir))
+
+
+@register("qps_per_second", f"""
 WITH s AS ({SAMPLES_SQL})
 SELECT source, time_bucket(INTERVAL 1 second, ts) AS window_start, COUNT(*) AS queries,
        COUNT(*) / GREATEST(CAST(1.0 AS DOUBLE), (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS qps
-FROM s GROUP BY 1, 2""", ids="W6 T10")
-def qps_1s(spark, sf_dir):
+FROM s GROUP BY 1, 2""", ids="T10")
+def qps_per_second(spark, sf_dir):
     return M.qps(samples(spark, sf_dir))
 
 
@@ -88,7 +129,7 @@ def source_gaps(spark, sf_dir):
 
 @register("freshness_gate", f"""
 WITH s AS ({SAMPLES_SQL}),
-l AS (SELECT source, max(ts) AS last_ts, arg_max(latency, ts) AS lat FROM s GROUP BY source),
+l AS (SELECT source, max(ts) AS last_ts, arg_max(latency, (ts, seq)) AS lat FROM s GROUP BY source),
 n AS (SELECT max(ts) AS as_of FROM s)
 SELECT source, last_ts, (epoch_us(as_of) - epoch_us(last_ts)) / 1e6 AS age_seconds,
        (epoch_us(as_of) - epoch_us(last_ts)) / 1e6 <= 2.0 AS is_fresh,
@@ -113,7 +154,7 @@ def heartbeats(spark, sf_dir):
 
 @register("replication_lag", HEARTBEATS_SQL + """
 , p AS (SELECT arg_max(id, id) AS pid, arg_max(ts, id) AS pts FROM hb),
-r AS (SELECT arg_max(id, ts) AS rid, arg_max(ts, ts) AS rts FROM rep)
+r AS (SELECT arg_max(id, (ts, id)) AS rid, max(ts) AS rts FROM rep)
 SELECT pid AS primary_id, rid AS replica_id,
        CASE WHEN rid >= pid THEN CAST(0.0 AS DOUBLE)
             ELSE GREATEST(CAST(0.0 AS DOUBLE), (epoch_us(pts) - epoch_us(rts)) / 1e6
@@ -126,7 +167,7 @@ def replication_lag(spark, sf_dir):
 
 REFRESH_LOG_SQL = """WITH log AS (
   SELECT 'mv_' || event_type AS view_name, max(ts) AS last_refresh,
-         arg_max(value, ts) / 1000.0 AS refresh_duration FROM events GROUP BY event_type),
+         arg_max(value, (ts, event_id)) / 1000.0 AS refresh_duration FROM events GROUP BY event_type),
 n AS (SELECT max(ts) AS as_of FROM events)"""
 
 
@@ -136,7 +177,7 @@ def refresh_log(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     return ev.groupBy("event_type").agg(
         F.max("ts").alias("last_refresh"),
-        (F.max_by("value", "ts") / 1000.0).alias("refresh_duration")).select(
+        (F.max_by("value", F.struct("ts", "event_id")) / 1000.0).alias("refresh_duration")).select(
         F.concat(F.lit("mv_"), "event_type").alias("view_name"), "last_refresh", "refresh_duration")
 
 
@@ -222,6 +263,61 @@ def source_health(spark, sf_dir):
     return M.source_health(status, sources)
 
 
+def query_samples(spark, sf_dir):
+    """Samples with what the metrics document needs beside the latency: the view counts as
+    refreshed at every whole minute (the end-to-end latency is the time since then), a refresh
+    takes value / 1000 seconds, and error samples bring no price."""
+    ev = read_table(spark, sf_dir, "events")
+    minute = F.date_trunc("minute", "ts").cast("timestamp_ntz")
+    return ev.select(F.col("event_type").alias("source"), "ts", F.col("event_id").alias("seq"),
+                     F.col("value").alias("latency"), M.seconds_between(F.col("ts"), minute).alias("end_to_end"),
+                     (F.col("value") / 1000.0).alias("refresh_duration"),
+                     F.when(F.col("event_type") != "error", F.col("value")).alias("price"))
+
+
+def _stat_sql(of: str, label: str) -> str:
+    return f"""CAST(max({of}) AS DOUBLE) AS {label}_max, CAST(sum({of}) AS DOUBLE) / count({of}) AS {label}_average,
+    CAST(CASE WHEN count({of}) >= 100 THEN list_sort(list({of}) FILTER ({of} IS NOT NULL))[CAST(floor(count({of}) * 0.99) AS INTEGER) + 1]
+         ELSE max({of}) END AS DOUBLE) AS {label}_p99"""
+
+
+METRICS_SQL = f"""WITH s AS (SELECT event_type AS source, ts, event_id AS seq, value AS latency,
+    (epoch_us(ts) - epoch_us(date_trunc('minute', ts))) / 1e6 AS e2e, value / 1000.0 AS took FROM events),
+clock AS (SELECT max(ts) AS t FROM s),
+hb AS (SELECT event_id AS id, ts FROM events WHERE event_type = 'view'),
+ahead AS (SELECT id, ts FROM hb ORDER BY id DESC LIMIT 1),
+behind AS (SELECT hb.id, hb.ts FROM hb, clock WHERE hb.ts < t - INTERVAL 6 HOURS ORDER BY hb.ts DESC, hb.id DESC LIMIT 1),
+lag AS (SELECT CASE WHEN b.id >= a.id THEN CAST(0.0 AS DOUBLE)
+    ELSE GREATEST(CAST(0.0 AS DOUBLE), (epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 + (epoch_us(t) - epoch_us(a.ts)) / 1e6) END AS secs
+    FROM ahead a, behind b, clock),
+n AS (SELECT s.*, row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) AS age_rank,
+             max(ts) OVER (PARTITION BY source) AS newest FROM s),
+pieces AS (SELECT *, CASE WHEN ts >= newest - INTERVAL 1 SECOND THEN CAST(latency * 1000 AS DECIMAL(38,6)) END AS a,
+    CAST(e2e * 1000 AS DECIMAL(38,6)) AS b, CAST(took AS DECIMAL(38,6)) AS c FROM n WHERE age_rank <= 100),
+st AS (SELECT source, {_stat_sql('a', 'latency')}, {_stat_sql('b', 'end_to_end')}, {_stat_sql('c', 'refresh')}
+       FROM pieces GROUP BY source),
+rate AS (SELECT source, count(*) / CAST(1.0 AS DOUBLE) AS qps FROM n WHERE ts >= newest - INTERVAL 1 SECOND GROUP BY source),
+cur AS (SELECT source, newest, latency * 1000 AS latency_ms, e2e * 1000 AS end_to_end_ms, took AS refresh_duration,
+               CASE WHEN source <> 'error' THEN latency END AS price FROM n WHERE age_rank = 1),
+wide AS (SELECT cur.source, (epoch_us(t) - epoch_us(newest)) / 1e6 AS refresh_age, latency_ms, end_to_end_ms, price, qps,
+               refresh_duration, secs AS replica_lag, st.* EXCLUDE (source)
+        FROM cur JOIN st USING (source) JOIN rate USING (source), clock, lag)"""
+METRIC_FIELDS = ["latency_ms", "end_to_end_ms", "price", "qps", "refresh_age", "refresh_duration", "replica_lag",
+                 *[f"{a}_{b}" for a in ("latency", "end_to_end", "refresh") for b in ("max", "average", "p99")]]
+
+
+def _metrics(spark, sf_dir):
+    lag = M.replication_lag(*heartbeats(spark, sf_dir)).select("lag_seconds").scalar()
+    return query_samples(spark, sf_dir), lag
+
+
+@register("metrics_fields", METRICS_SQL + "\nSELECT source, refresh_age <= 2.0 AS is_fresh, "
+          + ", ".join(f"CASE WHEN refresh_age <= 2.0 THEN {c} END AS {c}" for c in METRIC_FIELDS) + " FROM wide",
+          ids="V10 T6 T7 T9")
+def metrics_fields(spark, sf_dir):
+    return M.metrics_fields(*_metrics(spark, sf_dir))
+
+
 @register("metrics_document", None, ids="V10")
 def metrics_document(spark, sf_dir):
-    return M.metrics_document(samples(spark, sf_dir))
+    return M.metrics_document(*_metrics(spark, sf_dir))

@@ -32,11 +32,11 @@ def test_ties_at_rank_three_and_ten_share_the_band(spark):
 
 
 @pytest.mark.parametrize("n", [1, 99, 100, 101])
-def test_latency_stats_cap_and_p99(spark, n):
+def test_last_n_stats_cap_and_p99(spark, n):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("q", t0 + dt.timedelta(seconds=i), float(i + 1) / 1000, i) for i in range(n)]
     s = spark.createDataFrame(rows, "source string, ts timestamp_ntz, latency double, seq long")
-    r = M.latency_stats(s).first()
+    r = M.last_n_stats(s).first()
     kept = list(range(max(0, n - 100) + 1, n + 1))          # last 100 values in ms
     assert r.samples == len(kept)
     assert r.max_ms == pytest.approx(max(kept))
