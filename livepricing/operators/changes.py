@@ -15,6 +15,7 @@ from .ranking import full_rank, top_k_per_group
 # Fixed values that must equal the reference's for the same results.
 NEW_PROMOTION_DISCOUNT = 1000        # 10.00 % in hundredths of a percent
 NEW_PROMOTION_DAYS = 30
+RESTOCK_DAYS = 30
 NEW_STOCK_MIN, NEW_STOCK_MAX = 5, 25  # restock draw, inclusive
 NEW_WAREHOUSE = 1
 HEARTBEAT_PRODUCT = 1
@@ -59,6 +60,10 @@ def draw_stock(seq: Column) -> Column:
     return (F.lit(NEW_STOCK_MIN) + F.pmod(seq * 7 + 3, F.lit(span))).cast("int")
 
 
+def restock_date(as_of: Column) -> Column:
+    return as_of + F.expr(f"INTERVAL {RESTOCK_DAYS} DAYS")
+
+
 # --- T11 promotion toggles ---------------------------------------------------------------
 
 def toggle_promotions(promotions: DataFrame, products: DataFrame, toggles: DataFrame,
@@ -68,30 +73,39 @@ def toggle_promotions(promotions: DataFrame, products: DataFrame, toggles: DataF
     toggles in a batch flips, an even number leaves the state. Unknown products yield an
     error status and change nothing.
 
-    ``now``: one row with column ``as_of`` (start of inserted promotions).
-    Returns (new promotions, status per toggled product)."""
+    ``now``: one row with column ``as_of`` (the time of the toggles: the start of inserted
+    promotions, and ``updated_at`` of toggled rows where promotions have that column).
+    Returns (new promotions, status per toggled product with updated_at and the resulting
+    active flag: whether any of its promotions is active now)."""
     per = toggles.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
     known = per.join(products.select("product_id"), "product_id", "left_semi")
     has_rows = promotions.select("product_id").distinct()
     flip = F.col("_n") % 2 == 1
+    as_of = now.select("as_of").scalar()               # scalar subquery
     updated = (promotions.join(known, "product_id", "left")
                .withColumn("active", F.when(F.col("_n").isNotNull() & flip, ~F.col("active"))
-                           .otherwise(F.col("active")))
-               .drop("_n"))
-    as_of = now.select("as_of").scalar()               # scalar subquery
+                           .otherwise(F.col("active"))))
+    if "updated_at" in promotions.columns:
+        updated = updated.withColumn("updated_at", F.when(F.col("_n").isNotNull(), as_of)
+                                     .otherwise(F.col("updated_at")))
+    updated = updated.drop("_n")
     inserted = (known.join(has_rows, "product_id", "left_anti")
                 .select("product_id",
                         F.lit(NEW_PROMOTION_DISCOUNT).cast("bigint").alias("promotion_discount"),
                         flip.alias("active"),    # the insert is active, later toggles flip it
                         as_of.alias("start_date"),
-                        (as_of + F.expr(f"INTERVAL {NEW_PROMOTION_DAYS} DAYS")).alias("end_date")))
+                        (as_of + F.expr(f"INTERVAL {NEW_PROMOTION_DAYS} DAYS")).alias("end_date"),
+                        as_of.alias("updated_at")))
     cols = promotions.columns
     new = updated.unionByName(inserted.select(*[c for c in inserted.columns if c in cols]),
                               allowMissingColumns=True).select(*cols)
-    status = (per.join(products.select("product_id").withColumn("_known", F.lit(True)), "product_id", "left")
-              .select("product_id",
-                      F.when(F.col("_known").isNull(), F.lit("error")).otherwise(F.lit("success"))
-                      .alias("status"), "_n"))
+    # one row per toggled product: every known one has a promotion by now
+    after = (new.join(known.select("product_id"), "product_id", "left_semi")
+             .groupBy("product_id").agg(F.bool_or("active").alias("active")))
+    done = F.col("active").isNotNull()
+    status = (per.join(after, "product_id", "left")
+              .select("product_id", F.when(done, F.lit("success")).otherwise(F.lit("error")).alias("status"),
+                      "_n", F.when(done, as_of).alias("updated_at"), "active"))
     return new, status
 
 
@@ -108,7 +122,7 @@ def add_products(products: DataFrame, new: DataFrame, as_of: Column) -> dict[str
     sales = rows.select("product_id", F.col("price").alias("price"), F.col("price").alias("sale_price"),
                         as_of.alias("sale_date"))
     inv = rows.select("product_id", F.lit(NEW_WAREHOUSE).cast("bigint").alias("warehouse_id"),
-                      draw_stock(F.col("seq")).alias("stock"))
+                      draw_stock(F.col("seq")).alias("stock"), restock_date(as_of).alias("restock_date"))
     cart = rows.select("product_id", "product_name", "category_id", "price", as_of.alias("ts"))
     return {"products": prod, "sales": sales, "inventory": inv, "shopping_cart": cart}
 
@@ -116,9 +130,10 @@ def add_products(products: DataFrame, new: DataFrame, as_of: Column) -> dict[str
 # --- T13 / T14 cart events ---------------------------------------------------------------
 
 def cart_add(cart: DataFrame, products: DataFrame, inventory: DataFrame,
-             adds: DataFrame) -> tuple[DataFrame, DataFrame]:
+             adds: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Append cart rows copied from products and restock every added product: all its
-    inventory rows get the new stock, a product without inventory gets a new row.
+    inventory rows get the new stock, a product without inventory gets a new row; where the
+    inventory has a ``restock_date``, these get the one 30 days after ``as_of``.
     ``adds``: (product_id, ts, seq). Returns (new cart, new inventory)."""
     lines = (adds.join(products.select("product_id", "product_name", "category_id", "base_price"),
                        "product_id")
@@ -129,10 +144,16 @@ def cart_add(cart: DataFrame, products: DataFrame, inventory: DataFrame,
                .groupBy("product_id").agg(F.max("seq").alias("_seq"))
                .select("product_id", draw_stock(F.col("_seq")).alias("_stock")))
     updated = (inventory.join(restock, "product_id", "left")
-               .withColumn("stock", F.coalesce(F.col("_stock"), F.col("stock"))).drop("_stock"))
+               .withColumn("stock", F.coalesce(F.col("_stock"), F.col("stock"))))
+    dated = "restock_date" in inventory.columns
+    if dated:
+        updated = updated.withColumn("restock_date", F.when(F.col("_stock").isNotNull(), restock_date(as_of))
+                                     .otherwise(F.col("restock_date")))
+    updated = updated.drop("_stock")
     created = (restock.join(inventory.select("product_id"), "product_id", "left_anti")
                .select("product_id", F.lit(NEW_WAREHOUSE).cast("bigint").alias("warehouse_id"),
-                       F.col("_stock").alias("stock")))
+                       F.col("_stock").alias("stock"),
+                       *([restock_date(as_of).alias("restock_date")] if dated else [])))
     new_inv = updated.unionByName(created, allowMissingColumns=True).select(*inventory.columns)
     return new_cart, new_inv
 
@@ -142,6 +163,12 @@ def cart_delete(cart: DataFrame, delete_ts: DataFrame) -> DataFrame:
     return cart.join(delete_ts.select("ts").distinct(), "ts", "left_anti").select(*cart.columns)
 
 
+def seeded_pick(rows: DataFrame, key: str, seed: int, n: int = 1) -> DataFrame:
+    """ORDER BY RANDOM() LIMIT n, made repeatable: the rows first by md5 of key and seed."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return rows.orderBy(draw, key).limit(n)
+
+
 # --- T15 stock deltas --------------------------------------------------------------------
 #
 # One step is s -> max(0, s + d). Any run of steps is s -> max(a, s + b), and running

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cart as C
 from ..operators import hierarchy as H
+from ..session import stage_table
 from .oracle import cart_sql, hierarchy_sql, with_model
 from .registry import model_for, on_model, register
 
@@ -135,7 +136,8 @@ def cart_message(m):
 @register("cart_document", None, ids="V9 IO16")
 def cart_document(spark, sf_dir):
     m = model_for(spark, sf_dir)
-    return C.cart_document(m, lines_of(m), EXPANDED)
+    # items, subtotals and totals all read the lines: they are computed and written once
+    return C.cart_document(m, stage_table(lines_of(m), "cart-lines"), EXPANDED)
 
 
 @register("cart_inventory", with_model(body="""

@@ -156,26 +156,42 @@ known AS (SELECT * FROM per WHERE product_id IN (SELECT product_id FROM products
 now AS (SELECT max(ts) AS as_of FROM events)"""
 
 
-@register("toggle_promotion", with_model(body=TOGGLE_SQL + """
+def dated_promotions(m):
+    """Promotions with the dates a toggle writes: they run 30 days and were last touched at
+    their start."""
+    return (m.promotions.withColumn("end_date", F.col("start_date") + F.expr("INTERVAL 30 DAYS"))
+            .withColumn("updated_at", F.col("start_date")))
+
+
+TOGGLED_SQL = TOGGLE_SQL + """,
+after AS (
 SELECT p.product_id, CAST(p.promotion_discount AS DOUBLE) AS promotion_discount,
-       CASE WHEN k.n % 2 = 1 THEN NOT p.active ELSE p.active END AS active, p.start_date
-FROM promotions p LEFT JOIN known k ON p.product_id = k.product_id
+       (p.active <> (coalesce(k.n, 0) % 2 = 1)) AS active, p.start_date,
+       p.start_date + INTERVAL 30 DAYS AS end_date,
+       CASE WHEN k.n > 0 THEN as_of ELSE p.start_date END AS updated_at
+FROM promotions p LEFT JOIN known k ON p.product_id = k.product_id, now
 UNION ALL
-SELECT k.product_id, CAST(10.0 AS DOUBLE), k.n % 2 = 1, now.as_of
-FROM known k, now WHERE k.product_id NOT IN (SELECT product_id FROM promotions)"""), ids="T11 J11 J12 F11 F5")
+SELECT k.product_id, CAST(10.0 AS DOUBLE), k.n % 2 = 1, now.as_of, now.as_of + INTERVAL 30 DAYS, now.as_of
+FROM known k, now WHERE k.product_id NOT IN (SELECT product_id FROM promotions))"""
+
+
+@register("toggle_promotion", with_model(body=TOGGLED_SQL + "\nSELECT * FROM after"),
+          ids="T11 J11 J12 F11 F5")
 def toggle_promotion(spark, sf_dir):
     m = model_for(spark, sf_dir)
-    new, _ = CH.toggle_promotions(m.promotions, m.products, toggles(spark, sf_dir), as_of(spark, sf_dir))
+    new, _ = CH.toggle_promotions(dated_promotions(m), m.products, toggles(spark, sf_dir), as_of(spark, sf_dir))
     return new.select("product_id", percent(F.col("promotion_discount")).alias("promotion_discount"),
-                      "active", "start_date")
+                      "active", "start_date", "end_date", "updated_at")
 
 
-@register("toggle_status", with_model(body=TOGGLE_SQL + """
-SELECT product_id, CASE WHEN product_id IN (SELECT product_id FROM products) THEN 'success' ELSE 'error' END
-       AS status, n AS toggles FROM per"""), ids="T11")
+@register("toggle_status", with_model(body=TOGGLED_SQL + """
+SELECT per.product_id, CASE WHEN known.n > 0 THEN 'success' ELSE 'error' END AS status, per.n AS toggles,
+       CASE WHEN known.n > 0 THEN as_of END AS updated_at,
+       (SELECT max(active) FROM after WHERE after.product_id = known.product_id) AS active
+FROM per LEFT JOIN known ON known.product_id = per.product_id, now"""), ids="T11")
 def toggle_status(spark, sf_dir):
     m = model_for(spark, sf_dir)
-    _, status = CH.toggle_promotions(m.promotions, m.products, toggles(spark, sf_dir),
+    _, status = CH.toggle_promotions(dated_promotions(m), m.products, toggles(spark, sf_dir),
                                      as_of(spark, sf_dir))
     return status.withColumnRenamed("_n", "toggles")
 
@@ -190,33 +206,97 @@ SELECT (SELECT coalesce(max(product_id), 0) FROM products) + row_number() OVER (
        value AS base_price, as_of AS last_update_time
 FROM events, now WHERE event_type = 'signup'"""), ids="T12 A12")
 def add_products(spark, sf_dir):
+    return added(spark, sf_dir)["products"].select(
+        "product_id", "product_name", "category_id", money(F.col("base_price")).alias("base_price"), "last_update_time")
+
+
+def added(spark, sf_dir):
     m = model_for(spark, sf_dir)
     ev = events(spark, sf_dir).where(F.col("event_type") == "signup")
     new = ev.select(F.concat(F.lit("New product "), F.col("event_id").cast("string")).alias("product_name"),
                     (F.lit(101) + F.col("user_id") % 25).cast("bigint").alias("category_id"),
                     cents(F.col("value")).alias("price"), F.col("event_id").alias("seq"))
-    out = CH.add_products(m.products, new, as_of(spark, sf_dir).scalar())
-    return out["products"].select("product_id", "product_name", "category_id",
-                                  money(F.col("base_price")).alias("base_price"), "last_update_time")
+    return CH.add_products(m.products, new, as_of(spark, sf_dir).scalar())
+
+
+ADDED_SQL = """, fresh AS (
+  SELECT (SELECT coalesce(max(product_id), 0) FROM products) + 1
+           + (SELECT count(*) FROM events earlier WHERE earlier.event_type = 'signup' AND earlier.event_id < e.event_id)
+           AS product_id, e.*, (SELECT max(ts) FROM events) AS as_of
+  FROM events e WHERE event_type = 'signup')
+"""
+
+
+@register("add_products_sales", with_model(body=ADDED_SQL + """
+SELECT product_id, value AS price, value AS sale_price, as_of AS sale_date FROM fresh"""), ids="T12")
+def add_products_sales(spark, sf_dir):
+    return added(spark, sf_dir)["sales"].select("product_id", money(F.col("price")).alias("price"),
+                                                money(F.col("sale_price")).alias("sale_price"), "sale_date")
+
+
+@register("add_products_inventory", with_model(body=ADDED_SQL + """
+SELECT product_id, CAST(1 AS BIGINT) AS warehouse_id, CAST(5 + (event_id * 7 + 3) % 21 AS INTEGER) AS stock,
+       as_of + INTERVAL 30 DAYS AS restock_date FROM fresh"""), ids="T12 F4 F5")
+def add_products_inventory(spark, sf_dir):
+    return added(spark, sf_dir)["inventory"]
+
+
+@register("add_products_cart", with_model(body=ADDED_SQL + """
+SELECT product_id, 'New product ' || event_id AS product_name, CAST(101 + user_id % 25 AS BIGINT) AS category_id,
+       value AS price, as_of AS ts FROM fresh"""), ids="T12")
+def add_products_cart(spark, sf_dir):
+    return added(spark, sf_dir)["shopping_cart"].withColumn("price", money(F.col("price")))
 
 
 # --- T13 / T14 cart -------------------------------------------------------------------------
 
+FIRST_RESTOCK = "2024-03-01 00:00:00"   # restock date of the inventory before the adds
+
+
 @register("cart_add", with_model(body=f"""
 , adds AS (SELECT {K_SQL} AS product_id, event_id AS seq FROM events WHERE event_type = 'view'),
-restock AS (SELECT product_id, CAST(5 + (max(seq) * 7 + 3) % 21 AS INTEGER) AS s FROM adds
+restock AS (SELECT product_id, CAST(5 + (max(seq) * 7 + 3) % 21 AS INTEGER) AS s,
+                   (SELECT max(ts) FROM events) + INTERVAL 30 DAYS AS due FROM adds
             WHERE product_id IN (SELECT product_id FROM products) GROUP BY product_id)
-SELECT i.product_id, i.warehouse_id, COALESCE(r.s, i.stock) AS stock
+SELECT i.product_id, i.warehouse_id, COALESCE(r.s, i.stock) AS stock,
+       COALESCE(r.due, TIMESTAMP '{FIRST_RESTOCK}') AS restock_date
 FROM inventory i LEFT JOIN restock r ON i.product_id = r.product_id
 UNION ALL
-SELECT product_id, 1, s FROM restock WHERE product_id NOT IN (SELECT product_id FROM inventory)"""),
+SELECT product_id, 1, s, due FROM restock WHERE product_id NOT IN (SELECT product_id FROM inventory)"""),
           ids="T13 J11 J12 F4")
 def cart_add(spark, sf_dir):
+    return _cart_added(spark, sf_dir)[1].select("product_id", "warehouse_id", "stock", "restock_date")
+
+
+@register("cart_add_lines", with_model(body=f"""
+SELECT product_id, product_name, category_id, CAST(price AS DOUBLE) AS price, ts FROM shopping_cart
+UNION ALL
+SELECT p.product_id, p.product_name, p.category_id, CAST(p.base_price AS DOUBLE), v.ts
+FROM (SELECT {K_SQL} AS k, ts FROM events WHERE event_type = 'view') v, products p WHERE p.product_id = v.k"""), ids="T13")
+def cart_add_lines(spark, sf_dir):
+    return _cart_added(spark, sf_dir)[0].select("product_id", "product_name", "category_id",
+                                                money(F.col("price")).alias("price"), "ts")
+
+
+def _cart_added(spark, sf_dir):
     m = model_for(spark, sf_dir)
     adds = events(spark, sf_dir).where(F.col("event_type") == "view").select(
         F.expr(K).alias("product_id"), "ts", F.col("event_id").alias("seq"))
-    _, inv = CH.cart_add(m.shopping_cart, m.products, m.inventory, adds)
-    return inv.select("product_id", "warehouse_id", "stock")
+    inventory = m.inventory.withColumn("restock_date", F.expr(f"TIMESTAMP_NTZ '{FIRST_RESTOCK}'"))
+    return CH.cart_add(m.shopping_cart, m.products, inventory, adds, as_of(spark, sf_dir).scalar())
+
+
+PICK_SEED = 7
+
+
+@register("random_product", with_model(body=f"""
+SELECT product_id, product_name, category_id FROM products WHERE product_id <> 1
+ORDER BY md5('{PICK_SEED}:' || product_id), product_id LIMIT 1"""), ids="O4")
+@on_model
+def random_product(m):
+    """The product a cart add picks at random."""
+    return CH.seeded_pick(m.products.where(F.col("product_id") != 1)
+                          .select("product_id", "product_name", "category_id"), "product_id", PICK_SEED)
 
 
 @register("cart_delete", with_model(body="""
@@ -266,11 +346,21 @@ SELECT product_id, CASE WHEN product_id = 1 AND beat IS NOT NULL THEN beat ELSE
        AS last_update_time FROM products, b"""), ids="T16")
 def heartbeat_apply(spark, sf_dir):
     m = model_for(spark, sf_dir)
-    beats = events(spark, sf_dir).where(F.col("event_type") == "view").select(
-        F.col("event_id").alias("id"), "ts")
-    empty = beats.limit(0)
-    _, touched = CH.apply_heartbeats(empty, m.products, beats)
-    return touched.select("product_id", "last_update_time")
+    return _beaten(spark, sf_dir, m.products)[1].select("product_id", "last_update_time")
+
+
+BEATS_FROM = "2024-01-16 00:00:00"   # earlier beats are in the table, later ones are applied
+
+
+def _beaten(spark, sf_dir, products):
+    beats = events(spark, sf_dir).where(F.col("event_type") == "view").select(F.col("event_id").alias("id"), "ts")
+    new = F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{BEATS_FROM}'")
+    return CH.apply_heartbeats(beats.where(~new), products, beats.where(new))
+
+
+@register("heartbeat_append", "SELECT event_id AS id, ts FROM events WHERE event_type = 'view'", ids="T16")
+def heartbeat_append(spark, sf_dir):
+    return _beaten(spark, sf_dir, model_for(spark, sf_dir).products)[0]
 
 
 # --- IO15 / IO1-IO2 (rows-only) ------------------------------------------------------

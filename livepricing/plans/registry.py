@@ -34,6 +34,11 @@ def model_for(spark: SparkSession, sf_dir: str) -> Model:
     return _MODELS[key]
 
 
+def forget_models() -> None:
+    """Drop the cached models with all that hangs on them (closure, stores)."""
+    _MODELS.clear()
+
+
 def register(name: str, oracle: str | None, ids: str = ""):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         REGISTRY[name] = Query(name, fn, oracle, ids)

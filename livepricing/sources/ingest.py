@@ -190,7 +190,7 @@ def analyze(spark: SparkSession, table: str) -> None:
 def table_size_gb(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
     """IO15: total bytes of a table's files in GB, listed by the binary-file source without
     reading file contents (only the ``length`` column is selected)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return files.agg(F.count(F.lit(1)).alias("files"),
                      F.sum("length").alias("bytes")).select(
         "files", "bytes", (F.col("bytes") / F.lit(1024.0 ** 3)).alias("size_gb"))

@@ -45,6 +45,27 @@ def test_toggles_flip_insert_and_report_unknown(spark):
     assert rows == [(1, 500, False), (1, 700, True), (2, 1000, True), (3, 1000, False)]
     st = {r.product_id: r.status for r in status.collect()}
     assert st == {1: "success", 2: "success", 3: "success", 99: "error"}
+    assert {r.product_id: r.active for r in status.collect()} == {1: True, 2: True, 3: False, 99: None}
+
+
+def test_toggles_touch_updated_at(spark):
+    promos = spark.sql("SELECT 1L AS product_id, 500L AS promotion_discount, true AS active, TIMESTAMP_NTZ '2023-01-01' AS updated_at"
+                       " UNION ALL SELECT 4L, 500L, true, TIMESTAMP_NTZ '2023-01-01'")
+    products = spark.createDataFrame([(1,), (4,)], "product_id bigint")
+    toggles = spark.createDataFrame([(1, 1), (1, 2)], "product_id bigint, seq bigint")
+    now = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:00' AS as_of")
+    new, status = CH.toggle_promotions(promos, products, toggles, now)
+    # two toggles leave the flag, but the row was written; product 4 was not toggled
+    assert {r.product_id: (r.active, r.updated_at.year) for r in new.collect()} == {1: (True, 2024), 4: (True, 2023)}
+    assert [r.updated_at.year for r in status.collect()] == [2024]
+
+
+def test_seeded_pick_does_not_depend_on_partitions(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "product_id")
+    one = CH.seeded_pick(rows.repartition(1), "product_id", 3).collect()
+    assert one == CH.seeded_pick(rows.repartition(13), "product_id", 3).collect() and len(one) == 1
+    assert one != CH.seeded_pick(rows, "product_id", 4).collect()
+    assert not CH.seeded_pick(rows.limit(0), "product_id", 3).count()
 
 
 def test_upsert_and_insert_ignore(spark):

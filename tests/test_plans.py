@@ -42,3 +42,13 @@ def test_scans_read_only_needed_columns(spark):
     plan = plan_of(E.queries()["dynamic_pricing"](spark, SF_SMALL))
     # no lineitem scan reads the tax or the comment-like columns it does not need
     assert "l_tax" not in plan
+
+
+def test_flagship_reads_each_aggregate_once(spark):
+    """Sales are read for the newest ten and for the counts, promotions and inventory once;
+    the second readers of counts and stock totals reuse an exchange."""
+    df = E.queries()["dynamic_pricing"](spark, SF_SMALL)
+    df.collect()
+    final = plan_of(df).split("Initial Plan")[0]
+    assert sum("FileScan" in line and "lineitem.parquet" in line for line in final.splitlines()) <= 4
+    assert final.count("ReusedExchange") >= 2
