@@ -242,23 +242,23 @@ def memory_gb(percent: Column, total_gb: float = ASSUMED_MEMORY_GB) -> Column:
 
 def resource_stats(samples: DataFrame, n: int = KEEP_SAMPLES,
                    stale_after: float = RESOURCE_STALE_SECONDS) -> DataFrame:
-    """CPU/memory statistics of each container over its last n samples, gated on
-    the age of its newest sample. ``samples``: (source=container, ts, seq, latency=percent)."""
-    kept = last_samples(samples, n).withColumn("_p", F.col("latency").cast("decimal(38,6)"))
-    agg = kept.groupBy("source").agg(F.count("_p").alias("samples"), F.max("_p").alias("_max"),
-                                     F.sum("_p").alias("_sum"), F.max("ts").alias("last_ts"),
-                                     F.sort_array(F.collect_list("_p")).alias("_sorted"))
+    """CPU and memory of each container: the newest value and max, average and p99 over
+    its last n samples, NULL when its newest sample is older than ``stale_after``; memory in GB
+    too. ``samples``: (source=container, ts, seq, cpu, memory), both in percent."""
+    parts = ("cpu", "memory")
+    kept = last_samples(samples, n)
+    agg = kept.groupBy("source").agg(
+        F.count(F.lit(1)).alias("samples"), F.max("ts").alias("last_ts"),
+        F.max_by(F.struct(*parts), F.struct("ts", "seq")).alias("_now"),
+        *_statistics({c: F.col(c).cast("decimal(38,6)") for c in parts}))
     now = as_of_latest(samples).scalar()          # scalar subquery
     fresh = seconds_between(now, F.col("last_ts")) <= F.lit(stale_after)
-    idx = F.floor(F.col("samples") * 0.99).cast("int") + 1
-    p99 = F.when(F.col("samples") >= P99_MIN_SAMPLES, F.element_at("_sorted", idx)).otherwise(F.col("_max"))
-    avg = F.col("_sum").cast("double") / F.col("samples")
-    return (agg
-            .select(F.col("source").alias("container"), "samples", fresh.alias("is_fresh"),
-                    F.when(fresh, F.col("_max").cast("double")).alias("max_percent"),
-                    F.when(fresh, avg).alias("avg_percent"),
-                    F.when(fresh, p99.cast("double")).alias("p99_percent"),
-                    F.when(fresh, memory_gb(F.col("_max").cast("double"))).alias("max_gb")))
+    values = {f"{c}_usage": F.col(f"_now.{c}") for c in parts}
+    for c in parts:
+        values |= {f"{c}_{k}": statistics_struct(c)[k] for k in ("max", "average", "p99")}
+    values |= {f"memory_{k}_gb": memory_gb(values[f"memory_{k}"]) for k in ("usage", "max")}
+    return agg.select(F.col("source").alias("container"), "samples", fresh.alias("is_fresh"),
+                      *[F.when(fresh, v).alias(k) for k, v in values.items()])
 
 
 def pipeline_latency(latency_ms: Column) -> Column:
@@ -270,9 +270,10 @@ def pipeline_latency(latency_ms: Column) -> Column:
 
 def source_health(status_history: DataFrame, sources: DataFrame) -> DataFrame:
     """Restart is needed when any postgres source has a failed/stalled status."""
-    bad = (status_history.join(sources, status_history.source_id == sources.id)
-           .where((F.col("type") == "postgres") & F.col("status").isin("failed", "stalled")))
-    return bad.agg((F.count(F.lit(1)) > 0).alias("restart"))
+    # a hot source's history collapses to its id before anything is joined
+    bad = status_history.where(F.col("status").isin("failed", "stalled")).select("source_id").distinct()
+    hit = sources.where(F.col("type") == "postgres").join(bad, sources.id == bad.source_id, "left_semi")
+    return hit.agg((F.count(F.lit(1)) > 0).alias("restart"))
 
 
 def metrics_fields(samples: DataFrame, lag_seconds: Column, n: int = KEEP_SAMPLES,

@@ -14,6 +14,12 @@ from .registry import model_for, register
 SAMPLES_SQL = "SELECT event_type AS source, ts, value AS latency, event_id AS seq, user_id FROM events"
 
 
+def _stat_sql(of: str, label: str) -> str:
+    return f"""CAST(max({of}) AS DOUBLE) AS {label}_max, CAST(sum({of}) AS DOUBLE) / count({of}) AS {label}_average,
+    CAST(CASE WHEN count({of}) >= 100 THEN list_sort(list({of}) FILTER ({of} IS NOT NULL))[CAST(floor(count({of}) * 0.99) AS INTEGER) + 1]
+         ELSE max({of}) END AS DOUBLE) AS {label}_p99"""
+
+
 def samples(spark, sf_dir):
     return driver_samples(spark, sf_dir)
 
@@ -199,29 +205,29 @@ def reaction_time(spark, sf_dir):
     return M.reaction_time(dynamic_pricing(m), now)
 
 
-RESOURCE_SQL = """SELECT event_type AS source, ts, event_id AS seq, LEAST(value, 100.0) AS latency
-FROM events WHERE event_type IN ('click', 'view')"""
+RESOURCE_SQL = """SELECT event_type AS source, ts, event_id AS seq, LEAST(value, 100.0) AS cpu,
+       LEAST(value / 2, 100.0) AS memory FROM events"""
+RESOURCE_FIELDS = [f"{c}_{k}" for c in ("cpu", "memory") for k in ("usage", "max", "average", "p99")]
 
 
 @register("resource_stats", f"""
 WITH s AS ({RESOURCE_SQL}),
-k AS (SELECT source, ts, CAST(latency AS DECIMAL(38,6)) AS p,
+k AS (SELECT *, CAST(cpu AS DECIMAL(38,6)) AS c, CAST(memory AS DECIMAL(38,6)) AS m,
              row_number() OVER (PARTITION BY source ORDER BY ts DESC, seq DESC) AS rn FROM s),
-a AS (SELECT source, COUNT(p) AS samples, MAX(p) AS mx, SUM(p) AS sm, max(ts) AS last_ts,
-             list_sort(list(p)) AS sorted FROM k WHERE rn <= 100 GROUP BY source),
-n AS (SELECT max(ts) AS as_of FROM s),
-g AS (SELECT a.*, (epoch_us(as_of) - epoch_us(last_ts)) / 1e6 <= 10.0 AS fresh FROM a, n)
+a AS (SELECT source, COUNT(*) AS samples, {_stat_sql('c', 'cpu')}, {_stat_sql('m', 'memory')}
+      FROM k WHERE rn <= 100 GROUP BY source),
+u AS (SELECT source, cpu AS cpu_usage, memory AS memory_usage,
+             (epoch_us((SELECT max(ts) FROM s)) - epoch_us(ts)) / 1e6 <= 10.0 AS fresh FROM k WHERE rn = 1)
 SELECT source AS container, samples, fresh AS is_fresh,
-       CASE WHEN fresh THEN CAST(mx AS DOUBLE) END AS max_percent,
-       CASE WHEN fresh THEN CAST(sm AS DOUBLE) / samples END AS avg_percent,
-       CASE WHEN fresh THEN CAST(CASE WHEN samples >= 100
-            THEN sorted[CAST(floor(samples * 0.99) AS INTEGER) + 1] ELSE mx END AS DOUBLE) END AS p99_percent,
-       CASE WHEN fresh THEN CAST(mx AS DOUBLE) / 100.0 * 4.0 END AS max_gb
-FROM g""", ids="V13 P15 A13 T9")
+       {', '.join(f"CASE WHEN fresh THEN {c} END AS {c}" for c in RESOURCE_FIELDS)},
+       CASE WHEN fresh THEN memory_usage / 100.0 * 4.0 END AS memory_usage_gb,
+       CASE WHEN fresh THEN memory_max / 100.0 * 4.0 END AS memory_max_gb
+FROM a JOIN u USING (source)""", ids="V13 P15 A13 T9")
 def resource_stats(spark, sf_dir):
-    ev = read_table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
+    ev = read_table(spark, sf_dir, "events")
     s = ev.select(F.col("event_type").alias("source"), "ts", F.col("event_id").alias("seq"),
-                  F.least(F.col("value"), F.lit(100.0)).alias("latency"))
+                  F.least(F.col("value"), F.lit(100.0)).alias("cpu"),
+                  F.least(F.col("value") / 2, F.lit(100.0)).alias("memory"))
     return M.resource_stats(s)
 
 
@@ -275,12 +281,6 @@ def query_samples(spark, sf_dir):
                      F.when(F.col("event_type") != "error", F.col("value")).alias("price"))
 
 
-def _stat_sql(of: str, label: str) -> str:
-    return f"""CAST(max({of}) AS DOUBLE) AS {label}_max, CAST(sum({of}) AS DOUBLE) / count({of}) AS {label}_average,
-    CAST(CASE WHEN count({of}) >= 100 THEN list_sort(list({of}) FILTER ({of} IS NOT NULL))[CAST(floor(count({of}) * 0.99) AS INTEGER) + 1]
-         ELSE max({of}) END AS DOUBLE) AS {label}_p99"""
-
-
 METRICS_SQL = f"""WITH s AS (SELECT event_type AS source, ts, event_id AS seq, value AS latency,
     (epoch_us(ts) - epoch_us(date_trunc('minute', ts))) / 1e6 AS e2e, value / 1000.0 AS took FROM events),
 clock AS (SELECT max(ts) AS t FROM s),

@@ -82,6 +82,29 @@ def test_evicted_statistics_and_document(spark, samples, rows):
         assert d.price == [v for _, i, v in w if i % 2 == 0][-1] and d.replica_lag == 1.5
 
 
+def test_resource_statistics(samples, rows):
+    walks = series(rows)
+    now = max(t for _, t, _, _ in rows)
+    got = {r.container: r for r in M.resource_stats(samples.withColumnRenamed("latency", "cpu")
+                                                    .withColumn("memory", F.col("cpu") * 50)).collect()}
+    assert got.keys() == walks.keys()
+    for s, w in walks.items():
+        r, last = got[s], [v for _, _, v in w[-100:]]
+        if (now - w[-1][0]).total_seconds() > 10:
+            assert not r.is_fresh and r.cpu_usage is None and r.memory_max_gb is None
+            continue
+        assert (r.samples, r.cpu_max, r.cpu_average, r.cpu_p99) == pytest.approx(stats(last))
+        assert r.cpu_usage == last[-1] and r.memory_usage == pytest.approx(50 * last[-1])
+        assert r.memory_max_gb == pytest.approx(50 * max(last) / 100 * 4)
+
+
+def test_health_needs_a_failed_postgres_source(spark):
+    sources = spark.createDataFrame([(1, "postgres"), (2, "webhook")], "id long, type string")
+    for history, want in (([(1, "running"), (2, "failed")], False), ([(1, "stalled"), (1, "stalled")], True), ([(9, "failed")], False)):
+        status = spark.createDataFrame(history, "source_id long, status string")
+        assert M.source_health(status, sources).first().restart is want
+
+
 def test_series_of_nothing(spark, samples):
     none = samples.limit(0)
     assert not M.trailing_qps(none).count() and not M.rolling_stats(none).count() and not M.latency_stats(none).count()
