@@ -92,10 +92,11 @@ def _find(length: int):
 
 def _sift(batches):
     """From rows sorted by (anchor, ctx, doc, place): equal contexts but for the first (kind
-    'copy'), and the first ones of anchors with unlike contexts (kind 'edge'). Streams: the last
+    'copy'), and the first ones of anchors with unlike contexts (kind 'edge'). Rows of the same
+    document and place as the first are the first one again (repeated rows). Streams: the last
     row and the last first one are carried."""
     names = ["kind", "anchor", "ctx", "doc", "place"]
-    carry = None  # anchor, ctx of the last row; the open first row if it is not yet written
+    carry = None  # anchor, ctx of the last row; doc, place of its first; the open first row if it is not yet written
     for batch in batches:
         a, c, d, p = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if not len(a):
@@ -106,6 +107,8 @@ def _sift(batches):
             fresh[0] = a[0] != carry["a"]
             first[0] = fresh[0] or c[0] != carry["c"]
         f = np.flatnonzero(first)
+        head = np.maximum.accumulate(np.where(first, np.arange(len(a)), -1))  # -1: the carried one
+        again = (d == np.where(head < 0, carry["d"] if carry else 0, d[head])) & (p == np.where(head < 0, carry["p"] if carry else 0, p[head]))
         write = np.zeros(len(f), bool)
         if len(f):
             new = fresh[f]
@@ -114,7 +117,7 @@ def _sift(batches):
         if carry is not None and carry["open"] is not None and len(f) and not fresh[f[0]]:
             yield pa.RecordBatch.from_arrays([pa.array(["edge"]), *(pa.array([x], pa.int64()) for x in carry["open"])], names=names)
             carry["open"] = None
-        copy, edge = np.flatnonzero(~first), f[write]
+        copy, edge = np.flatnonzero(~first & ~again), f[write]
         for kind, rows in (("copy", copy), ("edge", edge)):
             if len(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind)), *(pa.array(x[rows]) for x in (a, c, d, p))], names=names)
@@ -123,7 +126,8 @@ def _sift(batches):
             still = None if write[-1] else tuple(int(x[last]) for x in (a, c, d, p))
         else:
             still = carry["open"]
-        carry = {"a": a[-1], "c": c[-1], "open": still}
+        of = (d[f[-1]], p[f[-1]]) if len(f) else (carry["d"], carry["p"])
+        carry = {"a": a[-1], "c": c[-1], "d": of[0], "p": of[1], "open": still}
 
 
 def _extents(place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
