@@ -292,9 +292,9 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, rounds: int = 2
     return profile, links
 
 
-def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links,
-    its own without any), row_key."""
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """near_duplicates with c, the component itself: unlike components may report one id (that of
+    a repeated doc_id, or null)."""
     scratch = Scratch(docs.sparkSession)
     profile, links = similar_sets(docs, n, percent)
     label = components(links, scratch).select(F.col("v").alias("id"), "c")
@@ -302,15 +302,21 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     least = p.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     out = p.join(least, "c", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), "row_key")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "row_key", "c")
+
+
+def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links,
+    its own without any), row_key."""
+    return _grouped(docs, n, percent).drop("c")
 
 
 def first_of_groups(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each group of linked or equal sets: that of the smallest id (then
     row key). Rows without words are in no group and all stay."""
-    near = near_duplicates(docs, n, percent)
+    near = _grouped(docs, n, percent)
     grouped = near.where("n_shingles > 0")
-    least = grouped.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row_key"))["row_key"].alias("row_key"))
+    least = grouped.groupBy("c").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "row_key"))["row_key"].alias("row_key"))
     keep = least.select("row_key", F.lit(True).alias("grouped")).union(
         near.where("n_shingles = 0").select("row_key", F.lit(False)).distinct())
     rows = docs.select(F.struct("*").alias("row"), row_key().alias("row_key")).join(keep, "row_key")

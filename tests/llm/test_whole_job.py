@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("livepricing.llm")
-from livepricing.llm import substring_dedup  # noqa: E402
+from livepricing.llm import jaccard, substring_dedup  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -34,3 +34,15 @@ def test_sift_carries_the_first_row_across_batches():
                    for i in range(0, len(rows), size)]
         got = [tuple(r.values()) for b in substring_dedup._sift(batches) for r in b.to_pylist()]
         assert got == [("copy", *rows[3]), ("copy", *rows[4])]
+
+
+def test_unlike_components_of_one_id_all_stay(spark):
+    rng = random.Random(2)
+    t = [unlike(rng) for _ in range(6)]
+    # three unlike null ids, one of them twice; two unlike texts under one id, one copied under another
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (None, t[2]), (4, t[3]), (4, t[4]), (5, t[4]), (6, t[5])]
+    d = spark.createDataFrame(rows, DOCS)
+    kept = jaccard.first_of_groups(d, n=5, percent=80).collect()
+    assert sorted(r.text for r in kept) == sorted(t)
+    assert all(r.doc_id != 5 for r in kept) and kept[0].__fields__ == d.columns
+    assert "c" not in jaccard.near_duplicates(d).columns
