@@ -12,7 +12,8 @@
    template fall away where a host has enough pages to tell.
 
 Containers of menus, headers of the site, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are never slots. Character references are decoded once, white space
+styles and reader comments are never slots; but what a container of the main element is called,
+or a form around it, drops nothing inside. Omitted end tags close as HTML says. Character references are decoded once, white space
 inside a block becomes one blank, blocks are joined by one blank in page order.
 
 A null html has no text; a null or unreadable url is a host of its own (the empty one); repeated
@@ -46,9 +47,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
           "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
           "var", "wbr", "img"}
-#: Elements that close by themselves and so never hold what follows.
+#: Elements whose end tags may be left out.
 LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "option", "h1", "h2", "h3", "h4", "h5", "h6", "body", "html"}
-DROP_TAGS = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "fieldset"} | RAW
+#: What a start tag closes if it is open; any block closes an open p.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+CLOSES |= {x: {"thead", "tbody", "tfoot", "tr", "td", "th"} for x in ("thead", "tbody", "tfoot")} | {f"h{i}": {f"h{j}" for j in range(1, 7)} for i in range(1, 7)}
+SCOPE = {"ul", "ol", "menu", "dl", "table", "select"}
+IN_HEAD = {"base", "link", "meta"}
+DROP_TAGS = {"nav", "footer", "aside", "button", "select", "menu", "dialog", "head", "fieldset"} | RAW
 MAIN_TAGS = {"article", "main"}
 DROP_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|banners|sponsor|sponsored|promo|promos|promotion"
@@ -57,7 +63,13 @@ DROP_NAMES = re.compile(
     r"|sidebar|aside|widget|widgets|related|recommended|recommendations|share|sharing|social|follow"
     r"|comment|comments|commentlist|disqus|respond|reply|replies|discussion|reactions|footer|masthead|copyright|legal|disclaimer"
     r"|site-header|page-header|search|skip|hidden)(?:$|[\s_-])", re.I)
-DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
+#: has-sidebar and the like say what a page has; they name no container.
+PROPERTY = re.compile(r"(?<!\S)(?:has|no|with|without|hide|show|is)[_-]\S*", re.I)
+#: An article in one of these is a comment or a teaser, if the page has another one.
+OTHERS_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respond|reply|replies|discussion|reactions|related|recommended|recommendations"
+                          r"|sponsor|sponsored|promos?|promotion|widget|sidebar|aside)(?:$|[\s_-])", re.I)
+DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary", "dialog", "alert", "menu", "menubar"}
+FORM_ROLES = {"search", "form"}
 
 
 def host(url: Column) -> Column:
@@ -65,13 +77,17 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(at), F.lit(""))
 
 
+#: Why a block is dropped: bits. BY_NAME and BY_FORM end at an article or main inside.
+BY_TAG, BY_NAME, BY_FORM, BY_OTHERS = 1, 2, 4, 8
+
+
 class Block:
-    """One block of text: its container path, whether it stands in a main element or in a
-    boilerplate container, and its whole text."""
+    """One block of text: its container path, whether it stands in a main element, why its
+    containers are boilerplate (0: they are not), and its whole text."""
 
     __slots__ = ("path", "main", "drop", "text")
 
-    def __init__(self, path: str, main: bool, drop: bool, text: str):
+    def __init__(self, path: str, main: str, drop: int, text: str):
         self.path, self.main, self.drop, self.text = path, main, drop, text
 
 
@@ -91,7 +107,7 @@ def parse(page: str | None) -> tuple[list[Block], list[str]]:
     """(blocks in page order, tag tokens with their paths)."""
     blocks: list[Block] = []
     tags: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # element, path, in main, dropped
+    stack: list[tuple[str, str, str, int]] = []  # element, path, main element around, drop bits
     buf: list[str] = []
     raw: list = []  # the raw element being skipped
 
@@ -99,7 +115,7 @@ def parse(page: str | None) -> tuple[list[Block], list[str]]:
         if buf:
             text = " ".join(html_lib.unescape("".join(buf)).split())
             if text:
-                _, path, main, drop = stack[-1] if stack else ("", "", False, False)
+                _, path, main, drop = stack[-1] if stack else ("", "", "", 0)
                 blocks.append(Block(path, main, drop, text))
             buf.clear()
 
@@ -127,26 +143,49 @@ def parse(page: str | None) -> tuple[list[Block], list[str]]:
             buf.append(" ")
             continue
         flush()
+        if not closing:
+            if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+                stack.pop()
+            shut = CLOSES.get(name, set()) | {"p"}
+            for n in range(len(stack) - 1, -1, -1):
+                if stack[n][0] not in LOOSE:
+                    break
+                if stack[n][0] in shut:
+                    del stack[n:]
         path = stack[-1][1] if stack else ""
         if closing:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == name:
                     del stack[n:]
                     break
+                if name in LOOSE and stack[n][0] in SCOPE and name not in ("body", "html"):
+                    break
             tags.append(f"{path}|/{name}")
             continue
         names, role = _names(attrs)
         tags.append(f"{path}|{name} {names}".rstrip())
         if name in VOID or attrs.rstrip().endswith("/"):
             continue
-        main, drop = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+        main, drop = (stack[-1][2], stack[-1][3]) if stack else ("", 0)
         own = name in MAIN_TAGS or role == "main"
+        kind = "main" if own and name != "article" else name
+        if own and main != "article" and (not main or kind == "article"):
+            # names and forms around the main element are the page's layout
+            drop &= ~(BY_NAME | BY_FORM | (BY_OTHERS if kind == "main" else 0))
+        bad = 0
         # a header belongs to the article it stands in, else to the site
-        bad = name in DROP_TAGS or name == "header" and not main or role in DROP_ROLES or bool(HIDDEN_ATTR.search(attrs)) or bool(
-            not own and name != "body" and DROP_NAMES.search(names))
+        if name in DROP_TAGS or name == "header" and not main or role in DROP_ROLES or HIDDEN_ATTR.search(attrs):
+            bad |= BY_TAG
+        if name == "form" or role in FORM_ROLES:
+            bad |= BY_FORM
+        if names and not own and name not in ("body", "html"):
+            named = PROPERTY.sub("", names)
+            if DROP_NAMES.search(named):
+                bad |= BY_NAME | (BY_OTHERS if OTHERS_NAMES.search(named) else 0)
         if name in LOOSE and not bad and not own:
             continue
-        stack.append((name, f"{path}/{name}.{names}" if names else f"{path}/{name}", main or own, drop or bad))
+        main = main if main == "article" or not own else kind
+        stack.append((name, f"{path}/{name}.{names}" if names else f"{path}/{name}", main, drop | bad))
     flush()
     return blocks, tags
 
@@ -194,8 +233,10 @@ def main_text(page: str | None, template: set[int]) -> str:
     blocks, _ = parse(page)
     kept = [b for b in blocks if not b.drop]
     inside = [b for b in kept if b.main]
+    # an only article is the main element whatever its containers are called, and a form that
+    # holds all the text is the page
     out = []
-    for b in inside or kept:
+    for b in inside or [b for b in blocks if b.main and b.drop == BY_OTHERS] or kept or [b for b in blocks if b.drop == BY_FORM]:
         if not template or run_role(b) not in template:
             out.append(b.text)
     return " ".join(out)

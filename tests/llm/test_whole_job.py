@@ -1,11 +1,11 @@
-"""Rows that earlier versions cut short: repeated and null ids, components of one reported id."""
+"""Cases that earlier versions cut short."""
 
 import random
 
 import pytest
 
 pytest.importorskip("livepricing.llm")
-from livepricing.llm import jaccard, substring_dedup  # noqa: E402
+from livepricing.llm import html_text, jaccard, substring_dedup  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -46,3 +46,23 @@ def test_unlike_components_of_one_id_all_stay(spark):
     assert sorted(r.text for r in kept) == sorted(t)
     assert all(r.doc_id != 5 for r in kept) and kept[0].__fields__ == d.columns
     assert "c" not in jaccard.near_duplicates(d).columns
+
+
+ARTICLE = "<article><h1>T</h1><p>body</p><div class=ad>no</div></article>"
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='has-sidebar'>%s</div>", "<div class='no-sidebar'>%s</div>", "<div class='layout with-sidebar'>%s</div>",
+    "<div class='search-results'>%s</div>", "<html class='x no-footer'><body>%s</body></html>", "<html class=footer>%s</html>",
+    "<form>%s</form>", "<div class=discussion>%s</div>", "<main><div class=widget>%s</div></main>", "<head><meta a=b><body>%s",
+    "<div class=comments><article>no</article></div>%s<form>no</form><div class='has-ads widget'>no</div>"])
+def test_names_around_the_main_element(page):
+    assert html_text.main_text(page % ARTICLE, set()) == "T body"
+
+
+@pytest.mark.parametrize("inner, want", [
+    ("<p class=ad>no<p>one<p>two", "one two"), ("<p class=ad>no<div>one</div>", "one"),
+    ("<ul><li class=share>no<li>yes</ul><p>z", "yes z"), ("<table><tr><td class=ad>no<td>yes<tr><td>b</table>", "yes b"),
+    ("<ul><li class=share>no<ul><li>no</li></ul>no</li><li>yes</li></ul>", "yes")])
+def test_omitted_end_tags(inner, want):
+    assert html_text.main_text(f"<article>{inner}</article>", set()) == want
