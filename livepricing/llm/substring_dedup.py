@@ -13,7 +13,9 @@ smaller id, or earlier in the same one. All strings are judged on the input.
    the longer half of what a shared window must hold (its left or its right side: one of the two
    is shared); of equal slices the first stays again. The contexts of a shard get suffix arrays by induced sorting; neighbours in order
    with a permuted common prefix of ``length`` or more are equal windows, and all but the
-   earliest of them go.
+   earliest of them go. A half with more than ``block_bytes`` of contexts is no shard: its windows
+   are dealt as rows by their own hash, all but the earliest of a batch of contexts go at once,
+   and the earliest ones of the batches meet in partial aggregates.
 4. The spans found meet their documents again; the rest of each text is hashed.
 
 Texts are whole UTF-8 bytes; null and empty texts have none. A null id comes after all others.
@@ -174,6 +176,39 @@ def _edges(length: int):
     return run
 
 
+def _windows(length: int):
+    """From contexts in any order: windows that also start earlier in another context of the batch
+    (runs of them, hash null), and the earliest ones of the batch with their hashes."""
+    def run(batches):
+        for batch in batches:
+            doc, place, ctx, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            raw = batch.column(5).to_pylist()
+            sizes = np.array([len(b) for b in raw], np.int64)
+            many = np.maximum(sizes - length + 1, 0)
+            if not many.sum():
+                continue
+            s = tk.prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
+            row = np.repeat(np.arange(len(raw)), many)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            lo = (np.cumsum(sizes) - sizes)[row] + inner
+            h = tk.signed(tk.span_hash(s, lo, lo + length))
+            at = start[row] + inner
+            order = np.lexsort((at, doc[row], h))
+            head = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]]))
+            least = np.empty(len(row), np.int64)
+            least[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
+            late = (doc[row] != doc[row[least]]) | (at != at[least])
+            k = np.flatnonzero(late)
+            a = k[np.append(True, (k[1:] != k[:-1] + 1) | (row[k[1:]] != row[k[:-1]]))] if len(k) else k
+            b = k[np.append((k[1:] != k[:-1] + 1) | (row[k[1:]] != row[k[:-1]]), True)] if len(k) else k
+            f = np.flatnonzero(~late)
+            mine = np.append(row[a], row[f])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(len(a), np.int64), h[f]), mask=np.append(np.ones(len(a), bool), np.zeros(len(f), bool))),
+                                              *(pa.array(x[mine]) for x in (doc, place, ctx)), pa.array(np.append(at[a], at[f])),
+                                              pa.array(np.append(at[b], at[f]) + length)], names=["hash", "doc", "place", "ctx", "start", "end"])
+    return run
+
+
 def repeated_windows(slices: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
     """(slice number, first, last start) of runs of windows that also start earlier in another
     slice or in the same one. ``slices``: (doc, start of the slice in it, bytes)."""
@@ -209,7 +244,8 @@ def repeated_windows(slices: list[tuple[int, int, bytes]], length: int) -> list[
 
 
 def _suffixes(length: int, block_bytes: int):
-    """From rows sorted by key: suffix arrays over blocks of whole keys with two rows or more."""
+    """From rows sorted by key, none of which has more than ``block_bytes``: suffix arrays over
+    blocks of whole keys with two rows or more."""
     def run(batches):
         block, size = [], 0
         group: dict[bytes, tuple] = {}
@@ -226,21 +262,22 @@ def _suffixes(length: int, block_bytes: int):
         def close():
             nonlocal size
             if len(group) > 1:
+                more = sum(len(b) + 1 for b in group)
+                if size + more > block_bytes or len(out) >= 100_000:
+                    yield from flush()
                 block.extend(group.values())
-                size += sum(len(b) + 1 for b in group)
+                size += more
             group.clear()
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if r[0] != key:
-                    close()
+                    yield from close()
                     key = r[0]
-                    if size >= block_bytes or len(out) >= 100_000:
-                        yield from flush()
                 first = group.setdefault(r[5], r)
                 if first is not r and first[1:5:3] != r[1:5:3]:  # an equal slice that starts later
                     out.append((r[1], r[2], r[3], r[4], r[4] + len(r[5])))
-        close()
+        yield from close()
         yield from flush()
     return run
 
@@ -289,10 +326,19 @@ def repeated_spans(docs: DataFrame, length: int = 100, block_bytes: int = 1 << 2
         _sift, "kind string, anchor long, ctx long, doc long, place long")
     sifted = scratch.stage(rows, "dedup_contexts", by=("kind",))
     edges = sifted.where("kind = 'edge'").groupBy("doc").agg(F.collect_list(F.struct("place", "ctx")).alias("edges"))
-    dealt = d.select("doc", "text").join(edges, "doc").select("doc", "text", "edges").mapInArrow(
-        _edges(length), "key long, doc long, place long, ctx long, start long, bytes binary")
-    late = scratch.stage(dealt.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(
+    dealt = scratch.stage(d.select("doc", "text").join(edges, "doc").select("doc", "text", "edges").mapInArrow(
+        _edges(length), "key long, doc long, place long, ctx long, start long, bytes binary").withColumn("size", F.length("bytes") + 1), "dedup_dealt")
+    # keys too large for a shard are known before anything is dealt by key
+    hot = scratch.stage(dealt.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > block_bytes).select("key"), "dedup_hot_keys")
+    dealt = dealt.drop("size")
+    late = scratch.stage(dealt.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(
         _suffixes(length, block_bytes), "doc long, place long, ctx long, start long, end long"), "dedup_windows")
+    span = ["doc", "place", "ctx", "start", "end"]
+    windows = scratch.stage(dealt.join(hot, "key", "left_semi").mapInArrow(
+        _windows(length), "hash long, doc long, place long, ctx long, start long, end long"), "dedup_hot_windows")
+    least = windows.where("hash is not null").groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("least"))
+    later = windows.join(least, "hash").where(F.struct("doc", "start") > F.col("least"))
+    late = late.unionByName(windows.where("hash is null").select(span)).unionByName(later.select(span))
     at = F.expr("place div 256")
     copies = sifted.where("kind = 'copy'").select(
         "doc", "place", "ctx", F.greatest(at - (length - GRAM), F.lit(0)).cast("long").alias("start"), (at + F.col("place") % 256).cast("long").alias("end"))

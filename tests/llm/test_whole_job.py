@@ -66,3 +66,28 @@ def test_names_around_the_main_element(page):
     ("<ul><li class=share>no<ul><li>no</li></ul>no</li><li>yes</li></ul>", "yes")])
 def test_omitted_end_tags(inner, want):
     assert html_text.main_text(f"<article>{inner}</article>", set()) == want
+
+
+def test_a_hot_half_is_split_into_windows(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = unlike(rng, 40)
+    rows = [(i, f"{unlike(rng, 30)} {passage} {unlike(rng, 30)}") for i in range(60)] + [(7, t) for t in (unlike(rng), passage)]
+    d = spark.createDataFrame(rows, DOCS).repartition(3)
+    columns = ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"]
+    whole = sorted(map(str, substring_dedup.repeated_spans(d, block_bytes=1 << 20).select(columns).collect()))
+    assert whole == sorted(map(str, substring_dedup.repeated_spans(d, block_bytes=1500).select(columns).collect()))
+    sizes = []
+    real = substring_dedup.repeated_windows
+    monkeypatch.setattr(substring_dedup, "repeated_windows", lambda x, n: sizes.append(sum(len(b) + 1 for *_, b in x)) or real(x, n))
+    import pyarrow as pa
+    cols = [[k for k in range(40) for _ in range(3)], list(range(120)), [0] * 120, [0] * 120, [0] * 120, [rng.randbytes(130) for _ in range(120)]]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:5]), pa.array(cols[5], pa.binary())], names=list("abcdef"))
+    list(substring_dedup._suffixes(100, 1500)([batch]))
+    assert max(sizes) <= 1500 and sum(sizes) == 120 * 131
+    # one batch of contexts of a hot half: what starts later in it goes at once, one row a window is left
+    same = passage.encode()[:120]
+    cols = [[1] * 50, list(range(50)), [0] * 50, [0] * 50, [5] * 50, [same] * 50]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:5]), pa.array(cols[5], pa.binary())], names=list("abcdef"))
+    out = next(substring_dedup._windows(100)([batch])).to_pylist()
+    assert [(r["doc"], r["start"], r["end"]) for r in out if r["hash"] is None] == [(i, 5, 125) for i in range(1, 50)]
+    assert [(r["doc"], r["start"]) for r in out if r["hash"] is not None] == [(0, 5 + i) for i in range(21)]
