@@ -1,10 +1,11 @@
 """Toxicity by the nearest labelled examples (exact TF-IDF cosine, block-max inverted index).
 
 1. Examples: at most ``max_examples`` labelled rows whose crc32(doc_id) mod 5 is not 0, by the
-   order of md5(doc_id); the bound is what makes the index small enough to be sent to every task.
+   order of md5(doc_id), of those whose documents are there; the bound is what makes the index small enough to be sent to every task.
 2. Terms: words, and word beginnings of 4 to 6 bytes (words of one stem share them). Kept are the
    terms that stand in toxic examples far more often than in others (log-likelihood ratio above
-   twice the log of the number of terms tried), at most ``max_terms``.
+   twice the log of the number of terms tried), at most ``max_terms``. So the cosine below is
+   over these terms only, and texts with rarer toxic words alone have no nearest examples.
 3. Document frequencies of these terms come from all documents and their whole texts.
 4. Examples become unit TF-IDF vectors; postings are cut into blocks of examples, each with the
    largest weight per term. A query opens the blocks in order of their bound and stops when no
@@ -54,6 +55,7 @@ def term_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
     """doc_id, text, toxic: the bounded sample of labelled rows."""
     known = (labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+             .join(docs.select("doc_id"), "doc_id", "left_semi")
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_examples))
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])

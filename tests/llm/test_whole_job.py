@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("livepricing.llm")
-from livepricing.llm import html_text, jaccard, substring_dedup  # noqa: E402
+from livepricing.llm import html_text, jaccard, substring_dedup, toxicity  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -91,3 +91,11 @@ def test_a_hot_half_is_split_into_windows(spark, monkeypatch):
     out = next(substring_dedup._windows(100)([batch])).to_pylist()
     assert [(r["doc"], r["start"], r["end"]) for r in out if r["hash"] is None] == [(i, 5, 125) for i in range(1, 50)]
     assert [(r["doc"], r["start"]) for r in out if r["hash"] is not None] == [(0, 5 + i) for i in range(21)]
+
+
+def test_labels_of_unknown_documents_take_no_place_in_the_sample(spark):
+    d = spark.createDataFrame([(i, f"text {i}") for i in range(20)], DOCS)
+    lab = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    want = d.where(~toxicity.held_out(d.doc_id)).count()
+    assert toxicity.examples(d, lab, want).count() == want
+    assert toxicity.examples(d, lab, 5).count() == 5
