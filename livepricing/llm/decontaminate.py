@@ -10,7 +10,7 @@ steps of the climb. Items shorter than ``exact_below`` must occur exactly.
 
 Items are taken in blocks of at most ``block_chars`` characters, so what a task holds (and what
 is broadcast) has that bound; each further block is another pass. Null or blank items match
-nothing, null or empty documents hold nothing; equal items and repeated documents each give
+nothing, an item without an id is reported with a null one, null or empty documents hold nothing; equal items and repeated documents each give
 their own rows; an empty benchmark gives an empty result.
 """
 
@@ -65,7 +65,7 @@ class Item:
     """An item with its budget and the tree over its pieces: nodes of (parent, start, end, edits
     allowed, masks); the leaves are the pieces in order."""
 
-    def __init__(self, item_id: int, text: str, k: int):
+    def __init__(self, item_id: int | None, text: str, k: int):
         self.id, self.text, self.k = item_id, text, k
         self.cuts = [a for a, _ in pieces(text, k)] + [len(text)]
         self.nodes: list[list] = []
@@ -107,7 +107,7 @@ class Item:
 class Matcher:
     """The items of one block, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, exact_below: int):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, exact_below: int):
         self.items = [Item(i, t, budget(len(t), error_rate, exact_below)) for i, t in items]
         where = defaultdict(list)
         for n, item in enumerate(self.items):
@@ -119,7 +119,7 @@ class Matcher:
         if where:
             self.auto.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int, int, int, int]]:
         """(item id, edits, budget, item length, match end) of every item that occurs."""
         starts = defaultdict(set)
         for end, (length, places) in self.auto.iter(text):
@@ -152,7 +152,7 @@ class Matcher:
 def item_blocks(benchmark: DataFrame, block_chars: int):
     """Blocks of (item_id, normal text); one row at a time passes through the driver."""
     block, size = [], 0
-    for r in benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").toLocalIterator():
+    for r in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
         t = normal(r.text)
         if not t:
             continue
@@ -171,14 +171,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, exact_
     each document and item that occurs in it."""
     spark, found = docs.sparkSession, None
     for items in item_blocks(benchmark, block_chars):
-        known = spark.sparkContext.broadcast(sorted(items))
+        known = spark.sparkContext.broadcast(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def look(batches, known=known):
             matcher = Matcher(known.value, error_rate, exact_below)
             for pdf in batches:
                 rows = [(d, *hit) for d, t in zip(pdf["doc_id"].tolist(), pdf["text"]) if t for hit in matcher.find(normal(t))]
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "budget", "item_chars", "match_end"])
-                yield out.astype({"item_id": "int64", "match_end": "int64", "edits": "int32", "budget": "int32", "item_chars": "int32"})
+                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "budget", "item_chars", "match_end"], dtype=object)
+                yield out.astype({"doc_id": "Int64", "item_id": "Int64", "match_end": "int64", "edits": "int32", "budget": "int32", "item_chars": "int32"})
 
         part = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(look, RESULT)
         found = part if found is None else found.unionByName(part)
@@ -189,7 +189,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1
                   block_chars: int = 4_000_000) -> DataFrame:
     """The rows of ``docs`` in which no item occurs; one pass per block of items, no shuffle."""
     for items in item_blocks(benchmark, block_chars):
-        known = docs.sparkSession.sparkContext.broadcast(sorted(items))
+        known = docs.sparkSession.sparkContext.broadcast(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
         at = docs.columns.index("text")
 
         def keep(batches, known=known, at=at):

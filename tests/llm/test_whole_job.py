@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("livepricing.llm")
-from livepricing.llm import html_text, jaccard, substring_dedup, toxicity  # noqa: E402
+from livepricing.llm import decontaminate, html_text, jaccard, substring_dedup, toxicity  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -99,3 +99,14 @@ def test_labels_of_unknown_documents_take_no_place_in_the_sample(spark):
     want = d.where(~toxicity.held_out(d.doc_id)).count()
     assert toxicity.examples(d, lab, want).count() == want
     assert toxicity.examples(d, lab, 5).count() == 5
+
+
+def test_items_without_an_id_leak_too(spark):
+    rng = random.Random(4)
+    a, b, c = (unlike(rng, 20) for _ in range(3))
+    d = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y"), (3, f"x {c} y"), (4, f"{a} {b}")], DOCS)
+    items = spark.createDataFrame([(None, a), (2**53 + 1, b), (None, None), (None, " ")], "item_id long, text string")
+    for size in (100, 4_000_000):
+        got = decontaminate.leaks(d, items, block_chars=size).collect()
+        assert sorted((r.doc_id, r.item_id or 0) for r in got) == [(1, 0), (2, 2**53 + 1), (4, 0), (4, 2**53 + 1)]
+        assert [r.doc_id for r in decontaminate.without_leaks(d, items, block_chars=size).collect()] == [3]
