@@ -1,18 +1,18 @@
-"""Main text of web pages by equivalence-class template deduction.
+"""Main text of web pages by tag and name rules, less the text that equivalence classes repeat.
 
 1. Every page is cut into tokens: tags and text runs, each with its role (the path of containers
    it stands in). Per host, a token's occurrence vector says how often each page holds it; it is
    kept as a sum of hashes of (page content, count), so tokens with equal vectors meet in one
    group without any page list. Equal pages of a host count once.
 2. Tokens with equal vectors form a class. A class is valid if it has ``min_size`` tokens and
-   stands on ``support`` of the host's pages (and ``min_pages`` at least); valid classes nest by
-   their containers' paths and together are the host's template.
-3. What the template leaves open are slots. The slots that hold the main text are those inside an
-   article or main element (else: the body outside boilerplate containers); text runs of the
-   template fall away where a host has enough pages to tell.
+   stands on ``support`` of the host's pages (and ``min_pages`` at least). The host's valid classes
+   are one flat set; they are not nested, and no slots are derived from their tag tokens.
+3. Tag and name rules choose the main text: the blocks inside an article or main element (else:
+   the body outside boilerplate containers). Text runs of the host's classes fall away, which
+   needs a host with enough pages of one kind.
 
 Containers of menus, headers of the site, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are never slots; but what a container of the main element is called,
+styles and reader comments are never main text; but what a container of the main element is called,
 or a form around it, drops nothing inside. Omitted end tags close as HTML says. Character references are decoded once, white space
 inside a block becomes one blank, blocks are joined by one blank in page order.
 
