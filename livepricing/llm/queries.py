@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, mixing, packing, sharding, substring_dedup, token_scan, topk, toxicity
+from . import decontaminate, html_text, jaccard, merkle, mixing, packing, sharding, substring_dedup, token_scan, topk, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +59,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_ngram_jaccard, op3_token_packing, op4_substring_dedup, op5_mixing, op6_html_extraction,
-    op7_token_counts, op8_toxicity, op9_exact_top_k, op10_decontamination)}
+    op7_token_counts, op8_toxicity, op9_exact_top_k, op10_decontamination, op11_merkle_manifest, op13_prefix_trie)}
 
 _JACCARD_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -75,4 +83,5 @@ r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, links.b FROM
 SELECT doc_id, any_value(len(sh))::BIGINT AS n_shingles, min(other) AS component_id FROM r JOIN s USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE = {"op2_ngram_jaccard": _JACCARD_SQL, "op5_mixing": mixing.MIX_SQL, "op9_exact_top_k": topk.TOP_K_SQL}
+ORACLE = {"op2_ngram_jaccard": _JACCARD_SQL, "op5_mixing": mixing.MIX_SQL, "op9_exact_top_k": topk.TOP_K_SQL,
+          "op11_merkle_manifest": merkle.MERKLE_SQL, "op13_prefix_trie": trie.TRIE_SQL}
