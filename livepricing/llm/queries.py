@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, merkle, mixing, packing, sharding, substring_dedup, token_scan, topk, toxicity, trie
+from . import decontaminate, html_text, jaccard, merkle, mixing, packing, setsketch, sharding, substring_dedup, token_scan, topk, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,13 +63,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), n=5, percent=85)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_ngram_jaccard, op3_token_packing, op4_substring_dedup, op5_mixing, op6_html_extraction,
-    op7_token_counts, op8_toxicity, op9_exact_top_k, op10_decontamination, op11_merkle_manifest, op13_prefix_trie)}
+    op7_token_counts, op8_toxicity, op9_exact_top_k, op10_decontamination, op11_merkle_manifest, op12_minhash, op13_prefix_trie)}
 
 _JACCARD_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -84,4 +88,4 @@ SELECT doc_id, any_value(len(sh))::BIGINT AS n_shingles, min(other) AS component
 """
 
 ORACLE = {"op2_ngram_jaccard": _JACCARD_SQL, "op5_mixing": mixing.MIX_SQL, "op9_exact_top_k": topk.TOP_K_SQL,
-          "op11_merkle_manifest": merkle.MERKLE_SQL, "op13_prefix_trie": trie.TRIE_SQL}
+          "op11_merkle_manifest": merkle.MERKLE_SQL, "op12_minhash": setsketch.SETSKETCH_SQL, "op13_prefix_trie": trie.TRIE_SQL}
