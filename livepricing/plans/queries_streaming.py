@@ -12,14 +12,25 @@ from .registry import model_for, register
 
 K_SQL = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
-# the base model with the three changing tables renamed, then their final state
-FINAL_STATE = MODEL.replace("\nsales AS (", "\nsales0 AS (") \
-    .replace("\npromotions AS (", "\npromotions0 AS (").replace("\ninventory AS (", "\ninventory0 AS (") + f""",
+VIEW = "event_type = 'view' AND event_id % 5 ="
+
+# the base model with the changing tables renamed, then their final state
+FINAL_STATE = MODEL.replace("JOIN products p", "JOIN products0 p")
+for _t in ("products", "sales", "promotions", "inventory", "shopping_cart"):
+    FINAL_STATE = FINAL_STATE.replace(f"\n{_t} AS (", f"\n{_t}0 AS (")
+FINAL_STATE += f""",
+news AS (SELECT {K_SQL} AS product_id, arg_max(CAST(round(value * 100) AS BIGINT) + 100, event_id) AS price_c,
+                10001 + max(event_id) % (SELECT count(*) FROM supplier) AS category_id, arg_max(ts, event_id) AS ts
+         FROM events WHERE {VIEW} 0 GROUP BY 1),
+products AS (
+  SELECT p.product_id, p.product_name, coalesce(CAST(n.price_c / 100.0 AS DECIMAL(10,2)), p.base_price) AS base_price,
+         coalesce(n.category_id, p.category_id) AS category_id, coalesce(n.ts, p.last_update_time) AS last_update_time
+  FROM products0 p LEFT JOIN news n USING (product_id)),
 sales AS (
-  SELECT * FROM sales0
+  SELECT * FROM sales0 WHERE order_key NOT IN (SELECT event_id FROM events WHERE {VIEW} 2)
   UNION ALL
   SELECT {K_SQL}, CAST(value AS DECIMAL(12,2)), CAST(value AS DECIMAL(12,2)), ts, event_id, 0
-  FROM events WHERE event_type = 'purchase'),
+  FROM events WHERE event_type = 'purchase' AND event_id + 1 NOT IN (SELECT event_id FROM events WHERE {VIEW} 3)),
 tog AS (SELECT {K_SQL} AS product_id, count(*) AS n FROM events
         WHERE event_type = 'error' AND {K_SQL} IN (SELECT product_id FROM products) GROUP BY 1),
 promotions AS (
@@ -29,15 +40,24 @@ promotions AS (
   UNION ALL
   SELECT t.product_id, CAST(10.00 AS DECIMAL(10,2)), t.n % 2 = 1, NULL
   FROM tog t WHERE t.product_id NOT IN (SELECT product_id FROM promotions0)),
-deltas AS (SELECT {K_SQL} AS product_id, CAST(event_id % 11 - 5 AS INTEGER) AS delta,
-                  row_number() OVER (PARTITION BY {K_SQL} ORDER BY event_id) AS step
-           FROM events WHERE event_type = 'click'),
-inv_rows AS (SELECT row_number() OVER () AS row_id, product_id, warehouse_id, stock FROM inventory0),
+adds AS (SELECT p.product_id, p.product_name, p.category_id, p.base_price AS price, date_trunc('hour', e.ts) AS ts, event_id
+         FROM events e JOIN products0 p ON p.product_id = {K_SQL} WHERE event_type = 'signup'),
+cuts AS (SELECT date_trunc('hour', ts) AS ts, max(event_id) AS cut FROM events WHERE {VIEW} 1 GROUP BY 1),
+shopping_cart AS (
+  SELECT * FROM shopping_cart0 WHERE ts NOT IN (SELECT ts FROM cuts)
+  UNION ALL
+  SELECT product_id, product_name, category_id, price, ts FROM adds LEFT JOIN cuts USING (ts) WHERE cut IS NULL OR event_id > cut),
+deltas AS (SELECT product_id, fixed, delta, row_number() OVER (PARTITION BY product_id ORDER BY event_id) AS step
+           FROM (SELECT {K_SQL} AS product_id, NULL AS fixed, CAST(event_id % 11 - 5 AS INTEGER) AS delta, event_id FROM events WHERE event_type = 'click'
+                 UNION ALL SELECT product_id, CAST(5 + (event_id * 7 + 3) % 21 AS INTEGER), 0, event_id FROM adds)),
+inv_rows AS (SELECT row_number() OVER () AS row_id, product_id, warehouse_id, stock FROM
+              (SELECT product_id, warehouse_id, stock FROM inventory0 UNION ALL
+               SELECT DISTINCT product_id, 1, 0 FROM adds WHERE product_id NOT IN (SELECT product_id FROM inventory0))),
 walk AS (
   WITH RECURSIVE w(row_id, product_id, step, stock) AS (
     SELECT row_id, product_id, 0, stock FROM inv_rows
     UNION ALL
-    SELECT w.row_id, w.product_id, w.step + 1, GREATEST(0, w.stock + d.delta)
+    SELECT w.row_id, w.product_id, w.step + 1, coalesce(d.fixed, GREATEST(0, w.stock + d.delta))
     FROM w JOIN deltas d ON d.product_id = w.product_id AND d.step = w.step + 1)
   SELECT row_id, arg_max(stock, step) AS stock FROM w GROUP BY row_id),
 inventory AS (
@@ -60,12 +80,12 @@ def pricing_store(spark, sf_dir):
 @register("stream_pricing", final_sql(PRICING, body="SELECT product_id, adjusted_price, last_update_time FROM live_price"),
           ids="T2 IO6 T1")
 def stream_pricing(spark, sf_dir):
-    return pricing_store(spark, sf_dir).read("prices")
+    return pricing_store(spark, sf_dir).prices()
 
 
 @register("stream_cart", final_sql(PRICING, CART, body="FROM basket_priced"), ids="T3")
 def stream_cart(spark, sf_dir):
-    return pricing_store(spark, sf_dir).read("cart_lines")
+    return pricing_store(spark, sf_dir).cart_lines()
 
 
 @register("stream_category_totals",
@@ -74,10 +94,12 @@ def stream_cart(spark, sf_dir):
                          "CAST(total AS DOUBLE) AS total, item_count FROM shown"),
           ids="T4")
 def stream_category_totals(spark, sf_dir):
-    return pricing_store(spark, sf_dir).read("category_totals")
+    return pricing_store(spark, sf_dir).category_totals()
 
 
-@register("snapshot_read", None, ids="T17")
+@register("snapshot_read", final_sql(PRICING, CART, HIERARCHY, body="""
+SELECT 1 AS version, coalesce(CAST(round((SELECT sum(CAST(price AS DECIMAL(20,10))) FROM basket_priced), 2) AS DOUBLE), 0) AS cart_total,
+       coalesce(CAST(round((SELECT sum(total) FROM shown WHERE parent_id IS NULL), 2) AS DOUBLE), 0) AS categories_total"""), ids="T17")
 def snapshot_read(spark, sf_dir):
     return J.pinned_cart_summary(pricing_store(spark, sf_dir))
 
@@ -123,4 +145,4 @@ def point_read_cached(spark, sf_dir):
           ids="P8 T2 T17")
 def point_read_incremental(spark, sf_dir):
     """The point lookup served from the newest committed incremental version."""
-    return pricing_store(spark, sf_dir).read("prices").where(F.col("product_id") == 1)
+    return pricing_store(spark, sf_dir).prices().where(F.col("product_id") == 1)

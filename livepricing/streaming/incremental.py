@@ -1,121 +1,19 @@
-"""Incrementally maintained pricing, cart and category views fed by a change stream.
+"""The change feed over the driver tables: events -> signed changes of the model's tables.
 
-State per product (all products-sized, never sales-sized):
-
-* ``sales_agg``  - product_id, sale_count, top: the 10 most recent sales as an array of
-  (sale_date, tie-breaks..., price) sorted newest first;
-* ``promo_agg``  - product_id, min_active, min_inactive: the smallest discount among active
-  and among inactive promotion rows. A toggle flips every row of the product, which swaps
-  the two; a product without rows gets a new 10 % promotion;
-* ``inventory``  - the inventory rows themselves (clamping is per row).
-
-A micro-batch of changes is folded into the state with joins and aggregates (new sales
-merge into the top-10 by a bounded sort of at most 20 elements per product; stock deltas
-use the associative clamp composition), then prices are recomputed from the state through
-the same ``assemble_factors`` as the batch view. Sales are never rescanned.
+purchase: a sale; error: a promotion toggle; click: a stock delta; signup: a cart add, which also
+restocks; view: by event id, a new price and category of a product, a cart delete by ts, or the
+deletion of a sale (a whole order of the base table, or the sale of the purchase just before it;
+the deleted row comes along as a change feed's before-image).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import money
 from ..operators import changes as CH
-from ..operators.pricing import assemble_factors, popularity_top, prices_from_factors, stock_top
-from ..operators.ranking import top_k_per_group
-from ..sources.model import RECENT_SALES, Model
-
-STATE_TABLES = ("sales_agg", "promo_agg", "inventory")
-
-
-def _sale_struct(m: Model):
-    keys = ["sale_date"] + [c for c in m.sale_tiebreak if c != "price"] + ["price"]
-    return F.struct(*[F.col(c) for c in keys])
-
-
-def _top_arrays(sales: DataFrame, m: Model) -> DataFrame:
-    """(product_id, n, top) of a sales DataFrame: count and the 10 newest as an array."""
-    counts = sales.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
-    newest = top_k_per_group(sales, ["product_id"], m.sale_order(), RECENT_SALES)
-    arrays = (newest.groupBy("product_id")          # at most 10 rows per product
-              .agg(F.sort_array(F.collect_list(_sale_struct(m)), asc=False).alias("top")))
-    return counts.join(arrays, "product_id")
-
-
-def _promo_agg(promotions: DataFrame) -> DataFrame:
-    return promotions.groupBy("product_id").agg(
-        F.min(F.when(F.col("active"), F.col("promotion_discount"))).alias("min_active"),
-        F.min(F.when(~F.col("active"), F.col("promotion_discount"))).alias("min_inactive"))
-
-
-@dataclass
-class PricingState:
-    sales_agg: DataFrame
-    promo_agg: DataFrame
-    inventory: DataFrame
-
-    @staticmethod
-    def bootstrap(m: Model) -> "PricingState":
-        s = _top_arrays(m.sales, m).withColumnRenamed("n", "sale_count")
-        inv = m.inventory.select("product_id", "warehouse_id", "stock")
-        return PricingState(s, _promo_agg(m.promotions), inv)
-
-    def tables(self) -> dict[str, DataFrame]:
-        return {"sales_agg": self.sales_agg, "promo_agg": self.promo_agg, "inventory": self.inventory}
-
-    # --- folding a batch of changes ----------------------------------------------------
-
-    def add_sales(self, new_sales: DataFrame, m: Model) -> "PricingState":
-        d = _top_arrays(new_sales, m)
-        o = self.sales_agg.alias("o")
-        n = d.alias("n")
-        merged = o.join(n, "product_id", "full_outer").select(
-            "product_id",
-            (F.coalesce(F.col("o.sale_count"), F.lit(0)) + F.coalesce(F.col("n.n"), F.lit(0)))
-            .alias("sale_count"),
-            F.when(F.col("o.top").isNull(), F.col("n.top"))
-            .when(F.col("n.top").isNull(), F.col("o.top"))
-            .otherwise(F.slice(F.sort_array(F.concat(F.col("o.top"), F.col("n.top")), asc=False),
-                               1, RECENT_SALES)).alias("top"))
-        return PricingState(merged, self.promo_agg, self.inventory)
-
-    def toggle(self, toggles: DataFrame, products: DataFrame) -> "PricingState":
-        per = (toggles.join(products.select("product_id"), "product_id", "left_semi")
-               .groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")))
-        odd = F.col("_n") % 2 == 1
-        cur = self.promo_agg.join(per, "product_id", "left")
-        swapped = cur.select(
-            "product_id",
-            F.when(odd, F.col("min_inactive")).otherwise(F.col("min_active")).alias("min_active"),
-            F.when(odd, F.col("min_active")).otherwise(F.col("min_inactive")).alias("min_inactive"))
-        fresh = per.join(self.promo_agg.select("product_id"), "product_id", "left_anti").select(
-            "product_id",
-            F.when(odd, F.lit(CH.NEW_PROMOTION_DISCOUNT)).cast("bigint").alias("min_active"),
-            F.when(~odd, F.lit(CH.NEW_PROMOTION_DISCOUNT)).cast("bigint").alias("min_inactive"))
-        return PricingState(self.sales_agg, swapped.unionByName(fresh), self.inventory)
-
-    def stock_deltas(self, deltas: DataFrame) -> "PricingState":
-        return PricingState(self.sales_agg, self.promo_agg, CH.apply_stock_deltas(self.inventory, deltas))
-
-    # --- views over the state ------------------------------------------------------------
-
-    def prices(self, m: Model) -> DataFrame:
-        total = F.aggregate("top", F.lit(0).cast("bigint"), lambda acc, x: acc + x["price"])
-        recent = self.sales_agg.select("product_id", (money(total) / F.size("top")).alias("avg_price"))
-        counts = (self.sales_agg.select("product_id", "sale_count")
-                  .join(m.products.select("product_id", "category_id"), "product_id"))
-        promo = self.promo_agg.where(F.col("min_active").isNotNull()).select(
-            "product_id", F.col("min_active").alias("promotion_discount"))
-        totals = self.inventory.groupBy("product_id").agg(F.sum("stock").alias("total_stock"))
-        f = assemble_factors(m.products, recent, promo, popularity_top(counts), stock_top(totals),
-                             m.discount_keyword)
-        return prices_from_factors(f)
-
-
-# --- events -> typed changes (the change feed used with the driver tables) --------------------
+from ..sources.model import driver_sales, read_table
+from .maintained import SET_SHIFT
 
 KEY = "try_cast(get_json_object(props, '$.k') AS BIGINT)"
 
@@ -142,7 +40,43 @@ def event_stock_deltas(ev: DataFrame) -> DataFrame:
         ((F.col("event_id") % 11) - 5).cast("int").alias("delta"))
 
 
-def apply_events(state: PricingState, ev: DataFrame, m: Model) -> PricingState:
-    return (state.add_sales(event_sales(ev), m)
-            .toggle(event_toggles(ev), m.products)
-            .stock_deltas(event_stock_deltas(ev)))
+def event_cart_adds(ev: DataFrame) -> DataFrame:
+    """signup -> a cart line of product k, its ts cut to the hour."""
+    return ev.where(F.col("event_type") == "signup").select(
+        F.expr(KEY).alias("product_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def views(ev: DataFrame, kind: int) -> DataFrame:
+    return ev.where((F.col("event_type") == "view") & (F.col("event_id") % 5 == kind))
+
+
+def event_updates(ev: DataFrame, n_suppliers) -> DataFrame:
+    """view 0 -> product k gets a price from the event value and a supplier's category."""
+    return views(ev, 0).select(
+        F.expr(KEY).alias("product_id"), F.col("event_id").alias("seq"), (F.round(F.col("value") * 100).cast("bigint") + 100).alias("base_price"),
+        (10001 + F.col("event_id") % n_suppliers).cast("bigint").alias("category_id"), F.col("ts").alias("last_update_time"))
+
+
+def event_cart_cuts(ev: DataFrame) -> DataFrame:
+    """view 1 -> a delete of the cart lines of its hour so far."""
+    return views(ev, 1).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def event_changes(ev: DataFrame, sf_dir: str) -> dict[str, DataFrame]:
+    """Signed changes of one batch of events. Deleted rows are looked up in the base tables."""
+    spark = ev.sparkSession
+    orders = views(ev, 2).select(F.col("event_id").alias("order_key")).distinct()
+    gone = driver_sales(spark, sf_dir).join(orders, "order_key", "left_semi")
+    before = views(ev, 3).select((F.col("event_id") - 1).alias("event_id")).distinct()
+    undone = event_sales(read_table(spark, sf_dir, "events").join(before, "event_id", "left_semi"))
+    sales = event_sales(ev).withColumn("n", F.lit(1))
+    for d in (gone, undone):
+        sales = sales.unionByName(d.withColumn("n", F.lit(-1)))
+    delta = F.col("delta").cast("long")
+    ops = (event_stock_deltas(ev).select("product_id", "seq", F.lit(0).cast("long").alias("a"), delta.alias("b"))
+           .unionByName(event_cart_adds(ev).select("product_id", "seq", CH.draw_stock(F.col("seq")).cast("long").alias("a"), F.lit(SET_SHIFT).cast("long").alias("b"))))
+    n_suppliers = read_table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+    known = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"))
+    existing = lambda df: df.join(known, "product_id", "left_semi")
+    return {"sales": sales, "toggles": event_toggles(ev), "ops": existing(ops), "updates": existing(event_updates(ev, n_suppliers)),
+            "adds": event_cart_adds(ev), "cuts": event_cart_cuts(ev)}

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from ..operators import cart as C
 from ..operators import changes as CH
-from ..operators import hierarchy as H
 from ..operators.pricing import dynamic_pricing
 from ..operators.ranking import top_k_per_group
 from ..sources.model import Model
-from .incremental import STATE_TABLES, PricingState, apply_events
+from .incremental import event_changes
+from .maintained import MaintainedViews
 from .store import SnapshotStore
 
 
@@ -46,30 +46,14 @@ def _drain(stream: DataFrame, store: SnapshotStore, on_batch, name: str) -> None
 
 # --- T2-T4: maintained pricing, cart and category views --------------------------------------
 
-def read_state(store: SnapshotStore, version: int) -> PricingState:
-    return PricingState(*[store.read(t, version) for t in STATE_TABLES])
-
-
-def write_version(store: SnapshotStore, state: PricingState, version: int, m: Model) -> None:
-    """Write the state, then the views derived from the state as written (short lineage)."""
-    for name, df in state.tables().items():
-        store.write(name, df, version)
-    written = read_state(store, version)
-    store.write("prices", written.prices(m), version)
-    prices = store.read("prices", version)
-    lines = C.cart_lines(m.with_tables(inventory=written.inventory), prices=prices)
-    store.write("cart_lines", lines, version)
-    store.write("category_totals", H.category_totals(m, store.read("cart_lines", version)), version)
-
-
-def maintain_pricing(spark: SparkSession, sf_dir: str, m: Model,
-                     store: SnapshotStore | None = None) -> SnapshotStore:
+def maintain_pricing(spark: SparkSession, sf_dir: str, m: Model, store: SnapshotStore | None = None,
+                     max_files: int | None = None) -> MaintainedViews:
     """Bootstrap the state from the base tables (version 0), then fold every micro-batch of
     the events stream into a new committed version."""
     store = store or SnapshotStore(spark, name="pricing-stream")
+    views = MaintainedViews(spark, m, store)
     if store.latest() is None:
-        write_version(store, PricingState.bootstrap(m), 0, m)
-        store.commit(0, kind="bootstrap")
+        views.bootstrap()
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
@@ -77,28 +61,25 @@ def maintain_pricing(spark: SparkSession, sf_dir: str, m: Model,
             return
         batch = batch.persist()
         try:
-            prev = read_state(store, version - 1)
-            write_version(store, apply_events(prev, batch, m), version, m)
-            store.commit(version, batch=batch_id)
+            views.apply(event_changes(batch, sf_dir), version, batch=batch_id)
         finally:
             batch.unpersist()
 
-    _drain(events_stream(spark, sf_dir), store, on_batch, "pricing")
-    return store
+    _drain(events_stream(spark, sf_dir, max_files), store, on_batch, "pricing")
+    return views
 
 
 # --- T17: consistent multi-read -----------------------------------------------------------------
 
-def pinned_cart_summary(store: SnapshotStore) -> DataFrame:
-    """Items total and categories total read from one committed version."""
-    v = store.latest()
-    lines = store.read("cart_lines", v)
-    totals = store.read("category_totals", v)
+def pinned_cart_summary(views: MaintainedViews, version: int | None = None) -> DataFrame:
+    """Items total and categories total read from one committed version, the newest by default."""
+    v = views.store.latest() if version is None else version
+    totals = views.category_totals(v)
     grand = (totals.where(F.col("parent_id").isNull())
              .agg(F.coalesce(F.sum(F.round(F.col("total") * 1e6).cast("bigint")), F.lit(0)).alias("_g"))
              .select((F.expr("div(_g + 5000, 10000)").cast("double") / 100.0)).scalar())
-    return C.cart_total(lines).select(F.lit(v).alias("version"), "cart_total",
-                                      grand.alias("categories_total"))
+    return C.cart_total(views.cart_lines(v)).select(F.lit(v).alias("version"), "cart_total",
+                                                    grand.alias("categories_total"))
 
 
 # --- T1: replica from a change stream ------------------------------------------------------------
