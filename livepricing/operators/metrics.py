@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ordered_fill, time_bucket
+from .ordered import numbered, ordered_fill, running_sum, time_bucket
 from .ranking import top_k_per_group
 
 # Fixed values that must equal the reference's for the same results.
@@ -89,38 +89,33 @@ def last_n_stats(samples: DataFrame, n: int = KEEP_SAMPLES) -> DataFrame:
                       st["p99"].alias("p99_ms"))
 
 
-def trailing_qps(samples: DataFrame, bucket_seconds: int = 60) -> DataFrame:
+def trailing_qps(samples: DataFrame) -> DataFrame:
     """At every sample, the samples of its source in the trailing second (itself included;
     of equal times, those with a smaller seq) over that second. Within the window the span
-    never exceeds it, so max(1 s, span) is the window. A source is cut into time buckets; the
-    last second of a bucket is also sent to the next one, so no window spans a whole source."""
-    us, width, back = F.col("_us"), bucket_seconds * 1_000_000, int(QPS_WINDOW_SECONDS * 1_000_000)
-    d = samples.select("source", "ts", "seq",
-                       F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("ts")).alias("_us"))
-    own = F.floor(us / F.lit(width))
-    d = d.withColumn("_own", own).withColumn("_bk", F.explode(F.sequence(own, F.floor((us + back) / F.lit(width)))))
-    part = Window.partitionBy("source", "_bk")
-    rn = F.row_number().over(part.orderBy("_us", "seq"))
-    first = F.min("_rn").over(part.orderBy("_us").rangeBetween(-back, 0))
-    out = d.withColumn("_rn", rn).withColumn("queries", (F.col("_rn") - first + 1).cast("bigint"))
-    return out.where("_bk = _own").select("source", "ts", "seq", "queries",
-                                          (F.col("queries") / F.lit(QPS_WINDOW_SECONDS)).alias("qps"))
-
-
-def rolling_stats(samples: DataFrame, n: int = KEEP_SAMPLES, bucket: str = "1 hour",
-                  block: int = 100_000) -> DataFrame:
+    never exceeds it, so max(1 s, span) is the window.
+
+    The count is a difference of two running counts: up to the sample, and up to the start of its
+    second. The starts are sorted in among the samples as rows of their own, so both come from one
+    sum in blocks of rows, and a second that holds a third of all samples is many blocks."""
+    back = int(QPS_WINDOW_SECONDS * 1_000_000)
+    us = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col("ts"))
+    d = samples.select("source", "ts", "seq", us.alias("_at"))
+    rows = d.withColumn("_is_sample", F.lit(1).cast("long"))
+    starts = d.withColumn("_at", F.col("_at") - back).withColumn("_is_sample", F.lit(0).cast("long"))
+    run = running_sum(rows.unionByName(starts), ["source"], ["_at", "_is_sample", "seq"], "_is_sample", "_run")
+    sample = F.col("_is_sample") == 1
+    out = run.groupBy("source", "ts", "seq").agg(
+        (F.max(F.when(sample, F.col("_run"))) - F.max(F.when(~sample, F.col("_run")))).alias("queries"))
+    return out.select("source", "ts", "seq", "queries", (F.col("queries") / F.lit(QPS_WINDOW_SECONDS)).alias("qps"))
+
+
+def rolling_stats(samples: DataFrame, n: int = KEEP_SAMPLES, block: int = 100_000) -> DataFrame:
     """W5 as a running frame: at every sample, count, max, average and p99 (ms) of the last n
-    samples of its source. Rows are numbered per source from bucket counts, then cut into
-    blocks of ``block`` rows; the last n - 1 rows of a block are also sent to the next one."""
+    samples of its source. Rows are numbered per source and cut into runs of ``block`` rows; the
+    last n - 1 rows of a run are also sent to the next one."""
     if n > P99_MIN_SAMPLES:
         raise ValueError(f"the p99 of a running frame is its max for n <= {P99_MIN_SAMPLES} only")
-    d = samples.select("source", "ts", "seq", ms_exact(F.col("latency")).alias("_ms"),
-                       time_bucket("ts", bucket).alias("_tb"))
-    before = Window.partitionBy("source").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (d.groupBy("source", "_tb").agg(F.count(F.lit(1)).alias("_n"))
-               .select("source", "_tb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    local = d.withColumn("_rn", F.row_number().over(Window.partitionBy("source", "_tb").orderBy("ts", "seq")))
-    pos = local.join(offsets, ["source", "_tb"]).withColumn("_pos", F.col("_off") + F.col("_rn") - 1)
+    pos = numbered(samples.select("source", "ts", "seq", ms_exact(F.col("latency")).alias("_ms")), ["source"], ["ts", "seq"])
     own = F.floor(F.col("_pos") / F.lit(block))
     pos = pos.withColumn("_own", own).withColumn("_bk", F.explode(F.sequence(own, F.floor((F.col("_pos") + n - 1) / F.lit(block)))))
     frame = Window.partitionBy("source", "_bk").orderBy("_pos").rowsBetween(-(n - 1), 0)
@@ -159,16 +154,15 @@ def price_series(samples: DataFrame) -> DataFrame:
                           F.when(F.col("source") != "error", F.col("latency")).alias("price"))
 
 
-def carry_forward(series: DataFrame, bucket: str = "1 day") -> DataFrame:
+def carry_forward(series: DataFrame) -> DataFrame:
     """Each row's last known price (NULLs carried forward) within its consumer."""
-    return ordered_fill(series, ["user_id"], ["ts", "seq"], "price", time_bucket("ts", bucket),
-                        last_out="price_filled")
+    return ordered_fill(series, ["user_id"], ["ts", "seq"], "price", last_out="price_filled")
 
 
-def price_changes(series: DataFrame, bucket: str = "1 day") -> DataFrame:
+def price_changes(series: DataFrame) -> DataFrame:
     """Previous price and a null-safe change flag per row of each consumer's series."""
     # the previous filled price is the last known one before the row: one pass gives both
-    out = ordered_fill(series, ["user_id"], ["ts", "seq"], "price", time_bucket("ts", bucket),
+    out = ordered_fill(series, ["user_id"], ["ts", "seq"], "price",
                        last_out="price_filled", prev_last_out="prev_price")
     return out.select("user_id", "ts", "seq", "price_filled", "prev_price",
                       (~F.col("price_filled").eqNullSafe(F.col("prev_price"))).alias("changed"))
@@ -182,10 +176,9 @@ def lag_band(lag_seconds: Column) -> Column:
     return out.otherwise(F.lit("High"))
 
 
-def source_gaps(samples: DataFrame, bucket: str = "1 day") -> DataFrame:
+def source_gaps(samples: DataFrame) -> DataFrame:
     """Seconds since the previous sample of the same source, banded (P14 over W9)."""
-    prev = ordered_fill(samples.select("source", "ts", "seq"), ["source"], ["ts", "seq"], "ts",
-                        time_bucket("ts", bucket), prev_out="prev_ts")
+    prev = ordered_fill(samples.select("source", "ts", "seq"), ["source"], ["ts", "seq"], "ts", prev_out="prev_ts")
     gap = seconds_between(F.col("ts"), F.col("prev_ts"))
     return prev.select("source", "ts", "seq", gap.alias("gap_seconds"), lag_band(gap).alias("band"))
 

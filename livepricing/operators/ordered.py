@@ -1,13 +1,15 @@
-"""Skew-safe ordered scans: LAG and carry-forward (last non-NULL) within a key.
+"""Skew-safe ordered scans: numbering, LAG and carry-forward (last non-NULL) within a key.
 
 ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key into one task; a hot key
-(a third of the rows) would stall there. Here each key's series is cut into time buckets:
+(a third of the rows) would stall there, and so would a hot second of it if the key were cut by
+time. Here the rows are cut by their number:
 
-1. one summary row per (key, bucket): the last value and the last non-NULL value
-   (partial aggregates, so a hot key is pre-aggregated before the shuffle);
-2. a window over the summaries of each key (one row per bucket) gives every bucket its
-   carry-in from the buckets before it;
-3. a window over (key, bucket) finishes the rows, falling back to the carry-in.
+1. the table is sorted by (key, order) over ranges from sampled quantiles and written once; a
+   range is a block, so a hot key, a hot second of it and a hot tie are many blocks;
+2. one summary row per (key, block): its count, its last value, its last non-NULL value (partial
+   aggregates); a window over the summaries of a key (one row per block) carries in what the blocks
+   before it hold;
+3. a window over (key, block) finishes the rows.
 
 The result is exactly the plain window's; only the unit of work changes.
 """
@@ -19,35 +21,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET = "1 hour"
+from ..session import stage_table
 
+BLOCKS_PER_PARTITION = 4    # blocks per shuffle partition, so that blocks even out over tasks
 
-def time_bucket(ts: str, width: str = DEFAULT_BUCKET) -> Column:
+
+def time_bucket(ts: str, width: str) -> Column:
     return F.window(F.col(ts), width).start
 
 
+def in_blocks(df: DataFrame, key: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """``df`` written in (key, order), with ``_id`` ascending in it and ``_blk``, the block of the
+    row. ``order`` must be total within a key."""
+    n = blocks or BLOCKS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [*key, *order]
+    s = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_id", F.monotonically_increasing_id())
+    return stage_table(s, "in-order").withColumn("_blk", F.shiftright("_id", 33))
+
+
+def before_block(key: Sequence[str]) -> Window:
+    """The blocks of a key before the current one."""
+    return Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with ``_pos``, the number of each row (from 0) within its key."""
+    key = list(key)
+    d = in_blocks(df, key, order)
+    per = d.groupBy(*key, "_blk").agg(F.min("_id").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    off = per.select(*key, "_blk", (F.coalesce(F.sum("_n").over(before_block(key)), F.lit(0)) - F.col("_lo")).alias("_off"))
+    return d.join(off, [*key, "_blk"]).select(*df.columns, (F.col("_id") + F.col("_off")).alias("_pos"))
+
+
+def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` from the first row of its key up to each row."""
+    key, order = list(key), list(order)
+    d = in_blocks(df, key, order)
+    per = d.groupBy(*key, "_blk").agg(F.sum(value).alias("_s"))
+    off = per.select(*key, "_blk", F.coalesce(F.sum("_s").over(before_block(key)), F.lit(0)).alias("_off"))
+    local = F.sum(value).over(Window.partitionBy(*key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("_local", local).join(off, [*key, "_blk"]).select(*df.columns, (F.col("_off") + F.col("_local")).alias(out))
+
+
 def ordered_fill(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str,
-                 bucket: Column, prev_out: str | None = None,
-                 last_out: str | None = None, prev_last_out: str | None = None) -> DataFrame:
+                 prev_out: str | None = None, last_out: str | None = None,
+                 prev_last_out: str | None = None) -> DataFrame:
     """Adds ``prev_out`` = LAG(value), ``last_out`` = LAST(value IGNORE NULLS) over
     (PARTITION BY key ORDER BY order ROWS UNBOUNDED PRECEDING) and ``prev_last_out`` = the
     same without the current row. ``order`` must be total within a key."""
     key, order = list(key), list(order)
-    d = df.withColumn("_bk", bucket)
+    d = in_blocks(df, key, order)
     row = F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))
-    summ = (d.groupBy(*key, "_bk")
+    summ = (d.groupBy(*key, "_blk")
             .agg(F.max(row).alias("_last_row"),
                  F.max(F.when(F.col(value).isNotNull(), row)).alias("_last_nn_row"))
-            .select(*key, "_bk", F.col("_last_row._v").alias("_b_last"),
+            .select(*key, "_blk", F.col("_last_row._v").alias("_b_last"),
                     F.col("_last_nn_row._v").alias("_b_last_nn")))
-    wb = Window.partitionBy(*key).orderBy("_bk")
+    wb = Window.partitionBy(*key).orderBy("_blk")
     summ = summ.select(
-        *key, "_bk",
+        *key, "_blk",
         F.lag("_b_last").over(wb).alias("_in_prev"),
-        F.last("_b_last_nn", ignorenulls=True).over(
-            wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_in_last_nn"))
-    joined = d.join(summ, key + ["_bk"])
-    wr = Window.partitionBy(*key, "_bk").orderBy(*order)
+        F.last("_b_last_nn", ignorenulls=True).over(before_block(key)).alias("_in_last_nn"))
+    joined = d.join(summ, key + ["_blk"])
+    wr = Window.partitionBy(*key, "_blk").orderBy(*order)
     cols = [c for c in df.columns]
     out = joined
     if prev_out:

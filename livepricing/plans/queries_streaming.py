@@ -104,6 +104,26 @@ def snapshot_read(spark, sf_dir):
     return J.pinned_cart_summary(pricing_store(spark, sf_dir))
 
 
+def _frontier_sql(frontier: str) -> str:
+    """Sums over the views after the events up to a frontier (the base cart keeps all events)."""
+    state = final_sql(PRICING, CART, HIERARCHY, body="").replace("FROM events", "FROM feed").replace(
+        "FROM feed e\n  JOIN products0 p", "FROM events e\n  JOIN products0 p")
+    feed = f"WITH upto AS (SELECT {frontier} AS f FROM events), feed AS (SELECT * FROM events WHERE event_id <= (SELECT f FROM upto)),"
+    return state.replace("WITH ", feed, 1) + """
+SELECT (SELECT f FROM upto)::BIGINT AS frontier, (SELECT count(*) FROM live_price) AS products,
+       (SELECT sum(CAST(round(adjusted_price * 1e6) AS BIGINT))::BIGINT FROM live_price) AS price_micros,
+       (SELECT count(*) FROM basket_priced) AS lines, (SELECT coalesce(sum(available_stock), 0)::BIGINT FROM basket_priced) AS line_stock,
+       (SELECT coalesce(sum(CAST(round(price * 1e6) AS BIGINT)), 0)::BIGINT FROM basket_priced) AS line_micros,
+       (SELECT count(*) FROM shown) AS categories, (SELECT coalesce(sum(item_count), 0)::BIGINT FROM shown) AS category_items"""
+
+
+@register("stream_changelog", "SELECT * FROM (" + _frontier_sql(
+    "min(CASE WHEN event_id >= ((SELECT min(event_id) + max(event_id) FROM events) // 2) AND event_id % 3 = 1 THEN event_id END) - 1")
+    + ")\nUNION ALL\nSELECT * FROM (" + _frontier_sql("max(event_id)") + ")", ids="T1 IO6 T2 T17")
+def stream_changelog(spark, sf_dir):
+    return J.frontier_summary(J.replay_changelog(spark, sf_dir, model_for(spark, sf_dir)))
+
+
 @register("stream_replica", """
 WITH c AS (SELECT user_id AS key, CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op,
                   event_id AS seq, event_type, value FROM events),

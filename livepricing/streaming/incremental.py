@@ -69,9 +69,10 @@ def event_changes(ev: DataFrame, sf_dir: str) -> dict[str, DataFrame]:
     gone = driver_sales(spark, sf_dir).join(orders, "order_key", "left_semi")
     before = views(ev, 3).select((F.col("event_id") - 1).alias("event_id")).distinct()
     undone = event_sales(read_table(spark, sf_dir, "events").join(before, "event_id", "left_semi"))
-    sales = event_sales(ev).withColumn("n", F.lit(1))
-    for d in (gone, undone):
-        sales = sales.unionByName(d.withColumn("n", F.lit(-1)))
+    own = F.col("order_key").cast("long").alias("seq")      # the event behind each change
+    sales = event_sales(ev).select("*", own, F.lit(1).alias("n"))
+    sales = sales.unionByName(gone.select("*", own, F.lit(-1).alias("n")))
+    sales = sales.unionByName(undone.select("*", own + 1, F.lit(-1).alias("n")).toDF(*sales.columns))
     delta = F.col("delta").cast("long")
     ops = (event_stock_deltas(ev).select("product_id", "seq", F.lit(0).cast("long").alias("a"), delta.alias("b"))
            .unionByName(event_cart_adds(ev).select("product_id", "seq", CH.draw_stock(F.col("seq")).cast("long").alias("a"), F.lit(SET_SHIFT).cast("long").alias("b"))))

@@ -19,7 +19,9 @@ from ..operators import cart as C
 from ..operators import changes as CH
 from ..operators.pricing import dynamic_pricing
 from ..operators.ranking import top_k_per_group
-from ..sources.model import Model
+from ..session import stage_table
+from ..sources.model import Model, read_table
+from .changelog import Replay, to_changelog
 from .incremental import event_changes
 from .maintained import MaintainedViews
 from .store import SnapshotStore
@@ -69,6 +71,44 @@ def maintain_pricing(spark: SparkSession, sf_dir: str, m: Model, store: Snapshot
     return views
 
 
+# --- T1: all tables from one changelog ------------------------------------------------------
+
+def replay_changelog(spark: SparkSession, sf_dir: str, m: Model, store: SnapshotStore | None = None) -> Replay:
+    """The events as a changelog with one transaction per event, delivered in two pieces: the
+    second half of the transactions lacks every third one at first, and is delivered again whole."""
+    store = store or SnapshotStore(spark, name="changelog")
+    views = MaintainedViews(spark, m, store)
+    views.bootstrap()
+    ev = read_table(spark, sf_dir, "events")
+    log = stage_table(to_changelog(event_changes(ev, sf_dir), ev.select(F.col("event_id").alias("txn"))), "changelog")
+    lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
+    replay = Replay(views, log.schema, lo)
+    late = F.col("txn") >= (lo + hi) // 2
+    replay.apply(log.where(~late | (F.col("txn") % 3 != 1)), 1)
+    replay.apply(log.where(late), 2)
+    return replay
+
+
+def frontier_summary(replay: Replay) -> DataFrame:
+    """Per version: its frontier and sums over the views of that version."""
+    out = None
+    for v in range(1, replay.views.store.latest() + 1):
+        prices, lines, totals = (f(v) for f in (replay.views.prices, replay.views.cart_lines, replay.views.category_totals))
+        micro = lambda c: F.coalesce(F.sum(F.round(F.col(c) * 1e6).cast("long")), F.lit(0))
+        row = spark_row(prices.agg(F.count("*").alias("products"), micro("adjusted_price").alias("price_micros")),
+                        lines.agg(F.count("*").alias("lines"), F.coalesce(F.sum("available_stock"), F.lit(0)).alias("line_stock"), micro("price").alias("line_micros")),
+                        totals.agg(F.count("*").alias("categories"), F.coalesce(F.sum("item_count"), F.lit(0)).alias("category_items")))
+        row = row.select(F.lit(replay.frontier(v)).cast("long").alias("frontier"), *row.columns)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def spark_row(*aggregates: DataFrame) -> DataFrame:
+    """One row of several one-row aggregates, the later ones as scalar subqueries."""
+    first, *rest = aggregates
+    return first.select("*", *[a.select(c).scalar().alias(c) for a in rest for c in a.columns])
+
+
 # --- T17: consistent multi-read -----------------------------------------------------------------
 
 def pinned_cart_summary(views: MaintainedViews, version: int | None = None) -> DataFrame:
