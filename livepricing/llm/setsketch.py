@@ -9,15 +9,17 @@ a chance close to their Jaccard similarity J.
 
 * Bands: 42 bands of 6 registers, drawn once. Sets of J = 0.85 share no band with a chance of
   (1 - J^6)^42 = 3e-9, more similar ones with less.
-* Sets that share a band are tested by size, by the parities of the registers (which 0.85 allows to
-  differ in 19 of 256 on average; over 56: a chance of 4e-12) and by the likelihood of the counts of
-  larger, smaller and equal registers, maximised over J: a pair leaves if J = 0.85 is e^20 times
-  less likely than the best J. Registers thus decide what is looked at; a link needs the exact count
+* Sets that share a band are tested by size, by two sketches of bits (parities of the shingles in
+  512 buckets, where linked sets differ in no more bits than shingles; and of the registers, which
+  0.85 allows to differ in 19 of 256 on average, over 56 with a chance of 4e-12) and by the
+  likelihood of the counts of larger, smaller and equal registers, maximised over J: a pair leaves
+  if J = 0.85 is e^20 times less likely than the best J. Registers thus decide what is looked at; a link needs the exact count
   on the full sets (64-bit hashes of shingles; unlike shingles are equal with a chance of 2^-64).
 * A group of copies is no set of all pairs: equal sets are one set, every band's members are tested
-  against its least member, components are formed, members of bands that still hold several
+  against the one that meets the most others over all its bands (an original meets its copies more
+  often than they meet each other), components are formed, members of bands that still hold several
   components are tested against a drawn one, and only what then remains apart is tested member by
-  member, behind the size and parity tests.
+  member, behind the tests of sizes and bits.
 
 Sets of one 64-bit fingerprint and one size are taken for equal. Null, empty and blank texts have an
 empty set and link with nothing; fewer than n words make one shingle; repeated rows are rows of their
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
-from .jaccard import shingle_sets
+from .jaccard import SKETCH, shingle_sets, sketch
 from .scratch import Scratch, row_key
 
 U = np.uint64
@@ -87,6 +89,7 @@ def parities(regs: np.ndarray) -> np.ndarray:
 
 
 PARITY = [f"p{i}" for i in range(M // 64)]
+BITS = [*PARITY, *SKETCH]
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -120,12 +123,13 @@ def _profile(n: int, most_seen: int):
     def run(batches):
         seen = set()
         for batch in batches:
-            size, ident, todo, held, regs = [], [], [], 0, {}
+            size, ident, todo, held, regs, bits = [], [], [], 0, {}, {}
 
             def flush():
                 if todo:
                     out = registers(np.concatenate([s for _, s in todo]), np.repeat(np.arange(len(todo)), [len(s) for _, s in todo]), len(todo))
                     regs.update((i, r) for (i, _), r in zip(todo, out))
+                    bits.update((i, sketch(s)) for i, s in todo)
                     todo.clear()
             for s in shingle_sets(batch.column(1), n):
                 key = int(tk.signed(tk.mix(s + _STEP).sum(dtype=U, keepdims=True))[0])
@@ -143,14 +147,15 @@ def _profile(n: int, most_seen: int):
             flush()
             rows = sorted(regs)
             r = np.stack([regs[i] for i in rows]) if rows else np.zeros((0, M), np.uint16)
+            k = np.stack([bits[i] for i in rows]) if rows else np.zeros((0, len(SKETCH)), np.int64)
             at = np.full(len(size), -1, np.int64)
             at[rows] = np.arange(len(rows))
             gone = pa.array(at, mask=at < 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(ident, pa.int64()), batch.column(2),
                  pa.array([x.tobytes() for x in r], pa.binary()).take(gone), pa.array(list(signatures(r)), pa.list_(pa.int64())).take(gone),
-                 *[pa.array(p, pa.int64()).take(gone) for p in parities(r).T.copy()]],
-                names=["doc_id", "n_shingles", "id", "row_key", "regs", "sigs", *PARITY])
+                 *[pa.array(p, pa.int64()).take(gone) for p in np.hstack([parities(r), k]).T.copy()]],
+                names=["doc_id", "n_shingles", "id", "row_key", "regs", "sigs", *BITS])
     return run
 
 
@@ -189,9 +194,13 @@ def _linked(percent: int):
 
 
 def _could_link(percent: int):
+    """What sizes and bits of linked sets hold; columns under a and b."""
     na, nb = F.col("a.n"), F.col("b.n")
-    bits = sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in PARITY), F.lit(0))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bits <= PARITY_LIMIT)
+
+    def differ(columns):
+        return sum((F.bit_count(F.col(f"a.{p}").bitwiseXOR(F.col(f"b.{p}"))) for p in columns), F.lit(0))
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ(PARITY) <= PARITY_LIMIT)
+            & ((100 + percent) * differ(SKETCH) <= (100 - percent) * (na + nb)))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, rounds: int = 2, most_seen: int = 1 << 20) -> DataFrame:
@@ -201,15 +210,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, rounds: int
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
     profile = scratch.stage(d.mapInArrow(_profile(n, most_seen), "doc_id long, n_shingles long, id long, row_key long, regs binary, sigs array<long>, "
-                                         + ", ".join(f"{p} long" for p in PARITY)), "setsketch_profile")
+                                         + ", ".join(f"{p} long" for p in BITS)), "setsketch_profile")
     rows = profile.where("sigs IS NOT NULL").select(F.explode("sigs").alias("sig"), "id")
     # partial aggregates find the bands that unlike sets share; a hot band moves one row per task
-    shared = scratch.stage(rows.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last"), "setsketch_shared")
+    shared = scratch.stage(rows.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("sig"), "setsketch_shared")
     groups = scratch.stage(rows.join(shared, "sig").distinct(), "setsketch_groups")
     wanted = groups.select("id").distinct()
     sketches = scratch.stage(profile.where("regs IS NOT NULL").join(wanted, "id", "left_semi")
                              .groupBy("id").agg(F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.min_by("row_key", "row_key").alias("row_key"),
-                                                *[F.first(p).alias(p) for p in PARITY]), "setsketch_sketches")
+                                                *[F.first(p).alias(p) for p in BITS]), "setsketch_sketches")
     small = sketches.drop("regs", "row_key")
     # (the wanted texts grow with the corpus, so both sides are shuffled at every size)
     texts = d.join(sketches.select("id", "row_key").hint("merge"), "row_key").select("id", "text", "row_key").dropDuplicates(["row_key", "id"])
@@ -225,7 +234,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 85, rounds: int
         return out
 
     ordered = [F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")]
-    star = groups.where("id <> first").select("id", "first").distinct()
+    met = groups.join(groups.groupBy("sig").agg(F.count("*").alias("size")), "sig").groupBy("id").agg(F.sum("size").alias("met"))
+    centre = groups.join(met, "id").groupBy("sig").agg(F.max(F.struct("met", "id"))["id"].alias("first"))
+    star = groups.join(centre, "sig").where("id <> first").select("id", "first").distinct()
     pairs = star.join(small.alias("a"), F.col("a.id") == star["first"]).join(small.alias("b"), F.col("b.id") == star["id"])
     links = verified(pairs.where(_could_link(percent)).select(*ordered))
     for r in range(1, rounds + 1):
