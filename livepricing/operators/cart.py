@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import micros, round2_from_micros
+from ..session import stage_table
 from ..sources.model import Model
 from . import hierarchy as H
 from .pricing import dynamic_pricing, restrict
@@ -72,7 +73,7 @@ def cart_document(m: Model, lines: DataFrame, expanded: str | None) -> DataFrame
         F.lit("cart_item").alias("section"),
         F.to_json(F.struct("product_id", "product_name", "category_id", "category_name",
                            "price", "available_stock")).alias("body"))
-    totals_m = H.category_totals_exact(m, lines)
+    totals_m = stage_table(H.category_totals_exact(m, lines), "category-totals")   # read three times
     subtotals = H.drilldown(m, lines, expanded, totals=totals_m).select(
         F.lit("category_subtotal").alias("section"),
         F.to_json(F.struct("category_id", "parent_id", "has_subcategory", "category_name",

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage_table
 from .ranking import full_rank, top_k_per_group
 
 # Fixed values that must equal the reference's for the same results.
@@ -47,7 +48,9 @@ def insert_ignore(current: DataFrame, new_rows: DataFrame, key: str,
 
 def next_ids(rows: DataFrame, existing: DataFrame, id_col: str, seq: str, out: str) -> DataFrame:
     """A12 + sequence: COALESCE(MAX(id), 0) + position of each new row in seq order. The
-    position is a distributed rank, not a single-partition row_number."""
+    position is a distributed rank, not a single-partition row_number; the rank reads its input
+    several times, so the rows are written once."""
+    rows = stage_table(rows, "new-rows")
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()   # scalar subquery
     ranked = full_rank(rows.withColumn("_neg_seq", -F.col(seq)), [], "_neg_seq", "_pos")
     return (ranked.withColumn(out, (top + F.col("_pos")).cast("bigint"))

@@ -10,7 +10,7 @@ anyway, so the result is identical.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import from_micros, micros, round2_from_micros
@@ -138,23 +138,19 @@ def drilldown(m: Model, lines: DataFrame, expanded: str | None,
     """Root categories plus the children of the expanded ids, with rounded subtotals
     and the grand total over the roots only, in tree order."""
     ids = parse_expanded(expanded)
-    t = totals if totals is not None else category_totals_exact(m, lines)
+    # read twice (rows and grand total): the rollup, bounded by the cart's categories, is written once
+    t = totals if totals is not None else stage_table(category_totals_exact(m, lines), "category-totals")
     keep = F.col("parent_id").isNull()
     if ids:   # an all-junk list behaves like no list
         keep = keep | F.col("parent_id").isin(ids)
-    # every root is visible, so the grand total over roots is a sum over the visible rows:
-    # one window over the drill-down's own rows (roots plus children of the listed ids,
-    # a display-sized set) instead of a second pass over the rollup
-    grand = F.coalesce(F.sum(F.when(F.col("parent_id").isNull(), F.col("total_m"))).over(
-        Window.partitionBy()), F.lit(0))
-    return (t.where(keep).withColumn("_grand_m", grand)
+    # the grand total over the roots is a scalar subquery over the same rollup
+    grand = (t.where(F.col("parent_id").isNull()).agg(F.coalesce(F.sum("total_m"), F.lit(0)).alias("_g"))
+             .select(round2_from_micros("_g")).scalar())
+    return (t.where(keep)
             .select("category_id", "parent_id", "has_subcategory", "category_name",
                     F.col("item_count").cast("bigint").alias("item_count"),
-                    round2_from_micros("total_m").alias("subtotal"),
-                    round2_from_micros("_grand_m").alias("categories_total"))
-            # the grand-total window already gathered these (cart-bounded) rows into one
-            # partition: sorting it gives the global tree order without a sampling job
-            .sortWithinPartitions(F.coalesce("parent_id", "category_id"), "category_id"))
+                    round2_from_micros("total_m").alias("subtotal"), grand.alias("categories_total"))
+            .orderBy(F.coalesce("parent_id", "category_id"), "category_id"))
 
 
 def category_list(m: Model) -> DataFrame:

@@ -67,14 +67,17 @@ def rolling_100(spark, sf_dir):
     return M.rolling_stats(samples(spark, sf_dir))
 
 
-@register("qps_1s", f"""
+TRAILING_SQL = f"""
 WITH s AS ({SAMPLES_SQL}),
 c AS (SELECT source, ts, seq,
              count(*) OVER (PARTITION BY source ORDER BY ts
                             RANGE BETWEEN INTERVAL 1 SECOND PRECEDING AND CURRENT ROW)
              - count(*) OVER (PARTITION BY source, ts)
              + row_number() OVER (PARTITION BY source, ts ORDER BY seq) AS queries FROM s)
-SELECT source, ts, seq, queries, queries / CAST(1.0 AS DOUBLE) AS qps FROM c""", ids="W6 T10")
+SELECT source, ts, seq, queries, queries / CAST(1.0 AS DOUBLE) AS qps FROM c"""
+
+
+@register("qps_1s", TRAILING_SQL, ids="W6 T10")
 def qps_1s(spark, sf_dir):
     return M.trailing_qps(samples(spark, sf_dir))
 

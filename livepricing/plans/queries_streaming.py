@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs as J
 from .oracle import CART, HIERARCHY, MODEL, PRICING
+from .queries_metrics import TRAILING_SQL
 from .registry import model_for, register
 
 K_SQL = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -141,6 +142,11 @@ def stream_rate(spark, sf_dir):
     return J.maintain_rate(spark, sf_dir).read("rate")
 
 
+@register("stream_trailing_rate", TRAILING_SQL, ids="T10 W6")
+def stream_trailing_rate(spark, sf_dir):
+    return J.maintain_trailing_rate(spark, sf_dir).read()
+
+
 @register("cached_refresh", "WITH " + ",".join([MODEL, PRICING]) + "\nSELECT product_id, adjusted_price, last_update_time FROM live_price",
           ids="T5 IO7 T6")
 def cached_refresh(spark, sf_dir):

@@ -24,6 +24,7 @@ from ..sources.model import Model, read_table
 from .changelog import Replay, to_changelog
 from .incremental import event_changes
 from .maintained import MaintainedViews
+from .rate import TrailingRate
 from .store import SnapshotStore
 
 
@@ -201,6 +202,21 @@ def maintain_rate(spark: SparkSession, sf_dir: str, window: str = "1 hour",
     return store
 
 
+def maintain_trailing_rate(spark: SparkSession, sf_dir: str, store: SnapshotStore | None = None,
+                           max_files: int | None = None) -> TrailingRate:
+    """At every sample of the stream the rate of its source in the trailing second."""
+    store = store or SnapshotStore(spark, name="trailing-rate")
+    rate = TrailingRate(spark, store)
+    ev = events_stream(spark, sf_dir, max_files).select(F.col("event_type").alias("source"), "ts", F.col("event_id").alias("seq"))
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        if not store.is_committed(batch_id + 1):
+            rate.apply(batch, batch_id + 1, batch=batch_id)
+
+    _drain(ev, store, on_batch, "trailing-rate")
+    return rate
+
+
 # --- T5: batch-refreshed cache with a refresh log --------------------------------------------
 
 def refresh_cached_pricing(spark: SparkSession, m: Model, store: SnapshotStore | None = None,

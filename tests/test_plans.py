@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 # builders that run a stream or write while building are covered by their own tests
-SIDE_EFFECTS = {"stream_pricing", "stream_cart", "stream_category_totals", "snapshot_read", "stream_changelog",
+SIDE_EFFECTS = {"stream_pricing", "stream_cart", "stream_category_totals", "snapshot_read", "stream_changelog", "stream_trailing_rate",
                 "stream_replica", "stream_rate", "cached_refresh", "load_csv",
                 "point_read_cached", "point_read_incremental"}
 

@@ -66,3 +66,20 @@ def test_folder_table_newest_first_equals_batch(spark, tmp_path):
     replica = J.maintain_replica(spark, sf, store=SnapshotStore(spark, tempfile.mkdtemp(prefix="lp-replica-")), max_files=2)
     last = ev.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("t"), F.max("event_id").alias("e")).where("t <> 'error'")
     assert sorted((r.key, r.seq) for r in replica.read("replica").collect()) == sorted((r.user_id, r.e) for r in last.collect())
+
+
+def test_trailing_rate_newest_first_equals_batch(spark, tmp_path):
+    """Later batches only bring older samples, which change the rates of stored ones."""
+    from livepricing.operators.metrics import trailing_qps
+    from livepricing.streaming.rate import TrailingRate
+    rows = [(f"s{i % 3}", 250 * ((i * 37) % 90), i) for i in range(120)]
+    sample = spark.createDataFrame(rows, "source string, ms long, seq long").selectExpr(
+        "source", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, ms / 1000.0) AS ts", "seq")
+    rate = TrailingRate(spark, SnapshotStore(spark, str(tmp_path / "rate")), compact_every=2)
+    half = F.col("ts") >= F.lit("2024-01-01 00:00:11").cast("timestamp_ntz")
+    third = F.col("seq") % 3 == 0
+    for v, part in enumerate([half & third, half, ~half], 1):     # the second brings samples again
+        rate.apply(sample.where(part), v)
+    want = sorted((r.source, r.ts, r.seq, r.queries) for r in trailing_qps(sample).collect())
+    assert sorted((r.source, r.ts, r.seq, r.queries) for r in rate.read().collect()) == want
+    assert rate.store.base_of(3) == 2
