@@ -4,14 +4,18 @@ Candidates are dealt by a hash into shards of about ``shard_rows``; each shard g
 (median splits on the widest side, tight bounding boxes). A query walks a tree best-first by the
 upper bound of its product with a box and stops when no box can beat its k-th score. First each
 query searches its home shard; the k-th score found there goes along to all other shards, so
-most of their boxes are never opened. Queries meet shards in blocks of ``query_rows``, so a task
-holds one shard and one block of queries however many there are.
+most of their boxes are never opened. A task reads one sorted stream: a shard's candidates, of
+which it builds the tree once, then the queries, ``query_rows`` at a time; it holds one shard and
+one such slice however many queries there are. Where there are fewer shards than cores, each
+shard is given to several tasks, which share its queries.
 
 Scores are exact integers: products run in float64 while every partial sum stays below 2^53 and
-in Python integers beyond. Vectors that are null or hold null or non-finite components, and
-rows without an id, take no part; a shorter vector counts as padded with zeros; equal rows count
-once; rows with a query's own id are not its candidates; ties go to the smaller id. An empty
-table gives an empty result.
+in Python integers beyond. A score beyond the range of a long is the nearest long, for the ranks
+too. Components of any finite size take part (256 times one beyond the largest double is the
+largest double). Vectors that are null or hold null or non-finite components, and rows without an
+id, take no part; a shorter vector counts as padded with zeros; equal rows count once; rows with
+a query's own id are not its candidates; ties go to the smaller id. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,13 +32,20 @@ from .scratch import Scratch
 RESULT = "query_id long, vec_id long, score long"
 
 
-def matrix(rows, width: int = 0) -> np.ndarray:
-    """Integer vectors as rows, padded with zeros; float64 where that is exact, else objects."""
-    width = max([width, *map(len, rows)], default=width)
-    big = any(len(r) and max(abs(int(min(r))), abs(int(max(r)))) ** 2 * width >= 1 << 51 for r in rows)
-    out = np.zeros((len(rows), width), object if big else np.float64)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def largest(rows) -> int:
+    """The largest absolute component."""
+    return max((max(abs(int(min(r))), abs(int(max(r)))) for r in rows if len(r)), default=0)
+
+
+def matrix(rows, width: int, exact: bool) -> np.ndarray:
+    """Integer vectors as rows, padded with zeros or cut; float64, or Python integers if ``exact``."""
+    out = np.zeros((len(rows), width), object if exact else np.float64)
     for i, r in enumerate(rows):
-        out[i, : len(r)] = [int(x) for x in r] if big else r
+        r = r[:width]
+        out[i, : len(r)] = [int(x) for x in r] if exact else r
     return out
 
 
@@ -85,7 +96,7 @@ class KDTree:
             if floor is not None:
                 keep &= np.asarray(score >= floor, bool)
             for s, i in zip(score[keep].tolist(), ids[idx][keep].tolist()):
-                item = (int(s), -i)
+                item = (min(max(int(s), LEAST), MOST), -i)
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -93,51 +104,100 @@ class KDTree:
         return best
 
 
-def _search(k: int):
-    def run(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(candidates) and len(queries):
-            width = max(candidates["vec"].map(len).max(), queries["vec"].map(len).max())
-            both = matrix([*candidates["vec"], *queries["vec"]], int(width))
-            tree = KDTree(both[: len(candidates)])
-            ids, q = candidates["vec_id"].to_numpy(), both[len(candidates):]
-            bounds = tree.bounds(q)
-            for i, (own, kth) in enumerate(zip(queries["query_id"].tolist(), queries["kth"].tolist())):
-                floor = None if kth is None or pd.isna(kth) else int(kth)
-                out += [(own, -v, s) for s, v in tree.search(q[i], bounds[i], ids, own, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+class Shard:
+    """The candidates of one shard, with their tree in float64, or in Python integers for queries
+    that need them."""
+
+    def __init__(self, ids: np.ndarray, rows: list):
+        self.ids, self.rows, self.most = ids, rows, largest(rows)
+        self.width = max(map(len, rows), default=0)
+        self.trees: dict[bool, KDTree] = {}
+
+    def search(self, queries, k: int):
+        """(query, candidate, score) of ``queries``: (id, k-th score or None, vector)."""
+        if not len(self.rows):
+            return
+        most = max(self.most, largest([v for _, _, v in queries]))
+        exact = most * most * self.width >= 1 << 51
+        if exact not in self.trees:
+            self.trees[exact] = KDTree(matrix(self.rows, self.width, exact))
+        tree, q = self.trees[exact], matrix([v for _, _, v in queries], self.width, exact)
+        bounds = tree.bounds(q)
+        for i, (own, kth, _) in enumerate(queries):
+            # below the least long all scores tie
+            for score, v in tree.search(q[i], bounds[i], self.ids, own, k, None if kth == LEAST else kth):
+                yield own, -v, score
+
+
+def _search(k: int, query_rows: int):
+    """Over rows sorted by (shard, part, is_query): a shard's candidates, then its queries."""
+    def run(batches):
+        at, held, shard = None, [], None
+        for pdf in batches:
+            for key, rows in pdf.groupby(["shard", "part"], sort=False):
+                if key != at:
+                    at, held, shard = key, [], None
+                ask = rows["is_query"].to_numpy(bool)
+                if not ask.all():
+                    held.append(rows[~ask])
+                asked = rows[ask]
+                if not len(asked):
+                    continue
+                if shard is None:
+                    known = pd.concat(held) if held else rows[:0]
+                    shard, held = Shard(known["vec_id"].to_numpy(np.int64), [*known["vec"]]), []
+                kth = [None if pd.isna(x) else int(x) for x in asked["kth"].tolist()]
+                todo = [*zip(asked["vec_id"].tolist(), kth, asked["vec"])]
+                for i in range(0, len(todo), query_rows):
+                    found = [*shard.search(todo[i: i + query_rows], k)]
+                    yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
     return run
 
 
+def _meet(candidates: DataFrame, queries: DataFrame, k: int, query_rows: int, shards: int, parts: int) -> DataFrame:
+    """query_id, vec_id, score: queries (shard, vec_id, kth as text, vec) against the candidates
+    (shard, vec_id, vec) of their shard."""
+    cols = ("shard", "part", "is_query", "vec_id", "kth", "vec")
+    c = candidates.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(False).alias("is_query"), "vec_id",
+                          F.lit(None).cast("string").alias("kth"), "vec")
+    q = queries.select("shard", F.pmod(F.xxhash64(F.lit(1), "vec_id", "vec"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("is_query"),
+                       "vec_id", "kth", "vec")
+    rows = c.select(*cols).unionByName(q.select(*cols)).repartition(shards * parts, "shard", "part")
+    return rows.sortWithinPartitions("shard", "part", "is_query").mapInPandas(_search(k, query_rows), RESULT)
+
+
 def quantised(df: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, vec (array<long>): floor(scale * component) of the vectors that take part."""
+    """vec_id, vec: floor(scale * component) of the vectors that take part, as whole doubles."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(
         x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    most = float(np.finfo(np.float64).max)
+
+    def whole(v):
+        big = F.greatest(F.least(v * scale, F.lit(most)), F.lit(-most))
+        # doubles from 2^53 on are whole, and beyond 2^63 no long holds them
+        return F.when(F.abs(big) >= float(1 << 53), big).otherwise(F.floor(big).cast("double"))
+
     return df.where(F.coalesce(ok, F.lit(False))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("vec")).distinct()
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("vec")).distinct()
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 1 << 14, query_rows: int = 1 << 10) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score. ``vectors``: vec_id, vec; ``is_query``: a Column."""
-    scratch = Scratch(vectors.sparkSession)
+    """query_id, rank (from 1), vec_id, score. ``vectors``: vec_id, vec (whole numbers);
+    ``is_query``: a Column."""
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
     held = scratch.stage(vectors, "top_k_vectors")
     shards = -(-max(held.count(), 1) // shard_rows)
-    h = F.xxhash64("vec_id", "vec")
-    c = held.withColumn("shard", F.pmod(h, F.lit(shards)).cast("int"))
-    asked = c.where(is_query).select(F.col("vec_id").alias("query_id"), "vec", F.col("shard").alias("home"))
-    blocks = -(-max(asked.count(), 1) // query_rows)
-    q = asked.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "query_id", "vec"), F.lit(blocks)).cast("int"))
-    run = _search(k)
-    none = F.lit(None).cast("long")
-    near = q.withColumn("kth", none).groupBy(F.col("home").alias("shard"))
-    first = scratch.stage(c.groupBy("shard").cogroup(near).applyInPandas(run, RESULT), "top_k_home")
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    parts = -(-spark.sparkContext.defaultParallelism // shards)
+    c = held.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards)).cast("int"))
+    asked = c.where(is_query)
+    first = scratch.stage(_meet(c, asked.withColumn("kth", F.lit(None).cast("string")), k, query_rows, shards, parts), "top_k_home")
+    kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("string").alias("kth"))
     # a query that found nothing at home keeps a null bound
-    q = scratch.stage(q.join(kth, "query_id", "left"), "top_k_queries")
-    there = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
-    here = c.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rest = here.groupBy("shard", "part").cogroup(there.groupBy("shard", "part")).applyInPandas(run, RESULT)
+    there = (asked.withColumnRenamed("shard", "home").join(kth, "vec_id", "left")
+             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home"))
+    rest = _meet(c, there, k, query_rows, shards, parts)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     found = first.union(rest).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
