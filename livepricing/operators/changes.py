@@ -36,13 +36,13 @@ def upsert(current: DataFrame, updates: DataFrame, key: str, order: str | None =
 def insert_ignore(current: DataFrame, new_rows: DataFrame, key: str,
                   order: str | None = None) -> DataFrame:
     """IO8 (INSERT ... ON CONFLICT DO NOTHING): only rows with an unseen key are added. When
-    the batch itself repeats a key, the first row in ``order`` wins (as the first insert
-    would); without an order any one of them is kept."""
+    the batch itself repeats a key, the first row in ``order`` wins (as the first insert would);
+    ties, and rows without an order, go to the least row by its columns from left to right."""
     fresh = new_rows.join(current.select(key), key, "left_anti")
-    if order is None:
-        fresh = fresh.dropDuplicates([key])
-    else:   # bounded: one row per key per map partition moves
-        fresh = top_k_per_group(fresh, [key], [F.col(order).asc()], 1).drop("_rn")
+    by = [order] if order is not None else []
+    by += [c for c in new_rows.columns if c not in (key, order)]
+    # bounded: one row per key per map partition moves
+    fresh = top_k_per_group(fresh, [key], [F.col(c).asc() for c in by or [key]], 1).drop("_rn")
     return current.unionByName(fresh)
 
 

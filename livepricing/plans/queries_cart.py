@@ -133,11 +133,32 @@ def cart_message(m):
     return C.cart_message(lines_of(m))
 
 
-@register("cart_document", None, ids="V9 IO16")
+#: What the objects of the document hold, all sections together, as JSON text is read back.
+DOCUMENT_FIELDS = ("product_id bigint, product_name string, category_id bigint, category_name string, price double, available_stock bigint, "
+                   "parent_id bigint, has_subcategory boolean, item_count bigint, subtotal double, cart_total double, categories_total double")
+
+
+@register("cart_document", hierarchy_sql(f"""
+SELECT 'cart_item' AS section, product_id, product_name, category_id, category_name, CAST(price AS DOUBLE) AS price,
+       CAST(available_stock AS BIGINT) AS available_stock, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS BOOLEAN) AS has_subcategory,
+       CAST(NULL AS BIGINT) AS item_count, CAST(NULL AS DOUBLE) AS subtotal, CAST(NULL AS DOUBLE) AS cart_total,
+       CAST(NULL AS DOUBLE) AS categories_total
+FROM basket_priced
+UNION ALL
+SELECT 'category_subtotal', NULL, NULL, category_id, category_name, NULL, NULL, parent_id, has_subcategory, item_count,
+       CAST(round(total, 2) AS DOUBLE), NULL, categories_total
+FROM (SELECT *, CAST(round(sum(total) FILTER (WHERE parent_id IS NULL) OVER (), 2) AS DOUBLE) AS categories_total FROM shown) s
+WHERE parent_id IS NULL OR list_contains([{_DRILL_IDS}], parent_id)
+UNION ALL
+SELECT 'totals', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+       (SELECT CAST(COALESCE(ROUND(SUM(CAST(price AS DECIMAL(20,10))), 2), 0) AS DOUBLE) FROM basket_priced),
+       (SELECT CAST(coalesce(round(sum(total), 2), 0) AS DOUBLE) FROM shown WHERE parent_id IS NULL)"""), ids="V9 IO16")
 def cart_document(spark, sf_dir):
+    """The document's objects, read back from their JSON text."""
     m = model_for(spark, sf_dir)
     # items, subtotals and totals all read the lines: they are computed and written once
-    return C.cart_document(m, stage_table(lines_of(m), "cart-lines"), EXPANDED)
+    doc = C.cart_document(m, stage_table(lines_of(m), "cart-lines"), EXPANDED)
+    return doc.select("section", F.from_json("body", DOCUMENT_FIELDS).alias("o")).select("section", "o.*")
 
 
 @register("cart_inventory", with_model(body="""

@@ -314,13 +314,18 @@ def _metrics(spark, sf_dir):
     return query_samples(spark, sf_dir), lag
 
 
-@register("metrics_fields", METRICS_SQL + "\nSELECT source, refresh_age <= 2.0 AS is_fresh, "
-          + ", ".join(f"CASE WHEN refresh_age <= 2.0 THEN {c} END AS {c}" for c in METRIC_FIELDS) + " FROM wide",
-          ids="V10 T6 T7 T9")
+FIELDS_SQL = (METRICS_SQL + "\nSELECT source, refresh_age <= 2.0 AS is_fresh, "
+          + ", ".join(f"CASE WHEN refresh_age <= 2.0 THEN {c} END AS {c}" for c in METRIC_FIELDS) + " FROM wide")
+
+
+@register("metrics_fields", FIELDS_SQL, ids="V10 T6 T7 T9")
 def metrics_fields(spark, sf_dir):
     return M.metrics_fields(*_metrics(spark, sf_dir))
 
 
-@register("metrics_document", None, ids="V10")
+@register("metrics_document", FIELDS_SQL, ids="V10")
 def metrics_document(spark, sf_dir):
-    return M.metrics_document(*_metrics(spark, sf_dir))
+    """The fields, read back from the objects' JSON text."""
+    read = _metrics(spark, sf_dir)
+    fields = M.metrics_fields(*read).schema
+    return M.metrics_document(*read).select(F.from_json("body", fields).alias("o")).select("o.*")

@@ -24,14 +24,26 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
-_MODELS: dict[tuple[str, str], Model] = {}
+_MODELS: dict[tuple[str, str], tuple[tuple, Model]] = {}
+
+
+def listing(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every file of the tables in ``folder``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def model_for(spark: SparkSession, sf_dir: str) -> Model:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = from_driver_tables(spark, sf_dir)
-    return _MODELS[key]
+    """The model of a folder; a new one, with nothing stored for it, once the folder's files change."""
+    key, files = (spark.sparkContext.applicationId, sf_dir), listing(spark, sf_dir)
+    if key not in _MODELS or _MODELS[key][0] != files:
+        _MODELS[key] = files, from_driver_tables(spark, sf_dir)
+    return _MODELS[key][1]
 
 
 def forget_models() -> None:

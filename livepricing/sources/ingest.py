@@ -52,8 +52,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     for f in schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.BooleanType):
-            c = F.lower(F.trim(c)).isin("t", "true", "1", "y", "yes")
-            c = F.when(F.col(f.name).isNull() | (F.trim(F.col(f.name)) == ""), None).otherwise(c)
+            word = F.lower(F.trim(c))
+            c = (F.when(word.isNull() | (word == ""), None)
+                 .when(word.isin("t", "true", "1", "y", "yes", "on"), True)
+                 .when(word.isin("f", "false", "0", "n", "no", "off"), False)
+                 .otherwise(F.raise_error(F.concat(F.lit(f"{f.name} is no boolean: "), c)).cast("boolean")))
         else:
             c = F.when(F.trim(c) == "", None).otherwise(c).cast(f.dataType)
         cols.append(c.alias(f.name))
@@ -83,7 +86,7 @@ def dedup_latest(df: DataFrame, key: str = "product_id", ts: str = "last_update_
                  tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """IO3: the newest row per key (DISTINCT ON ... ORDER BY key, ts DESC). A partial
     group limit keeps a hot key to one row per map partition before the shuffle."""
-    order = [F.col(ts).desc_nulls_last()] + [F.col(c).desc() for c in tiebreak]
+    order = [F.col(ts).desc_nulls_last()] + [F.col(c).desc_nulls_last() for c in tiebreak]
     return top_k_per_group(df, [key], order, 1).drop("_rn")
 
 
@@ -105,7 +108,8 @@ def load_csv_model(spark: SparkSession, folder: str, dataset: str | None = None,
     f = folder.rstrip("/")
     categories = read_csv(spark, f"{f}/categories.csv", S.CATEGORIES)
     products = dedup_latest(_money_to_ints(read_csv(spark, f"{f}/products.csv", S.PRODUCTS),
-                                           cents_cols=("base_price",)))
+                                           cents_cols=("base_price",)),
+                            tiebreak=("base_price", "product_name", "category_id"))
     if dataset:
         products = apply_correction(products, dataset)
     sales_src = load_chunks(spark, sales_chunks, S.SALES) if sales_chunks else \

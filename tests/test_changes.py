@@ -93,3 +93,11 @@ def test_insert_ignore_first_of_batch_wins(spark):
     new = spark.createDataFrame([("b", 7, 2), ("b", 5, 1), ("a", 9, 0)], "k string, v int, seq int")
     got = sorted(tuple(r) for r in CH.insert_ignore(cur, new, "k", order="seq").collect())
     assert got == [("a", 1, 0), ("b", 5, 1)]
+
+
+def test_insert_ignore_without_order_is_defined(spark):
+    cur = spark.createDataFrame([("a", 1, "x")], "k string, v int, w string")
+    new = spark.createDataFrame([("b", 7, "p"), ("b", 5, "r"), ("b", 5, "q")], cur.schema)
+    for n in (1, 3):
+        got = sorted(tuple(r) for r in CH.insert_ignore(cur, new.repartition(n), "k").collect())
+        assert got == [("a", 1, "x"), ("b", 5, "q")]

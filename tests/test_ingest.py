@@ -5,6 +5,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from livepricing.sources import ingest as IN
 from livepricing.sources import schemas as S
 
@@ -83,3 +85,35 @@ def test_generator_picks_and_warehouses(spark):
     sales = IN.synthetic_sales(products, 3, 50, hot_share=0.3)
     counts = {r.product_id: r.n for r in sales.groupBy("product_id").agg(F.count("*").alias("n")).collect()}
     assert counts[1] == 3 + int(3 * 50 * 0.3)                               # the hot product
+
+
+def test_unknown_boolean_text_is_an_error(spark, tmp_path):
+    schema = spark.createDataFrame([], "id bigint, ok boolean").schema
+    (tmp_path / "good.csv").write_text("id,ok\n1,t\n2,No\n3,\n4, TRUE \n")
+    got = {r.id: r.ok for r in IN.read_csv(spark, str(tmp_path / "good.csv"), schema).collect()}
+    assert got == {1: True, 2: False, 3: None, 4: True}
+    (tmp_path / "bad.csv").write_text("id,ok\n1,maybe\n")
+    with pytest.raises(Exception, match="ok is no boolean: maybe"):
+        IN.read_csv(spark, str(tmp_path / "bad.csv"), schema).collect()
+
+
+def test_dedup_breaks_ties_by_columns(spark):
+    rows = [(1, "a", 5, 0), (1, "b", 5, 0), (1, None, 5, 0)]
+    for r in (rows, rows[::-1]):
+        df = spark.createDataFrame(r, "product_id bigint, product_name string, base_price int, last_update_time int")
+        assert [x.product_name for x in IN.dedup_latest(df, tiebreak=("base_price", "product_name")).collect()] == ["b"]
+
+
+def test_a_model_follows_its_files(spark, tmp_path):
+    import shutil
+
+    from livepricing.plans.registry import model_for
+    folder = tmp_path / "sf"
+    shutil.copytree("/root/testdata/sf0.001", folder, copy_function=shutil.copyfile)
+    folder.chmod(0o755)
+    first = model_for(spark, str(folder))
+    first.extra["kept"] = True
+    assert model_for(spark, str(folder)) is first
+    spark.read.parquet(f"{folder}/region.parquet").limit(2).write.parquet(str(folder / "region2.parquet"))
+    again = model_for(spark, str(folder))
+    assert again is not first and "kept" not in again.extra
