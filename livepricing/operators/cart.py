@@ -16,19 +16,32 @@ from .pricing import dynamic_pricing, restrict
 MESSAGE_TEMPLATE = "With the current items in your cart ($count$ items totaling $$total$),"
 
 
-def cart_lines(m: Model, prices: DataFrame | None = None) -> DataFrame:
+def cart_copies(m: Model) -> DataFrame:
+    """product_id, product_name and how many rows of the cart hold them."""
+    return (m.shopping_cart.groupBy("product_id", "product_name")
+            .agg(F.count(F.lit(1)).alias("_copies")))
+
+
+def stored_copies(m: Model) -> DataFrame:
+    """`cart_copies`, written once: the six semi-joins of `cart_lines` then do not repeat the
+    cart's own scans, and Spark knows the size of their keys before it plans them."""
+    return stage_table(cart_copies(m), "cart-copies")
+
+
+def cart_lines(m: Model, prices: DataFrame | None = None, copies: DataFrame | None = None) -> DataFrame:
     """V7: one row per (product, cart name) with its live price and available stock.
 
     Duplicate cart rows collapse into one line, and, as in the reference's grouping over
     cart x inventory, the stock sum counts once per duplicate cart row. Both sides are
     aggregated *before* the join (cart copies per product, stock per product), so no
     cart x inventory product is ever materialised. Prices are computed only for products
-    in the cart (exactly: popularity is still ranked over their whole categories).
+    in the cart (exactly: popularity is still ranked over their whole categories). ``copies``
+    may be given as `stored_copies`; without it no job runs while the lines are built.
     """
-    copies = (m.shopping_cart.groupBy("product_id", "product_name")
-              .agg(F.count(F.lit(1)).alias("_copies")))
-    # one form at every size: semi-joins on the cart's products, which AQE turns into broadcasts
-    # after measuring them
+    if copies is None:
+        copies = cart_copies(m)
+    # one form at every size: semi-joins on the cart's products; those of unknown size AQE turns
+    # into broadcasts after measuring them
     in_cart = copies.select("product_id").distinct()
     if prices is None:
         prices = dynamic_pricing(m, restrict_to=in_cart)

@@ -29,22 +29,27 @@ class CategoryCycleError(RuntimeError):
 def ancestor_pairs(categories: DataFrame) -> DataFrame:
     """(category_id, ancestor_id, depth, ancestor attributes): every category with itself
     (depth 0) and each of its ancestors. The reach doubles with every round, so a tree of any
-    depth takes as many rounds as its depth has binary digits; each round is written to the
-    shared folder, and the driver only learns whether jumps are left and whether a category has
-    become its own ancestor, which raises ``CategoryCycleError``."""
+    depth takes as many rounds as its depth has binary digits. A round is one written table (in
+    the shared folder) and one aggregate, from which the driver learns whether jumps are left and
+    whether a category has become its own ancestor, which raises ``CategoryCycleError``."""
     pairs = categories.select("category_id", F.col("category_id").alias("ancestor_id"), F.lit(0).alias("depth"))
     jump = (categories.where(F.col("parent_id").isNotNull())
             .select(F.col("category_id").alias("_from"), F.col("parent_id").alias("_to")))
-    step = 1    # pairs hold depths below step, jump the ancestor at depth step
-    while not jump.isEmpty():
+    step, more = 1, True    # pairs hold depths below step, jump the ancestor at depth step
+    while more:
         further = (pairs.join(jump, F.col("ancestor_id") == F.col("_from"))
                    .select("category_id", F.col("_to").alias("ancestor_id"), (F.col("depth") + step).alias("depth")))
-        pairs = stage_table(pairs.unionByName(further), "category-pairs")
-        if not pairs.where("depth > 0 AND category_id = ancestor_id").isEmpty():
-            raise CategoryCycleError("a category is its own ancestor")
         ahead = jump.select(F.col("_from").alias("_mid"), F.col("_to").alias("_end"))
-        jump = stage_table(jump.join(ahead, F.col("_to") == F.col("_mid"))
-                           .select("_from", F.col("_end").alias("_to")), "category-jumps")
+        # jumps are stored beside the pairs, without a depth
+        jumps = (jump.join(ahead, F.col("_to") == F.col("_mid"))
+                 .select(F.col("_from").alias("category_id"), F.col("_end").alias("ancestor_id"), F.lit(None).cast("int").alias("depth")))
+        held = stage_table(pairs.unionByName(further).unionByName(jumps), "category-pairs")
+        seen = held.agg(F.max(F.col("depth").isNull()).alias("more"),
+                        F.max((F.col("depth") > 0) & (F.col("category_id") == F.col("ancestor_id"))).alias("cycle")).first()
+        if seen.cycle:
+            raise CategoryCycleError("a category is its own ancestor")
+        pairs, more = held.where("depth IS NOT NULL"), bool(seen.more)
+        jump = held.where("depth IS NULL").select(F.col("category_id").alias("_from"), F.col("ancestor_id").alias("_to"))
         step *= 2
     # each pair carries its ancestor's attributes, so rollups need no further joins
     attrs = categories.select(F.col("category_id").alias("ancestor_id"),

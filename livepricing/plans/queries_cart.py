@@ -15,7 +15,7 @@ EXPANDED = "1, 2,3 ,x,,105, 110"
 
 def lines_of(m):
     # built per query: each registered query computes its own cart lines
-    return C.cart_lines(m)
+    return C.cart_lines(m, copies=C.stored_copies(m))
 
 
 @register("cart_lines", cart_sql("FROM basket_priced"), ids="V7 J6 A7 A16 S7 S8")
