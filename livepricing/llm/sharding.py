@@ -9,8 +9,9 @@ the exchange each shard is permuted again by random keys, in buckets of a key ra
 neither a hot source nor a shard is one task.
 
 Law: ``rows``. Equal texts are not kept together (with exact sizes they cannot be).
-Nulls, empty and long texts, repeated rows and clashing names are just values here; an empty
-table gives an empty result.
+Nulls, empty and long texts and repeated rows are just values here; an empty table gives an empty
+result. An input column called shard or slot (in any case) comes back as shard_0, slot_0, or with
+the next number that is free.
 """
 
 from __future__ import annotations
@@ -65,6 +66,17 @@ def block_counts(seed: int, edges: np.ndarray, caps: np.ndarray, block: int) ->
     return caps
 
 
+def free_names(names: list[str], taken: tuple[str, ...]) -> list[str]:
+    """``names``, those that are ``taken`` with the first number that makes them free."""
+    used, out = {*taken, *(n.lower() for n in names)}, []
+    for name in names:
+        if name.lower() in taken:
+            name = next(f"{name}_{i}" for i in range(len(used) + 1) if f"{name}_{i}".lower() not in used)
+            used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shard_rows(df: DataFrame, n_shards: int = 16, seed: int = 20240601,
                block_rows: int = 1 << 16, bucket_rows: int = 1 << 14) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 within its shard) behind
@@ -110,5 +122,5 @@ def shard_rows(df: DataFrame, n_shards: int = 16, seed: int = 20240601,
         "shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "f", "i"))
     out = dealt.withColumn("rank", rank).join(starts, ["shard", "bucket"])
-    return out.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(names)], "shard",
+    return out.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(free_names(names, ("shard", "slot")))], "shard",
                       (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
