@@ -14,7 +14,8 @@
    text without any term (an empty or null one too) gets the share of toxic ones among the
    examples without any.
 
-Labels, language, source and doc_id are never inputs of a score. Null labels and labels of
+Where documents share an id, the least of their texts (bytewise) is the example. Labels,
+language, source and doc_id are never inputs of a score. Null labels and labels of
 unknown documents teach nothing; a doc_id labelled twice counts as toxic if one label says so.
 Without examples of both kinds every score is the prior (0 with no example).
 """
@@ -58,7 +59,8 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame
              .join(docs.select("doc_id"), "doc_id", "left_semi")
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
              .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_examples))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    return (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
 
 
 def _count_terms(batches):
