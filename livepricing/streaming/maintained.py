@@ -139,7 +139,10 @@ class MaintainedViews:
         floors = old.select("product_id", "floor")
         # (a product without state hides nothing: all its sales are in the batch)
         news = self._entry_rows(ch, F.col("n")).join(floors, "product_id", "left").where("floor IS NULL OR s >= floor").drop("floor")
-        rows = old.select("product_id", F.inline("entries")).unionByName(news).groupBy("product_id", "s").agg(F.sum("n").alias("n"))
+        # both sides are spread by product_id, and the grouping would rest on that: adaptive execution may
+        # change one side's partitions afterwards ("Can't zip RDDs"), so the union is dealt out anew
+        rows = old.select("product_id", F.inline("entries")).unionByName(news).repartition("product_id", "s")
+        rows = rows.groupBy("product_id", "s").agg(F.sum("n").alias("n"))
         j = (counts.join(old.select("product_id", "sale_count", "floor"), "product_id", "left").join(self._kept(rows), "product_id", "left")
              .withColumn("sale_count", F.coalesce("sale_count", F.lit(0)) + F.col("dn"))
              .withColumn("floor", F.when(F.col("cut"), self._floor()).otherwise(F.col("floor")))

@@ -189,3 +189,22 @@ def test_replica_keeps_last_change_and_drops_deletes(spark):
     empty = spark.createDataFrame([], "key long, seq long, event_type string, value double")
     out = apply_changes(empty, change_records(ev))
     assert sorted(tuple(r) for r in out.select("key", "seq", "event_type").collect()) == [(2, 13, "view")]
+
+
+@pytest.mark.parametrize("seed", [5])
+def test_batches_without_broadcasts_equal_full_recompute(spark, seed):
+    """As on large tables: every join sorts and merges, and partitions are not merged."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rng = random.Random(seed)
+        start = base(rng)
+        changes = feed(rng, start[0], 30)
+        views = views_over(spark, start)
+        views.apply(frames(spark, changes), 1)
+        check(views, final_model(spark, start, changes))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
