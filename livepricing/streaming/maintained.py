@@ -229,17 +229,17 @@ class MaintainedViews:
         p = self._products(at).select("product_id", "category_id")
         if categories is not None:
             p = p.join(categories.distinct(), "category_id", "left_semi")
-        s = self.store.keyed("sales_agg", self.tables["sales_agg"][1], ["product_id"], *at)
+        s = self.store.keyed("sales_agg", self.tables["sales_agg"][1], ["product_id"], *at, columns=["sale_count"])
         return s.where("sale_count > 0").select("product_id", "sale_count").join(p, "product_id")
 
     def _priced(self, at: tuple[int, int], only: DataFrame | None) -> DataFrame:
         """Prices from the state; ``only`` restricts them exactly."""
-        read = lambda t, o=only: self.store.keyed(t, self.tables[t][1], ["product_id"], *at, o)
+        read = lambda t, o=only, c=None: self.store.keyed(t, self.tables[t][1], ["product_id"], *at, o, c)
         products = self._products(at, only)
         taken = F.aggregate("entries", F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")),
                             lambda t, x: F.struct((t["k"] + F.least(F.lit(RECENT_SALES) - t["k"], F.greatest(x["n"], F.lit(0)))).cast("long").alias("k"),
                                                   (t["c"] + F.least(F.lit(RECENT_SALES) - t["k"], F.greatest(x["n"], F.lit(0))) * x["s"]["price"]).cast("long").alias("c")))
-        recent = read("sales_agg").withColumn("t", taken).where("t.k > 0").select("product_id", (money(F.col("t.c")) / F.col("t.k")).alias("avg_price"))
+        recent = read("sales_agg", c=["entries"]).withColumn("t", taken).where("t.k > 0").select("product_id", (money(F.col("t.c")) / F.col("t.k")).alias("avg_price"))
         promo = read("promos").select("product_id", F.array_min(F.transform(F.filter("kinds", lambda k: k["on"] > 0), lambda k: k["d"])).alias("promotion_discount"))
         counts = self._counts(at, None if only is None else products.select("category_id"))
         f = assemble_factors(products, recent, promo.where("promotion_discount IS NOT NULL"), popularity_top(counts),

@@ -55,13 +55,15 @@ class SnapshotStore:
         paths = [self.full_path(table, base), *(self.path(table, v) for v in range(base + 1, version + 1))]
         return self.spark.read.schema(f"{ddl}, _gone boolean, _v long").parquet(*paths)
 
-    def keyed(self, table: str, ddl: str, key: list[str], base: int, version: int, only: DataFrame | None = None) -> DataFrame:
+    def keyed(self, table: str, ddl: str, key: list[str], base: int, version: int, only: DataFrame | None = None,
+              columns: list[str] | None = None) -> DataFrame:
         """A keyed table at ``version``: the newest row per key. ``only`` (some of the key columns)
-        restricts it before anything is shuffled."""
+        restricts it before anything is shuffled; so do ``columns`` (beside the key), which Spark
+        cannot prune from the struct."""
         rows = self.log(table, ddl, base, version)
         if only is not None:
             rows = rows.join(only.distinct(), only.columns, "left_semi")
-        rest = [c for c in rows.columns if c not in (*key, "_v")]
+        rest = [c for c in rows.columns if c not in (*key, "_v") and (columns is None or c in (*columns, "_gone"))]
         newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_v").alias("_r")).select(*key, "_r.*")
         return newest.where(~F.col("_gone")).drop("_gone")
 
