@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,22 @@ def cluster_conf(input_bytes: int, cores: int, target_partition_mb: int = 256) -
     }
 
 
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Inside, a join side is broadcast only where ``F.broadcast`` says so or adaptive execution has
+    measured it, by the threshold that held before. Spark's estimate before a run is the size of
+    the compressed files: 10 MB of sequential keys may be hundreds of MB in the driver's memory."""
+    static, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    was = {k: spark.conf.get(k, None) for k in (static, measured)}
+    spark.conf.set(measured, was[measured] or spark.conf.get(static))
+    spark.conf.set(static, "-1")
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written state.
 

@@ -19,7 +19,7 @@ from ..operators import cart as C
 from ..operators import changes as CH
 from ..operators.pricing import dynamic_pricing
 from ..operators.ranking import top_k_per_group
-from ..session import stage_table
+from ..session import measured_broadcasts, stage_table
 from ..sources.model import Model, read_table
 from .changelog import Replay, to_changelog
 from .incremental import event_changes
@@ -55,8 +55,6 @@ def maintain_pricing(spark: SparkSession, sf_dir: str, m: Model, store: Snapshot
     the events stream into a new committed version."""
     store = store or SnapshotStore(spark, name="pricing-stream")
     views = MaintainedViews(spark, m, store)
-    if store.latest() is None:
-        views.bootstrap()
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
@@ -68,7 +66,10 @@ def maintain_pricing(spark: SparkSession, sf_dir: str, m: Model, store: Snapshot
         finally:
             batch.unpersist()
 
-    _drain(events_stream(spark, sf_dir, max_files), store, on_batch, "pricing")
+    with measured_broadcasts(spark):    # (the stream's own session starts as a copy of this one)
+        if store.latest() is None:
+            views.bootstrap()
+        _drain(events_stream(spark, sf_dir, max_files), store, on_batch, "pricing")
     return views
 
 

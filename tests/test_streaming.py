@@ -1,11 +1,15 @@
 """Streaming jobs: restart without duplicates, commit visibility, rate vs batch."""
 
+import datetime as dt
+import re
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from conftest import SF_SMALL
-from livepricing.sources.model import read_table
+from livepricing.sources.model import from_driver_tables, read_table
 from livepricing.streaming import jobs as J
 from livepricing.streaming.store import SnapshotStore
 
@@ -83,3 +87,52 @@ def test_trailing_rate_newest_first_equals_batch(spark, tmp_path):
     want = sorted((r.source, r.ts, r.seq, r.queries) for r in trailing_qps(sample).collect())
     assert sorted((r.source, r.ts, r.seq, r.queries) for r in rate.read().collect()) == want
     assert rate.store.base_of(3) == 2
+
+
+def _small_tables(spark, tmp_path):
+    """A folder with a few rows in each of the driver's tables."""
+    t = dt.datetime(2024, 1, 1)
+    tables = {
+        "region": ([(0, "EAST")], "r_regionkey int, r_name string"),
+        "nation": ([(n, f"N{n}", 0) for n in range(25)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(s, f"S{s}", s % 25) for s in range(4)], "s_suppkey long, s_name string, s_nationkey int"),
+        "part": ([(p, f"{'small' if p % 3 == 0 else 'large'} p{p}", 900.0 + p) for p in range(20)], "p_partkey long, p_name string, p_retailprice double"),
+        "lineitem": ([(i // 3, i % 20, i % 4, i % 3, float(1 + i % 9), 100.0 + i, 0.05 * (i % 3), "NR"[i % 2], "OF"[i % 2], t + dt.timedelta(days=i)) for i in range(60)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                     "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
+        "events": ([(i, t + dt.timedelta(minutes=7 * i), ("purchase", "view", "error", "click", "signup")[i % 5 if i % 4 else 1], 1.0 + i, f'{{"k": {i % 15}}}') for i in range(40)],
+                   "event_id long, ts timestamp_ntz, event_type string, value double, props string"),
+    }
+    for name, (rows, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+@pytest.fixture
+def broadcast_joins(spark, monkeypatch):
+    """The broadcast joins of all written plans, as planned before anything is measured."""
+    found, write = [], DataFrameWriter.parquet
+
+    def planned(self, *args, **options):
+        found.extend(_broadcasts(self._df))
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", planned)
+    return found
+
+
+def _broadcasts(df):
+    return re.findall(r"Broadcast(?:Hash|NestedLoop)Join.*", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_maintained_views_broadcast_no_side_for_its_small_files(spark, tmp_path, broadcast_joins):
+    """The size of compressed files says little about rows in the driver's memory."""
+    folder = _small_tables(spark, tmp_path)
+    m = from_driver_tables(spark, folder)
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    was = [spark.conf.get(k, None) for k in keys]
+    views = J.maintain_pricing(spark, folder, m, store=SnapshotStore(spark, tempfile.mkdtemp(prefix="lp-views-")))
+    assert [spark.conf.get(k, None) for k in keys] == was
+    assert views.store.latest() == 1 and views.prices().count() > 0
+    # only the ten largest stocks, whose number is bounded
+    assert [j for j in broadcast_joins if "total_stock" not in j] == []
