@@ -100,8 +100,9 @@ class MaintainedViews:
     def category_totals(self, version: int | None = None) -> DataFrame:
         """V8 from the stored totals: a row per category with items below it and one "Other" row
         per category that has children and items of its own."""
-        t, c = self.read("totals", version), self.m.categories
-        kids = H.parents_with_children(c).withColumn("kids", F.lit(True))
+        # (the caller's session plans this read: no side is broadcast for its small files)
+        t, c = self.read("totals", version), self.m.categories.hint("merge")
+        kids = H.parents_with_children(self.m.categories).withColumn("kids", F.lit(True)).hint("merge")
         j = t.join(c, "category_id").join(kids, "category_id", "left").withColumn("kids", F.coalesce("kids", F.lit(False)))
         whole = j.where("item_count > 0").select("category_id", "parent_id", F.col("kids").alias("has_subcategory"), "category_name",
                                                  from_micros(F.col("total_m")).alias("total"), "item_count")

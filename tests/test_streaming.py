@@ -136,3 +136,5 @@ def test_maintained_views_broadcast_no_side_for_its_small_files(spark, tmp_path,
     assert views.store.latest() == 1 and views.prices().count() > 0
     # only the ten largest stocks, whose number is bounded
     assert [j for j in broadcast_joins if "total_stock" not in j] == []
+    assert _broadcasts(J.pinned_cart_summary(views)) == _broadcasts(views.category_totals()) == []
+    assert J.pinned_cart_summary(views).first()["cart_total"] > 0
