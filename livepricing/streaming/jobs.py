@@ -80,14 +80,15 @@ def replay_changelog(spark: SparkSession, sf_dir: str, m: Model, store: Snapshot
     second half of the transactions lacks every third one at first, and is delivered again whole."""
     store = store or SnapshotStore(spark, name="changelog")
     views = MaintainedViews(spark, m, store)
-    views.bootstrap()
-    ev = read_table(spark, sf_dir, "events")
-    log = stage_table(to_changelog(event_changes(ev, sf_dir), ev.select(F.col("event_id").alias("txn"))), "changelog")
-    lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
-    replay = Replay(views, log.schema, lo)
-    late = F.col("txn") >= (lo + hi) // 2
-    replay.apply(log.where(~late | (F.col("txn") % 3 != 1)), 1)
-    replay.apply(log.where(late), 2)
+    with measured_broadcasts(spark):
+        views.bootstrap()
+        ev = read_table(spark, sf_dir, "events")
+        log = stage_table(to_changelog(event_changes(ev, sf_dir), ev.select(F.col("event_id").alias("txn"))), "changelog")
+        lo, hi = ev.agg(F.min("event_id"), F.max("event_id")).first()
+        replay = Replay(views, log.schema, lo)
+        late = F.col("txn") >= (lo + hi) // 2
+        replay.apply(log.where(~late | (F.col("txn") % 3 != 1)), 1)
+        replay.apply(log.where(late), 2)
     return replay
 
 

@@ -138,3 +138,12 @@ def test_maintained_views_broadcast_no_side_for_its_small_files(spark, tmp_path,
     assert [j for j in broadcast_joins if "total_stock" not in j] == []
     assert _broadcasts(J.pinned_cart_summary(views)) == _broadcasts(views.category_totals()) == []
     assert J.pinned_cart_summary(views).first()["cart_total"] > 0
+
+
+def test_replay_broadcasts_no_side_for_its_small_files(spark, tmp_path, broadcast_joins):
+    folder = _small_tables(spark, tmp_path)
+    replay = J.replay_changelog(spark, folder, from_driver_tables(spark, folder), store=SnapshotStore(spark, tempfile.mkdtemp(prefix="lp-replay-")))
+    assert [j for j in broadcast_joins if "total_stock" not in j] == []
+    summary = J.frontier_summary(replay)
+    assert _broadcasts(summary) == []
+    assert sorted(r.frontier for r in summary.collect()) == [18, 39]
